@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from petrilake.llm.chunks import PATTERN as CUT_PATTERN
 from petrilake.llm.chunks import cut
-from petrilake.llm.common import small_batches
+from petrilake.llm.common import python_workers
 
 #: Bytes up to which pieces share a numpy tree; entries of the cache; bytes of text that are encoded at a time.
 SIDE_BY_SIDE = 64
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     vocabulary: the path of a .tiktoken file that every worker can open. A null text is an empty one: no ids. Other columns
     stay; `ids` and `n_tokens` of docs are replaced.
     """
-    small_batches(docs.sparkSession, 500)
+    python_workers(docs.sparkSession, 500)
     docs = docs.drop("ids", "n_tokens")
     names = docs.columns
     at = names.index("text")

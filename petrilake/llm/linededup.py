@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petrilake.llm.common import LOWER_BYTES, WS, small_batches
+from petrilake.llm.common import LOWER_BYTES, WS, python_workers
 
 
 def line_key(line: str) -> str:
@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     of one doc_id are one document. A null doc_id is a document of its own that is smaller than any other. Other columns
     stay, but `n_lines`, `n_dropped`, `_drop` and `_id` of docs are replaced or dropped.
     """
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "_drop", "_id")
     lines = line_hashes(docs, min_chars)
     common = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("line", "keeper")

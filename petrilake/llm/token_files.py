@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrilake.llm.chunks import cut
-from petrilake.llm.common import small_batches
+from petrilake.llm.common import python_workers
 
 #: Entries of a worker's cache; sequences of one batch of a file.
 CACHE = 300_000
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int =
     ends with end_id. A null doc_id comes first. Rows of one doc_id are all written, in the order of their texts' hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_workers(spark, 500)
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
