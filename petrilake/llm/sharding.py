@@ -96,7 +96,7 @@ def shard(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, load_factor:
         df.withColumn("_pos", pos)
         .withColumn("_bucket", (F.col("_pos") / F.lit(step)).cast("int"))
         .join(F.broadcast(arcs), "_bucket")  # GRID rows
-        .withColumn("_arc", F.coalesce(F.expr("filter(_cuts, c -> c.token >= _pos)[0].arc"), F.col("_next")))
+        .withColumn("_arc", F.coalesce(F.expr("get(filter(_cuts, c -> c.token >= _pos), 0).arc"), F.col("_next")))
         .drop("_cuts", "_next")
     )
     cells = [(r[0], r[1], r[2]) for r in placed.groupBy("_arc", "_bucket").count().collect()]  # bounded by the ring, not by df
