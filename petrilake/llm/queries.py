@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrilake.llm import bpe, linededup, sharding, token_files, url_filter
+from petrilake.llm import bpe, decontaminate, linededup, ppm, quality, sharding, token_files, url_filter
 from petrilake.llm.common import scratch_path
 
 
@@ -37,12 +37,32 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base figures and verdict."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return quality.judge(docs).drop("text", "lang")
+
+
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the trie of the training fold, and by its unigrams."""
+    return ppm.score(_docs(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that larger documents repeat."""
     kept = linededup.dedup_lines(_docs(spark, sf_dir), 20, 3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows, and their items."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.find_contamination(_docs(spark, sf_dir), benchmark, 10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
+    items = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -53,7 +73,10 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op6_ppm": op6_ppm,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
