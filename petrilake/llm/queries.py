@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrilake.llm import bpe, decontaminate, linededup, ppm, quality, sharding, token_files, url_filter
+from petrilake.llm import bpe, decontaminate, linededup, ngram_join, ppm, quality, sharding, token_files, url_filter
 from petrilake.llm.common import scratch_path
 
 
@@ -63,6 +63,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of 5-word shingle sets that are alike by 0.8."""
+    return ngram_join.join_components(_docs(spark, sf_dir), 5, 80)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_ppm": op6_ppm,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 
