@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.llm.chunks import PATTERN as CUT_PATTERN
-from petrilake.llm.chunks import cut
+from petrilake.llm.chunks import Recent, cut
 from petrilake.llm.common import python_workers
 
 #: Bytes up to which pieces share a numpy tree; entries of the cache; bytes of text that are encoded at a time.
 SIDE_BY_SIDE = 64
-CACHE = 250_000
+CACHE = 200_000
 BLOCK = 4 << 20
 INF = np.int64(1) << 60
 
@@ -51,7 +51,7 @@ class SegmentTreeBpe:
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.cuts, self.pieces = Recent(CACHE), Recent(CACHE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -168,18 +168,20 @@ class SegmentTreeBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cuts = [cut(t) for t in texts] if self.by_cut else [[t] if t else [] for t in texts]
-        cache = self.cache
-        if missing := {c for cs in cuts for c in cs if c not in cache}:
-            split = {c: [p.encode() for p in self.pattern.findall(c)] for c in missing}
-            done = self.encode_pieces(list({p for ps in split.values() for p in ps}))
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = {c for cs in cuts for c in cs}
-                split = {c: split.get(c) or [p.encode() for p in self.pattern.findall(c)] for c in missing}
-                done |= self.encode_pieces(list({p for ps in split.values() for p in ps if p not in done}))
-            for c, ps in split.items():
-                cache[c] = b"".join([done[p] for p in ps])
-        return [b"".join([cache[c] for c in cs]) for cs in cuts]
+        known, missing = self.cuts.split({c for cs in cuts for c in cs})
+        if missing:
+            find = self.pattern.findall
+            split = [find(c) for c in missing]
+            done, new = self.pieces.split({p for ps in split for p in ps})
+            raw = [p.encode() for p in new]
+            coded = self.encode_pieces(raw)
+            for p, r in zip(new, raw, strict=True):
+                done[p] = coded[r]
+            self.pieces.keep(done)
+            for c, ps in zip(missing, split, strict=True):
+                known[c] = done[ps[0]] if len(ps) == 1 else b"".join([done[p] for p in ps])
+        self.cuts.keep(known)
+        return [b"".join([known[c] for c in cs]) for cs in cuts]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

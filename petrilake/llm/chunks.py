@@ -21,3 +21,26 @@ def cut(text: str) -> list[str]:
         return []
     parts = _BETWEEN.split(text) if _RUN.search(text) else text.split(" ")
     return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+
+
+class Recent:
+    """A bounded cache of two generations: what is asked for again outlives what is not. It never changes a result."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def split(self, keys: set) -> tuple[dict, list]:
+        """What is known of the keys, and the keys that are not."""
+        known, missing, new, old = {}, [], self.new, self.old
+        for k in keys:
+            if (v := new.get(k)) is None and (v := old.get(k)) is None:
+                missing.append(k)
+            else:
+                known[k] = v
+        return known, missing
+
+    def keep(self, used: dict) -> None:
+        """Remember a block's entries."""
+        self.new.update(used)
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
