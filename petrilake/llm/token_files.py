@@ -2,8 +2,8 @@
 
 A data set is a folder of shards in ascending order of the documents. Each shard has two Arrow IPC stream files:
 
-* ``ids-NNNNN.arrows``: batches of equal-length sequences, `ids` a fixed-size list of `sequence` unsigned 32-bit integers
-  and `mask` one of as many unsigned bytes (1: a token, 0: padding, at the shard's end only). Every sequence of a memory-mapped
+* ``ids-NNNNN.arrows``: batches of equal-length sequences, `ids` a fixed-size list of `sequence` unsigned integers (16 bits wide
+  where the vocabulary fits, else 32) and `mask` one of as many bits (1: a token, 0: padding, at the shard's end only). Every sequence of a memory-mapped
   file is found by arithmetic and read without a copy.
 * ``docs-NNNNN.arrows``: `doc_id`, `first` (position within the shard's run of ids) and `n_tokens` of its documents, in order.
 
@@ -16,50 +16,77 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from petrilake.llm.chunks import cut
+from petrilake.llm.chunks import PATTERN, Recent, cut
 from petrilake.llm.common import python_workers
 
 #: Entries of a worker's cache; sequences of one batch of a file.
 CACHE = 300_000
 SEQUENCES = 64
 
-IDS = lambda n: pa.schema([("ids", pa.list_(pa.uint32(), n)), ("mask", pa.list_(pa.uint8(), n))])
+
+
+def ids_schema(sequence: int, vocabulary: int) -> pa.Schema:
+    """The schema of the sequences of a vocabulary of that size."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if vocabulary <= 1 << 16 else pa.uint32(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+
+
 DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters, beyond = {}, 256
+    for b in range(256):
+        if b in seen:
+            letters[b] = chr(b)
+        else:
+            letters[b] = chr(beyond)
+            beyond += 1
+    return [letters[b] for b in range(256)]
+
+
 class CachedTokenizer:
-    """The tokenizers library, asked once for each distinct cut of the texts."""
+    """The tokenizers library's model, asked once for each distinct match of the byte-level pattern."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        library = Tokenizer.from_file(path)
+        self.model, self.vocabulary = library.model, library.get_vocab_size()
+        self.cuts, self.pieces = Recent(CACHE), Recent(CACHE)
+        self.find, self.letters = regex.compile(PATTERN).findall, _byte_letters()
+
+    def _tokenize(self, piece: str) -> bytes:
+        spelled = "".join([self.letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cuts, cache = [cut(t) for t in texts], self.cache
-        missing = {c for cs in cuts for c in cs if c not in cache}
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = {c for cs in cuts for c in cs}
-        new = list(missing)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[c] for c in cs]) for cs in cuts]
+        cuts = [cut(t) for t in texts]
+        known, missing = self.cuts.split({c for cs in cuts for c in cs})
+        if missing:
+            split = [self.find(c) for c in missing]
+            done, new = self.pieces.split({p for ps in split for p in ps})
+            for p in new:
+                done[p] = self._tokenize(p)
+            self.pieces.keep(done)
+            for c, ps in zip(missing, split, strict=True):
+                known[c] = done[ps[0]] if len(ps) == 1 else b"".join([done[p] for p in ps])
+        self.cuts.keep(known)
+        return [b"".join([known[c] for c in cs]) for cs in cuts]
 
 
 _made: dict[str, CachedTokenizer] = {}
@@ -74,24 +101,25 @@ def _tokenizer(path: str) -> CachedTokenizer:
 class ShardWriter:
     """Writes one shard: a run of ids cut into sequences, and its documents."""
 
-    def __init__(self, folder: str, shard: int, sequence: int) -> None:
+    def __init__(self, folder: str, shard: int, sequence: int, vocabulary: int) -> None:
         self.store, root = fs.FileSystem.from_uri(folder)
+        self.schema = ids_schema(sequence, vocabulary)
         self.sequence, self.left, self.total, self.rows = sequence, b"", 0, 0
         self.names = [f"{root}/{kind}-{shard:05d}.arrows" for kind in ("ids", "docs")]
         self.mine = [f"{root}/.{uuid.uuid4().hex}.{kind}" for kind in ("ids", "docs")]
         self.store.create_dir(root, recursive=True)
         self.sinks = [self.store.open_output_stream(n) for n in self.mine]
-        self.files = [pa.ipc.new_stream(s, schema) for s, schema in zip(self.sinks, (IDS(sequence), DOCS), strict=True)]
+        self.files = [pa.ipc.new_stream(s, schema) for s, schema in zip(self.sinks, (self.schema, DOCS), strict=True)]
 
     def _put(self, ids: bytes, padding: int = 0) -> None:
         flat = np.frombuffer(ids + b"\0" * (4 * padding), "<u4")
-        mask = np.ones(len(flat), np.uint8)
+        mask = np.ones(len(flat), bool)
         if padding:
-            mask[-padding:] = 0
-        schema = IDS(self.sequence)
+            mask[-padding:] = False
+        width = self.schema.field("ids").type.value_type
         for i in range(0, len(flat), n := self.sequence * SEQUENCES):
-            part = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + n]), self.sequence) for x in (flat, mask)]
-            self.files[0].write_batch(pa.RecordBatch.from_arrays(part, schema=schema))
+            part = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + n], t), self.sequence) for x, t in ((flat.astype(width.to_pandas_dtype()), width), (mask, pa.bool_()))]
+            self.files[0].write_batch(pa.RecordBatch.from_arrays(part, schema=self.schema))
 
     def add(self, doc_ids: list, ids: list[bytes]) -> None:
         """Documents in order, each with all its ids."""
@@ -130,7 +158,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int =
         for b in batches:
             if not b.num_rows:
                 continue
-            out = out or ShardWriter(folder, shard, sequence)
+            out = out or ShardWriter(folder, shard, sequence, tokenizer.vocabulary)
             doc_ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             start = size = 0
             for i, t in enumerate(texts):
@@ -157,17 +185,18 @@ class ShardReader:
         ids, docs = (f"{root}/{kind}-{shard:05d}.arrows" for kind in ("ids", "docs"))
         source = pa.memory_map(ids) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(ids)
         with pa.ipc.open_stream(source) as r:
-            self.batches = [[c.flatten().to_numpy() for c in b.columns] for b in r]
+            self.batches = [(b.column(0).flatten().to_numpy(), b.column(1).flatten()) for b in r]
             self.sequence = r.schema.field("ids").type.list_size
         with store.open_input_file(docs) as f, pa.ipc.open_stream(f) as r:
             self.docs = r.read_all()
         self.ends = np.cumsum([len(ids) for ids, _ in self.batches], dtype=np.int64)
 
-    def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of the shard's i-th sequence, without a copy."""
+    def sequence_at(self, i: int) -> tuple[np.ndarray, pa.Array]:
+        """The ids and the mask (bits) of the shard's i-th sequence, without a copy."""
         k = int(np.searchsorted(self.ends, i * self.sequence, "right"))
         at = i * self.sequence - (int(self.ends[k - 1]) if k else 0)
-        return tuple(c[at : at + self.sequence] for c in self.batches[k])
+        ids, mask = self.batches[k]
+        return ids[at : at + self.sequence], mask.slice(at, self.sequence)
 
     def tokens(self, first: int, n: int) -> Iterator[np.ndarray]:
         """The n ids from a position of the shard's run, in pieces that share the file's memory."""
