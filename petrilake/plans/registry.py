@@ -1,6 +1,369 @@
-"""Every query over event logs and process models by name, with its SQL."""
+"""Every query over event logs and process models by name, with its SQL.
+
+Users' events and conversations are the logs; the models in `models` are what they are compared with.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petrilake.functions import distances as D
+from petrilake.functions.numbering import families
+from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets
+from petrilake.plans import oracle as O
+from petrilake.plans.models import CHAT, SHOP, TREE
+from petrilake.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Steps of a run, and the largest distance that is looked at.
+STEPS = 6
+MOST = 2 * STEPS
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trace a user."""
+    return logs.traces(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trace a conversation."""
+    return logs.traces(table(spark, sf_dir, "conversations"), "conv_id", "role", ["turn"])
+
+
+def spelled(df: DataFrame) -> DataFrame:
+    return df.withColumn("trace", F.array_join("trace", " "))
+
+
+# The log
+
+
+@query(f"WITH {O.CHATS} SELECT case_id, array_to_string(trace, ' ') AS trace FROM log")
+def project_traces(spark, sf_dir):
+    return spelled(chat_log(spark, sf_dir))
+
+
+@query(f"WITH {O.EVENTS} SELECT case_id, array_to_string(list_concat(trace[1:{STEPS}], list_transform(range(0, greatest(0, {STEPS} - len(trace))), lambda i: 'w')), ' ') AS trace FROM log")
+def trace_prefix_padded(spark, sf_dir):
+    return events_log(spark, sf_dir).select("case_id", F.array_join(D.padded(F.col("trace"), STEPS), " ").alias("trace"))
+
+
+@query(f"WITH {O.CHATS} SELECT array_to_string(trace, ' ') AS trace, count(*) AS n_cases FROM log GROUP BY 1")
+def variants(spark, sf_dir):
+    return spelled(logs.variants(chat_log(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT event_type AS activity FROM events")
+def log_alphabet(spark, sf_dir):
+    return logs.alphabet(events_log(spark, sf_dir))
+
+
+@query(f"WITH {O.CHATS} SELECT case_id, array_to_string(trace, ' ') AS trace FROM log ORDER BY case_id LIMIT 20")
+def head_n_traces(spark, sf_dir):
+    return spelled(logs.head(chat_log(spark, sf_dir), 20))
+
+
+@query()
+def hash_sample_traces(spark, sf_dir):
+    return spelled(logs.sample(chat_log(spark, sf_dir), 20, seed=1))
+
+
+@query(f"WITH {O.CHATS}, {O.net(CHAT)} SELECT case_id, CAST(i AS INTEGER) AS pos, tid FROM (SELECT case_id, trace, unnest(range(1, least(len(trace), {STEPS}) + 1)) AS i FROM log) JOIN net ON label = trace[i]")
+def lambda_onehot(spark, sf_dir):
+    return logs.one_hot(chat_log(spark, sf_dir), CHAT.frame(spark), STEPS)
+
+
+@query(f"WITH {O.EVENTS} SELECT case_id, array_to_string(list_transform(trace, lambda x: CASE WHEN x IN ('signup', 'view', 'purchase') THEN x ELSE 'w' END), ' ') AS trace FROM log")
+def unknown_label_to_wait(spark, sf_dir):
+    return spelled(logs.known_or_wait(events_log(spark, sf_dir), ["signup", "view", "purchase"]))
+
+
+_LOG_NET = f"""cut AS (SELECT DISTINCT trace[1:4] AS trace FROM log WHERE len(trace) > 0),
+steps AS (SELECT array_to_string(trace, ' ') AS k, len(trace) AS size, trace, unnest(range(0, len(trace))) AS i FROM cut),
+arcs AS (SELECT CASE WHEN i = 0 THEN 'init' ELSE k || '/' || (i - 1) END AS src, trace[i + 1] || '@' || k || '/' || i AS transition, CASE WHEN i = size - 1 THEN 'end' ELSE k || '/' || i END AS dst FROM steps)"""
+
+
+@query(f"WITH {O.CHATS}, {_LOG_NET} SELECT * FROM arcs")
+def log_to_net_arcs(spark, sf_dir):
+    return logs.to_net(chat_log(spark, sf_dir), 4)
+
+
+@query(f"WITH {O.CHATS}, {_LOG_NET} SELECT DISTINCT dst AS place FROM arcs WHERE dst NOT IN (SELECT src FROM arcs)")
+def sink_places(spark, sf_dir):
+    arcs = logs.to_net(chat_log(spark, sf_dir), 4)
+    return arcs.select(F.col("dst").alias("place")).distinct().join(arcs.select(F.col("src").alias("place")), "place", "left_anti")
+
+
+@query(f"WITH RECURSIVE {O.CHATS}, {_LOG_NET}, d(transition, dst, depth) AS (SELECT transition, dst, 2 FROM arcs WHERE src = 'init' UNION ALL SELECT a.transition, a.dst, d.depth + 1 FROM d JOIN arcs a ON a.src = d.dst) SELECT transition, depth FROM d")
+def transition_depth(spark, sf_dir):
+    return nets.depths(logs.to_net(chat_log(spark, sf_dir), 4), spark, 4)
+
+
+@query(f"WITH {O.EVENTS}, f AS (SELECT trace[i] AS src, trace[i + 1] AS dst FROM (SELECT trace, unnest(range(1, len(trace))) AS i FROM log)) SELECT src, dst, count(*) AS n FROM f GROUP BY src, dst")
+def directly_follows(spark, sf_dir):
+    return logs.follows(events_log(spark, sf_dir))
+
+
+@query(f"WITH {O.CHATS}, a AS (SELECT row_number() OVER (ORDER BY role) - 1 AS a, role FROM (SELECT DISTINCT role FROM conversations)), p AS (SELECT role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, conv_id FROM conversations) SELECT conv_id AS case_id, 1 + conv_id * 8 * 3 + i * 3 + a AS var, 'lambda_jia [' || conv_id || ', ' || i || ', ' || a || ']' AS name FROM p JOIN a ON a.role = p.role WHERE i < 8")
+def variable_numbering(spark, sf_dir):
+    """The number and the name of the variable of each position's activity, and back from the number."""
+    log = chat_log(spark, sf_dir)
+    rows = log.select("case_id", F.posexplode("trace").alias("i", "role")).where("i < 8")
+    letters = logs.alphabet(log).select(F.col("activity").alias("role")).withColumn("a", F.expr("row_number() over (order by role) - 1"))  # an alphabet
+    family = families(lambda_jia=[(0, 1 << 31), (0, 8), (0, 3)])["lambda_jia"]
+    numbered = rows.join(F.broadcast(letters), "role").select("case_id", family.number(F.col("case_id"), F.col("i"), F.col("a")).alias("var"))
+    return numbered.withColumn("name", family.label(F.col("var")))
+
+
+# Runs and distances
+
+
+@query(O.query(O.CHATS, O.runs(CHAT, STEPS), O.variants(None), select=f"SELECT array_to_string(r.run, ' ') AS run, CAST(coalesce(sum(n_cases), 0) AS BIGINT) AS n_cases FROM runs r LEFT JOIN variants v ON {O.VISIBLE('r.run')} = v.trace GROUP BY 1"))
+def model_runs(spark, sf_dir):
+    """The model's runs, and how many cases are exactly what each one shows."""
+    found = nets.runs(spark, CHAT, STEPS).select("run", D.visible(F.col("run")).alias("trace"))
+    return found.join(logs.variants(chat_log(spark, sf_dir)), "trace", "left").groupBy(F.array_join("run", " ").alias("run")).agg(F.coalesce(F.sum("n_cases"), F.lit(0)).alias("n_cases"))
+
+
+def _pairs(spark, sf_dir, log, model, distance, reach_final=False):
+    return artefacts.run_distances(nets.runs(spark, model, STEPS, reach_final), logs.variants(log(spark, sf_dir)), STEPS, distance)
+
+
+def _flat(pairs):
+    return pairs.select(F.array_join("run", " ").alias("run"), F.array_join("trace", " ").alias("trace"), "n_cases", F.col("distance").cast("long").alias("distance"))
+
+
+_FLAT = "SELECT array_to_string(run, ' ') AS run, array_to_string(trace, ' ') AS trace, n_cases, CAST(distance AS BIGINT) AS distance FROM pairs"
+_HAMMING = (O.EVENTS, O.runs(SHOP, STEPS), O.variants(STEPS), O.hamming_pairs(STEPS))
+_EDIT = (O.EVENTS, O.runs(SHOP, STEPS), O.variants(STEPS), O.indel_pairs())
+_CHAT_EDIT = (O.CHATS, O.runs(CHAT, STEPS), O.variants(STEPS), O.indel_pairs())
+
+
+@query(O.query(O.CHATS, O.runs(CHAT, STEPS), O.variants(STEPS), O.hamming_pairs(STEPS), select=_FLAT))
+def hamming_run_trace(spark, sf_dir):
+    return _flat(_pairs(spark, sf_dir, chat_log, CHAT, "hamming"))
+
+
+@query(O.query(*_CHAT_EDIT, select=_FLAT))
+def indel_run_trace(spark, sf_dir):
+    return _flat(_pairs(spark, sf_dir, chat_log, CHAT, "edit"))
+
+
+_WORD = "array_to_string(list_transform(trace, lambda x: x[1]), '')"
+
+
+@query(f"WITH {O.CHATS}, {O.variants(None)}, w AS (SELECT {_WORD} AS word, n_cases FROM variants), c AS (SELECT word AS common FROM w ORDER BY n_cases DESC, word LIMIT 1) SELECT word, CAST(levenshtein(word, common) AS INTEGER) AS distance FROM w, c")
+def levenshtein_variants(spark, sf_dir):
+    """Each variant's edit distance from the most frequent one, one letter a role."""
+    words = logs.variants(chat_log(spark, sf_dir)).select(F.array_join(F.transform("trace", lambda x: F.substring(x, 1, 1)), "").alias("word"), "n_cases")
+    common = words.orderBy(F.desc("n_cases"), "word").limit(1).select(F.col("word").alias("common"))
+    return words.crossJoin(F.broadcast(common)).select("word", D.edit(F.col("word"), F.col("common")).alias("distance"))  # one row
+
+
+# Artefacts and measures
+
+
+def _best(name, parts, log, model, distance, artefact, objective):
+    value = {"anti": {"min": "least", "sum": "total"}, "multi": {"min": "most", "sum": "total"}}[artefact][objective]
+
+    def f(spark, sf_dir):
+        return artefacts.best(_pairs(spark, sf_dir, log, model, distance), artefact, objective)
+
+    f.__name__ = name
+    return query(O.query(*parts, O.best(value, artefact == "anti"), select="SELECT run, distance FROM best"))(f)
+
+
+_best("anti_hamming_min", _HAMMING, events_log, SHOP, "hamming", "anti", "min")
+_best("anti_edit_min", _EDIT, events_log, SHOP, "edit", "anti", "min")
+_best("anti_hamming_sum", _HAMMING, events_log, SHOP, "hamming", "anti", "sum")
+_best("anti_sum", _EDIT, events_log, SHOP, "edit", "anti", "sum")
+_best("multi_minimax", _CHAT_EDIT, chat_log, CHAT, "edit", "multi", "min")
+_best("multi_hamming_minimax", _HAMMING, events_log, SHOP, "hamming", "multi", "min")
+_best("multi_sum", _CHAT_EDIT, chat_log, CHAT, "edit", "multi", "sum")
+_best("exact_sum", _EDIT, events_log, SHOP, "edit", "multi", "sum")
+
+
+@query(O.query(*_CHAT_EDIT, O.best("most", False), select="SELECT array_to_string(trace, ' ') AS trace, n_cases, CAST(p.distance AS BIGINT) AS distance FROM pairs p JOIN best b ON array_to_string(p.run, ' ') = b.run"))
+def traces_with_distances(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir, chat_log, CHAT, "edit")
+    return artefacts.with_distances(pairs, artefacts.best(pairs, "multi", "min")).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(O.query(*_HAMMING, O.best("least", True), select=f"SELECT run, least(distance, {MOST}) AS min_distance, CAST(len(list_filter(string_split(run, ' '), lambda x: x <> 'w')) AS INTEGER) AS size_of_run FROM best"))
+def min_distance_and_size(spark, sf_dir):
+    """The least distance of the anti-alignment, at most the largest looked at, and its length without waits."""
+    found = artefacts.best(_pairs(spark, sf_dir, events_log, SHOP, "hamming"), "anti", "min")
+    return found.select("run", F.least("distance", F.lit(MOST)).alias("min_distance"), F.size(F.filter(F.split("run", " "), lambda x: x != "w")).alias("size_of_run"))
+
+
+def _precision(name, parts, distance, kind, share):
+    def f(spark, sf_dir):
+        pairs = _pairs(spark, sf_dir, events_log, SHOP, distance)
+        return artefacts.precision(pairs, artefacts.best(pairs, "anti", "min"), STEPS, kind, MOST)
+
+    f.__name__ = name
+    length = "len(list_filter(p.run, lambda x: x <> 'w'))"
+    return query(O.query(*parts, O.best("least", True), select=f"SELECT round(1 - min({share.format(u=length)}), 9) AS precision FROM pairs p JOIN best b ON array_to_string(p.run, ' ') = b.run"))(f)
+
+
+_precision("precision_edit", _EDIT, "edit", "edit", "p.distance / ({u} + len(trace))")
+_precision("precision_hamming", _HAMMING, "hamming", "hamming", "p.distance / greatest({u}, len(trace))")
+_precision("precision_bounded", _EDIT, "edit", "bounded", f"p.distance / {MOST}.0")
+
+#: How much less a longer run's distance counts, and the longest runs looked at.
+EPSILON, LONGEST = 0.1, 5
+
+
+def _epsilon_sql() -> str:
+    parts, names = [O.EVENTS], []
+    for n in range(2, LONGEST + 1):
+        parts += [O.runs(SHOP, n, True, f"runs{n}"), f"v{n} AS (SELECT trace[1:{n}] AS trace FROM log GROUP BY 1)", O.indel_pairs(f"v{n}, runs{n}", keep="run, trace", name=f"p{n}")]
+        parts.append(f"b{n} AS (SELECT array_to_string(run, ' ') AS run, min(distance) AS least, min(distance / (len(list_filter(run, lambda x: x <> 'w')) + len(trace))) AS share, any_value(len(list_filter(run, lambda x: x <> 'w'))) AS size FROM p{n} GROUP BY 1 ORDER BY least DESC, run LIMIT 1)")
+        names.append(f"SELECT share / pow({1 + EPSILON}, size) AS m FROM b{n}")
+    return O.query(*parts, select=f"SELECT round(1 - max(m), 9) AS precision FROM ({' UNION ALL '.join(names)})")
+
+
+@query(_epsilon_sql())
+def precision_epsilon(spark, sf_dir):
+    """1 minus the largest discounted distance of the full anti-alignments of 2 to LONGEST steps."""
+    log, found = logs.variants(events_log(spark, sf_dir)), None
+    for n in range(2, LONGEST + 1):
+        pairs = artefacts.run_distances(nets.runs(spark, SHOP, n, True), log, n, "edit").withColumn("size", F.size(F.filter("run", lambda x: x != "w")))
+        rows = pairs.groupBy(F.array_join("run", " ").alias("run")).agg(F.min("distance").alias("least"), F.min(F.col("distance") / (F.col("size") + F.size("trace"))).alias("share"), F.first("size").alias("size"))
+        one = rows.orderBy(F.desc("least"), "run").limit(1).select((F.col("share") / F.pow(F.lit(1 + EPSILON), F.col("size"))).alias("m"))
+        found = one if found is None else found.unionByName(one)
+    return found.agg(F.round(1 - F.max("m"), 9).alias("precision"))
+
+
+# Alignments and clusters
+
+FULL = 8
+_FULL_EDIT = (O.CHATS, O.runs(CHAT, FULL, True), O.variants(None), O.indel_pairs(keep="run, tids, trace, n_cases"))
+
+
+@query(O.query(*_FULL_EDIT, select="SELECT array_to_string(trace, ' ') AS trace, n_cases, CAST(min(distance) AS INTEGER) AS cost FROM pairs GROUP BY 1, 2"))
+def alignment_cost(spark, sf_dir):
+    """The optimal alignment of every variant with the model's full runs."""
+    return spelled(alignment.costs_to_runs(logs.variants(chat_log(spark, sf_dir)), nets.runs(spark, CHAT, FULL, True)))
+
+
+_POWER = f"pow(2.0, len(t) + {STEPS} - ({{i}}))"
+_FITNESS = f"""p AS (SELECT row_number() OVER () AS id, trace AS t, n_cases, s, list_transform(range(0, len(trace) + 1), lambda j: coalesce(list_sum(list_transform(range(0, j), lambda k: pow(2.0, len(trace) + {STEPS} - k))), 0.0)) AS w
+  FROM variants, (VALUES (['system', 'user', 'assistant']), (['user', 'assistant'])) r(s)),
+dp(id, i, cells) AS (SELECT id, 0, w FROM p UNION ALL
+  SELECT id, i + 1, list_transform(range(1, len(c) + 1), lambda j: w[j] + list_min(list_transform(range(1, j + 1), lambda k: c[k] - w[k])))
+  FROM (SELECT d.id, d.i, w, list_transform(range(1, len(t) + 2), lambda j: CASE WHEN j > 1 AND t[j - 1] = s[i + 1] THEN least(cells[j] + {_POWER.format(i="i + 2")}, cells[j - 1]) ELSE cells[j] + {_POWER.format(i="i + 2")} END) AS c
+        FROM dp d JOIN p ON d.id = p.id WHERE d.i < len(s)))"""
+
+
+@query(O.query(O.CHATS, O.variants(None), _FITNESS, select="SELECT array_to_string(t, ' ') AS trace, n_cases, min(cells[len(cells)]) AS cost FROM p JOIN dp ON p.id = dp.id AND dp.i = len(s) GROUP BY t, n_cases"))
+def fitness_prefix_weighted(spark, sf_dir):
+    """Each variant's least cost of moves on one side against the tree, where early moves cost more."""
+    depth = {"d1": 2, "d2": 3, "d3": 4, "d4": 2, "d5": 3}
+    runs = nets.runs(spark, TREE, 3, True).select(F.transform(F.filter("tids", lambda t: t != "w"), lambda t: F.struct(F.element_at(F.create_map(*[F.lit(x) for kv in ((k, label) for k, label, *_ in TREE.transitions) for x in kv]), t).alias("label"), F.element_at(F.create_map(*[F.lit(x) for kv in depth.items() for x in kv]), t).alias("depth"))).alias("run"))
+    both = logs.variants(chat_log(spark, sf_dir)).crossJoin(F.broadcast(runs))  # two runs
+    return spelled(both.groupBy("trace", "n_cases").agg(F.min(alignment.weighted_cost(F.col("run"), F.col("trace"), STEPS)).alias("cost")))
+
+
+_CLUSTER = (
+    *_FULL_EDIT,
+    "sets0 AS (SELECT DISTINCT list_sort(list_distinct(list_filter(tids, lambda t: t <> 'w'))) AS subnet FROM runs)",
+    "sets AS (SELECT subnet FROM sets0 WHERE len(subnet) <= 4)",
+    "subnets(subnet) AS (SELECT subnet FROM sets UNION SELECT list_sort(list_distinct(list_concat(a.subnet, b.subnet))) FROM subnets a, sets b WHERE len(list_distinct(list_concat(a.subnet, b.subnet))) <= 4)",
+    "covered AS (SELECT subnet, trace, n_cases, min(distance) AS cost FROM pairs, subnets WHERE list_has_all(subnet, list_filter(tids, lambda t: t <> 'w')) AND distance <= 1 GROUP BY ALL)",
+)
+
+
+def _covered(spark, sf_dir):
+    full = nets.runs(spark, CHAT, FULL, True)
+    log = logs.variants(chat_log(spark, sf_dir))
+    return log, clustering.coverage(log, full, clustering.subnets(full, 4), 1)
+
+
+@query(O.query(*_CLUSTER, select="SELECT array_to_string(subnet, ' ') AS subnet, array_to_string(trace, ' ') AS trace, n_cases, CAST(cost AS INTEGER) AS cost FROM covered"))
+def cluster_coverage(spark, sf_dir):
+    return spelled(_covered(spark, sf_dir)[1]).withColumn("subnet", F.array_join("subnet", " "))
+
+
+_PAIRS = (
+    *_CLUSTER,
+    "alone AS (SELECT subnet, sum(n_cases) AS n, sum(n_cases * cost) AS s FROM covered GROUP BY subnet)",
+    "shared AS (SELECT a.subnet AS s1, b.subnet AS s2, sum(a.n_cases) AS n, sum(a.n_cases * greatest(a.cost, b.cost)) AS dear FROM covered a JOIN covered b ON a.trace = b.trace AND a.subnet < b.subnet GROUP BY ALL)",
+    "scores AS (SELECT a.subnet AS s1, b.subnet AS s2, a.n + b.n - coalesce(x.n, 0) AS clustered, 100 * (a.n + b.n - coalesce(x.n, 0)) - 2 * (a.s + b.s - coalesce(x.dear, 0)) - 2 * len(list_intersect(a.subnet, b.subnet)) - len(a.subnet) - len(b.subnet) AS score FROM alone a JOIN alone b ON a.subnet < b.subnet LEFT JOIN shared x ON x.s1 = a.subnet AND x.s2 = b.subnet)",
+    "pair AS (SELECT * FROM scores ORDER BY score DESC, s1, s2 LIMIT 1)",
+)
+
+
+@query(O.query(*_PAIRS, select="SELECT array_to_string(s1, ' ') AS first, array_to_string(s2, ' ') AS second, CAST(score AS BIGINT) AS score, CAST(clustered AS BIGINT) AS clustered, CAST(len(list_intersect(s1, s2)) AS INTEGER) AS common FROM pair"))
+def cluster_score(spark, sf_dir):
+    """The two subnets that score best, and how many transitions they share."""
+    pair = clustering.best_pair(_covered(spark, sf_dir)[1])
+    return pair.select(F.array_join("first", " ").alias("first"), F.array_join("second", " ").alias("second"), F.col("score").cast("long").alias("score"), F.col("clustered").cast("long").alias("clustered"), F.size(F.array_intersect("first", "second")).alias("common"))
+
+
+_ASSIGN = (*_PAIRS, "own AS (SELECT trace, min(cost * 10 + CASE WHEN subnet = s1 THEN 1 ELSE 2 END) AS k FROM covered, pair WHERE subnet = s1 OR subnet = s2 GROUP BY trace)", "assigned AS (SELECT v.trace, v.n_cases, CAST(k % 10 AS INTEGER) AS cluster_id, CAST(k // 10 AS INTEGER) AS cost FROM variants v LEFT JOIN own ON own.trace = v.trace)")
+
+
+def _assigned(spark, sf_dir):
+    log, covered = _covered(spark, sf_dir)
+    return clustering.assign(log, covered, clustering.best_pair(covered))
+
+
+@query(O.query(*_ASSIGN, select="SELECT array_to_string(trace, ' ') AS trace, n_cases, cluster_id, cost FROM assigned"))
+def cluster_assignment(spark, sf_dir):
+    return spelled(_assigned(spark, sf_dir))
+
+
+@query(O.query(*_ASSIGN, select="SELECT coalesce(cluster_id, 0) AS cluster_id, CAST(sum(n_cases) AS BIGINT) AS n_cases FROM assigned GROUP BY 1"))
+def cluster_sizes(spark, sf_dir):
+    return _assigned(spark, sf_dir).groupBy(F.coalesce("cluster_id", F.lit(0)).alias("cluster_id")).agg(F.sum("n_cases").alias("n_cases"))
+
+
+_NEAR = f"levenshtein({_WORD.replace('trace', 'a.trace')}, {_WORD.replace('trace', 'b.trace')})"
+
+
+@query(O.query(*_ASSIGN, select=f"SELECT array_to_string(a.trace, ' ') AS trace, a.n_cases, coalesce(a.cluster_id, min(b.cluster_id)) AS cluster_id FROM assigned a LEFT JOIN assigned b ON a.cluster_id IS NULL AND b.cluster_id IS NOT NULL AND {_NEAR} <= 1 GROUP BY a.trace, a.n_cases, a.cluster_id"))
+def absorb_variants(spark, sf_dir):
+    """The assignment after variants within one edit of a clustered one have joined its cluster."""
+    letters = spark.createDataFrame([("system", "s"), ("user", "u"), ("assistant", "a")], "activity string, letter string")
+    return spelled(clustering.absorb(_assigned(spark, sf_dir), letters, 1).select("trace", "n_cases", "cluster_id"))
+
+
+@query("WITH n AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL), c AS (SELECT sum(n * (n - 1) / 2) AS n11 FROM n), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM n GROUP BY quality)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM n GROUP BY toxic)) SELECT round(n11 / (a + b - n11), 9) AS jaccard FROM c, a, b")
+def jaccard_index(spark, sf_dir):
+    return clustering.jaccard_index(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query(f"WITH {O.CHATS}, g AS (SELECT case_id, array_to_string(trace[i:i + k - 1], ' ') AS gram FROM (SELECT case_id, trace, k, unnest(range(1, len(trace) - k + 2)) AS i FROM log, (VALUES (1), (2), (3)) s(k))) SELECT gram, count(DISTINCT case_id) AS n_cases FROM g GROUP BY gram")
+def ngram_features(spark, sf_dir):
+    """In how many cases each run of one to three activities stands."""
+    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("trace"), F.lit(1))), lambda i: i + k - 1 <= F.size("trace")), lambda i: F.array_join(F.slice("trace", i, k), " "))))
+    return chat_log(spark, sf_dir).select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_cases"))
+
+
+@query()
+def super_instances(spark, sf_dir):
+    return clustering.super_instances(chat_log(spark, sf_dir), 4)
+
+
+@query(O.query(O.CHATS, O.runs(CHAT, STEPS, True), "first AS (SELECT DISTINCT list_filter(run, lambda x: x <> 'w') AS run FROM runs)", f"second AS (SELECT DISTINCT trace[1:{STEPS}] AS other FROM log)", O.indel_pairs("first, second", s="run", t="other", keep="run, other", plain=True), select="SELECT array_to_string(run, ' ') AS run, CAST(min(distance) AS INTEGER) AS nearest FROM pairs GROUP BY 1 HAVING min(distance) > 2"))
+def nets_anti_alignment(spark, sf_dir):
+    """Full runs of the model that the log's own net cannot follow within two moves."""
+    spelled_out = logs.prefixes(logs.variants(chat_log(spark, sf_dir)), STEPS).select(F.col("trace").alias("run"))
+    return netcompare.unmatched(nets.runs(spark, CHAT, STEPS, True), spelled_out, 2)
