@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
 from petrilake.functions.numbering import families
-from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets
+from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair
 from petrilake.plans import oracle as O
 from petrilake.plans.models import CHAT, SHOP, TREE
 from petrilake.session import table
@@ -367,3 +367,38 @@ def nets_anti_alignment(spark, sf_dir):
     """Full runs of the model that the log's own net cannot follow within two moves."""
     spelled_out = logs.prefixes(logs.variants(chat_log(spark, sf_dir)), STEPS).select(F.col("trace").alias("run"))
     return netcompare.unmatched(nets.runs(spark, CHAT, STEPS, True), spelled_out, 2)
+
+
+# Repair
+
+ROLES = ["assistant", "system", "user"]
+
+
+def _run_sql(run) -> str:
+    return "([" + ", ".join(f"'{x}'" for x, _ in run) + "]::VARCHAR[], [" + ", ".join(str(d) for _, d in run) + "]::INTEGER[])"
+
+
+def _repair_sql() -> str:
+    rows = ", ".join(f"('{name}', {_run_sql(run)[1:-1]})" for name, m in repair.candidates(TREE, ROLES) for run in repair.branches(m))
+    fitness = _FITNESS.replace("n_cases, s, list_transform", "n_cases, action, s, depth, list_transform").replace("(VALUES (['system', 'user', 'assistant']), (['user', 'assistant'])) r(s)", f"(VALUES {rows}) r(action, s, depth)")
+    for x in ("i + 2",):
+        fitness = fitness.replace(f"({x})", "(depth[i + 1])")
+    fitness = fitness.replace("SELECT d.id, d.i, w,", "SELECT d.id, d.i, depth, w,")
+    return O.query(O.CHATS, O.variants(None), fitness, "each AS (SELECT action, t, n_cases, min(cells[len(cells)]) AS cost FROM p JOIN dp ON p.id = dp.id AND dp.i = len(s) GROUP BY ALL)", "scores AS (SELECT action, CAST(sum(cost * n_cases) AS DOUBLE) AS fitness FROM each GROUP BY action)", select="SELECT action, fitness FROM scores")
+
+
+def _scores(spark, sf_dir):
+    log = logs.variants(chat_log(spark, sf_dir))
+    letters = [r[0] for r in logs.alphabet(log).collect()]  # an alphabet
+    return repair.scores(spark, repair.candidates(TREE, letters), log, STEPS)
+
+
+@query(_repair_sql())
+def repair_candidates(spark, sf_dir):
+    """What every repair of the tree would make of its fitness."""
+    return _scores(spark, sf_dir)
+
+
+@query(_repair_sql() + " ORDER BY fitness, action LIMIT 1")
+def repair_best_action(spark, sf_dir):
+    return _scores(spark, sf_dir).orderBy("fitness", "action").limit(1)
