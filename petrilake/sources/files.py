@@ -43,14 +43,16 @@ def write_xes(log: DataFrame, path: str) -> None:
 def read_pnml(spark: SparkSession, path: str) -> DataFrame:
     """(file, places, initial, transitions, labels, silent, sources, targets): one row a PNML file, arrays in the file's order."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "(<pnml|<net)[^>]*?( id=\"[^\"]*\")?[^>]*>", "$1$2>").alias("x"))
-    per = lambda node, inner: F.expr(f"transform(xpath(x, '//{node}/@id'), i -> xpath_string(x, concat('//{node}[@id=\"', i, '\"]{inner}')))")
+    named = F.map_from_arrays(F.expr("xpath(x, '//transition[name/text/text()]/@id')"), F.expr("xpath(x, '//transition/name/text/text()')"))
+    hidden = F.expr("xpath(x, '//transition[toolspecific/@activity=\"$invisible$\"]/@id')")
+    ids = F.expr("xpath(x, '//transition/@id')")
     return raw.select(
         "file",
         F.expr("xpath(x, '//place/@id')").alias("places"),
         F.expr("xpath(x, '//place[number(initialMarking/text) > 0]/@id')").alias("initial"),
-        F.expr("xpath(x, '//transition/@id')").alias("transitions"),
-        per("transition", "/name/text").alias("labels"),
-        F.transform(per("transition", "/toolspecific/@activity"), lambda a: a == "$invisible$").alias("silent"),
+        ids.alias("transitions"),
+        F.transform(ids, lambda t: F.element_at(named, t)).alias("labels"),
+        F.transform(ids, lambda t: F.array_contains(hidden, t)).alias("silent"),
         F.expr("xpath(x, '//arc/@source')").alias("sources"),
         F.expr("xpath(x, '//arc/@target')").alias("targets"),
     )

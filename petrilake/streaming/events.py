@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def windowed_activities(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, users): events by tumbling window; what comes later than `late` is left out."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "event_type", "n", "users")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "event_type", "n", "users")
