@@ -7,11 +7,12 @@ order, so each such shingle is a region, and a set is replicated into the region
 shingles last (by the power of two of their document count, then by hash), so that passages that many documents share make no region.
 
 1. Equal sets become one class.
-2. Each region's smallest class is its pivot, and the distance of every member to the pivot is computed exactly. Members within 1 - t
-   of a pivot are linked; a group of near copies is thereby joined with its pivot in one step, without its pairs. Regions of very frequent
+2. Each region's smallest class is its pivot. Parity sketches bound the distance of every member to the pivot from below (buckets
+   whose parities differ each hold an element of one set alone), and where the bound leaves a link possible, the distance is computed from the
+   sets. Members within 1 - t of a pivot are linked; a group of near copies is thereby joined with its pivot in one step, without its pairs. Regions of very frequent
    shingles are dealt into cells with a pivot each, and the cells' pivots meet in a region of their own.
 3. The region is settled when its members are one component. Otherwise it is joined again: members outside its largest component meet
-   the others, and only in the window |d(x, p) - d(y, p)| <= 1 - t that the triangle inequality leaves. What remains is verified exactly.
+   the others, and only in the window |d(x, p) - d(y, p)| <= 1 - t that the triangle inequality leaves. What remains is bounded and verified likewise.
 
 So every link between different sets joins its component; pairs inside one component need no check. Counts decide the order only,
 so any count gives the exact result.
@@ -31,22 +32,37 @@ from petrilake.llm.common import LOWER_BYTES, python_workers, written
 
 #: Shingles of at least so many documents are ordered by their count; at most so many are sent to the tasks (the least count is doubled
 #: until they are fewer). Regions of more documents than CELL are dealt into cells.
-FREQUENT = 32
+FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 CELL = 4096
+#: Buckets of the parity sketches, a power of two.
+BUCKETS = 1024
+#: Words whose hashes a task remembers.
+WORDS = 400_000
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_IDS = 1 << 20
 #: Fixed odd factors that tell the words of a shingle apart.
 _FACTORS = [int.from_bytes(xxhash.xxh3_64_digest(f"word {i}".encode()), "big") | 1 for i in range(64)]
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _WordHashes()
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct k-word shingles as sorted 64-bit hashes; of fewer words the whole sequence; of none nothing."""
     words = (text or "").encode().translate(LOWER_BYTES).split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    if len(_words) > WORDS:
+        _words.clear()
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     size = min(k, n)
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
@@ -62,25 +78,31 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """For each of BUCKETS buckets whether it holds an odd number of the set's elements, as bits of 64-bit numbers."""
+    odd = np.bincount((s >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64), minlength=BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many first shingles two sets of that similarity share one of."""
     return n - -(-n * percent // 100) + 1
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, a, b): the size and a 128-bit signature of each row's set."""
+    """(doc_id, n, a, b, sketch): the size, a 128-bit signature and the parity sketch of each row's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
             sig = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64())], ["doc_id", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "sketch"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, a long, b long")
+    return docs.mapInArrow(work, "doc_id long, n long, a long, b long, sketch array<long>")
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent shingles, and the power of two of each one's count, from the lower half of every set in hash order."""
+    """Sorted frequent shingles, and the power of two of each one's count, from the first three tenths of every set in hash order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -92,7 +114,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, k)
-                held.append(s[: len(s) // 2 + 1])
+                held.append(s[: len(s) * 3 // 10 + 1])
                 size += len(held[-1])
                 if size > 3_000_000:
                     yield counted()
@@ -161,13 +183,35 @@ def members(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return several.join(own, ["a", "b"]).join(pivots, ["pa", "pb"]).select("shingle", "cell", "doc", "n", "pivot")
 
 
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, apart) of pairs of ids: the sets' sizes and a lower bound of the elements that only one of them has."""
+    left = pairs.join(sketches.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
+    both = left.join(sketches.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
+    return both.select("x", "y", "nx", "ny", F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, c: a + c).cast("long").alias("apart"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, inter, nx, ny) of pairs of ids, from the sets themselves."""
-    left = pairs.join(sets.select(F.col("doc").alias("x"), F.col("set").alias("sx")), "x")
+    left = pairs.select("x", "y").join(sets.select(F.col("doc").alias("x"), F.col("set").alias("sx")), "x")
     both = left.join(sets.select(F.col("doc").alias("y"), F.col("set").alias("sy")), "y")
     return both.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("inter"), F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"))
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc, set) of the ids in pairs(x, y)."""
+    ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                sets = [shingle_set(t, k).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
+
+    return written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(work, "doc long, set array<long>"), "sets")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, component) of the ids in edges(x, y): the smallest id that each one reaches.
 
@@ -199,43 +243,41 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
     inside = written(members(regions(docs, k, percent, frequent_shingles(docs, k)), classes), "members")
 
-    ids = written(inside.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                sets = [shingle_set(t, k).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
-
-    sets = written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(work, "doc long, set array<long>"), "sets")
+    sketches = signed.select(F.col("doc_id").alias("doc"), "n", "sketch").where("n > 0")
     linked = F.col("inter") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("inter"))
+    possible = (F.col("apart") * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     within = 1 - percent / 100
 
     star = inside.where("doc != pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y"))
     dealt = inside.where("cell > 0").select("shingle").distinct()
     heads = inside.join(dealt, "shingle", "left_semi").select("shingle", "pivot").distinct()  # cells' pivots
     heads = heads.join(heads.groupBy("shingle").agg(F.min("pivot").alias("head")), "shingle").where("pivot != head").select(F.col("pivot").alias("x"), F.col("head").alias("y"))
-    near = written(verified(star.unionByName(heads).distinct(), sets), "near")
-    edges = near.where(linked).select("x", "y")
+    near = written(bounded(star.unionByName(heads).distinct(), sketches), "near")
+    close = near.where(possible)
+    exact = written(verified(close, sets_of(docs, close, k)), "exact")
+    edges = exact.where(linked).select("x", "y")
     found = components(edges)
 
-    reach = near.select(F.col("x").alias("doc"), F.col("y").alias("pivot"), (1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))).alias("d"))
+    bound = near.select("x", "y", (2 * F.col("apart") / (F.col("nx") + F.col("ny") + F.col("apart"))).alias("low"))
+    true = exact.select("x", "y", (1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))).alias("d"))
+    reach = bound.join(true, ["x", "y"], "left").groupBy(F.col("x").alias("doc"), F.col("y").alias("pivot")).agg(F.min(F.coalesce("d", "low")).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high"))
     known = inside.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    rows = written(known.join(open_, "shingle", "left_semi").join(reach, ["doc", "pivot"], "left").withColumn("d", F.when(F.col("doc") == F.col("pivot"), 0.0).otherwise(F.col("d"))), "open")
+    open_ = known.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("shingle")
+    rows = known.join(open_, "shingle", "left_semi").join(reach, ["doc", "pivot"], "left")
+    same = F.col("doc") == F.col("pivot")
+    rows = written(rows.withColumn("low", F.when(same, 0.0).otherwise(F.coalesce("low", F.lit(0.0)))).withColumn("high", F.when(same, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))), "open")
     sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-    largest = written(sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest")), "largest")
-    rest = rows.join(largest, "shingle").where("component != largest").select("shingle", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pivot").alias("px"), F.col("d").alias("dx"), "largest")
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    rest = rows.join(largest, "shingle").where("component != largest").select("shingle", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pivot").alias("px"), F.col("low").alias("lx"), F.col("high").alias("hx"), "largest")
     rest = written(rest, "rest")
-    other = rows.select("shingle", F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("pivot").alias("py"), F.col("d").alias("dy"))
-    window = (F.col("px") != F.col("py")) | ((F.col("x") != F.col("py")) & (F.col("y") != F.col("px")) & (F.abs(F.col("dx") - F.col("dy")) <= within + 1e-9))
+    other = rows.select(F.col("shingle").alias("other"), F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("pivot").alias("py"), F.col("low").alias("ly"), F.col("high").alias("hy"))
+    apart = (F.col("px") == F.col("py")) & ((F.col("x") == F.col("py")) | (F.col("y") == F.col("px")) | (F.col("lx") - F.col("hy") > within + 1e-9) | (F.col("ly") - F.col("hx") > within + 1e-9))
     pairs = rest.join(
         other,
-        (rest.shingle == other.shingle) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & window,
+        (F.col("shingle") == F.col("other")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ~apart,
     ).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    again = written(verified(pairs.distinct(), sets).where(linked).select("x", "y"), "again")
+    close = written(bounded(pairs.distinct(), sketches).where(possible), "close")
+    again = written(verified(close, sets_of(docs, close, k)).where(linked).select("x", "y"), "again")
     if again.limit(1).count():
         found = components(edges.unionByName(again))
     final = written(classes.join(found, "doc", "left").select("a", "b", F.coalesce("component", "doc").alias("component")), "components")
