@@ -52,7 +52,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base figures and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return quality.judge(docs).drop("text", "lang")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +99,55 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+_CLASS = lambda cls: f"length(regexp_replace(t, '[^{cls}]+', '', 'g'))"
+_HALVES = "CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END / 2 + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END / 2"
+
+ORACLES: dict[str, str] = {
+    "op5_quality": f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+often AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM often) GROUP BY doc_id),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+base AS (SELECT d.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, {_CLASS("#*$%&|<>")} AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+  [{_CLASS("a-z")}, {_CLASS("A-Z")}, {_CLASS("0-9")}, {_CLASS("#*$%&|<>")}, length(regexp_replace(t, '[a-zA-Z0-9#*$%&|<> \\x09-\\x0D]|[^\\x00-\\x7F]', '', 'g')), length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g'))] AS k
+  FROM d LEFT JOIN dups ON dups.doc_id = d.doc_id LEFT JOIN repeats ON repeats.doc_id = d.doc_id),
+langs AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 0.001 * (SELECT count(*) FROM d)),
+keyed AS (SELECT base.*, coalesce('=' || langs.lang, '') AS lk FROM base LEFT JOIN langs ON langs.lang = base.lang),
+classes AS (SELECT lk, i, sum(k[i]) AS n FROM (SELECT '=' || lang AS lk, k, unnest(range(1, 7)) AS i FROM base UNION ALL SELECT '', k, unnest(range(1, 7)) FROM base) GROUP BY ALL),
+class_ref AS (SELECT lk, i, n / sum(n) OVER (PARTITION BY lk) AS p FROM classes),
+class_dist AS (SELECT doc_id, sqrt(greatest(sum({_HALVES.format(p="p", q="q")}), 0)) AS dist FROM (SELECT doc_id, p, k[i] / greatest(list_sum(k), 1) AS q FROM keyed JOIN class_ref ON class_ref.lk = keyed.lk) GROUP BY doc_id),
+words AS (SELECT doc_id, lang, unnest(w) AS word FROM d),
+counts AS (SELECT lk, word, count(*) AS n FROM (SELECT '=' || lang AS lk, word FROM words UNION ALL SELECT '', word FROM words) WHERE lk IS NOT NULL GROUP BY ALL),
+common AS (SELECT lk, word, p FROM (SELECT lk, word, n / sum(n) OVER (PARTITION BY lk) AS p FROM counts) WHERE p >= 0.005),
+mine AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+cells AS (SELECT keyed.doc_id, p, coalesce(mine.n, 0) / greatest(n_words, 1) AS q FROM keyed JOIN common ON common.lk = keyed.lk LEFT JOIN mine ON mine.doc_id = keyed.doc_id AND mine.word = common.word),
+others AS (SELECT doc_id, greatest(1 - sum(p), 0) AS p, 1 - sum(q) AS q, sum({_HALVES.format(p="p", q="q")}) AS js FROM cells GROUP BY doc_id),
+word_dist AS (SELECT doc_id, sqrt(greatest(js + {_HALVES.format(p="p", q="q")}, 0)) AS dist FROM others),
+judged AS (SELECT keyed.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(w.dist, 0) AS wd, c.dist AS cd FROM keyed LEFT JOIN word_dist w ON w.doc_id = keyed.doc_id JOIN class_dist c ON c.doc_id = keyed.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 80 OR (wd <= 0.4 AND cd <= 0.32)) AS kept FROM judged""",
+    "op7_line_dedup": f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM parts),
+keyed AS (SELECT doc_id, i, line, {_LOWER.format(f"trim(line, {_SPACE})")} AS k FROM each),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, line, common.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN common ON keyed.k = common.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
+    "op8_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, places.n, i, item_id FROM places JOIN windows ON places.k = windows.k AND places.n = windows.n),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+}
