@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrilake.llm.common import LOWER_BYTES, python_workers, written
@@ -37,6 +37,7 @@ MOST_FREQUENT = 1 << 20
 CELL = 4096
 #: Buckets of the parity sketches, a power of two.
 BUCKETS = 1024
+HALF = BUCKETS // 128
 #: Words whose hashes a task remembers.
 WORDS = 400_000
 #: Rows up to which a list of ids is broadcast.
@@ -89,18 +90,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, a, b, sketch): the size, a 128-bit signature and the parity sketch of each row's set."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-            sig = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([y for _, y in sig], pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "sketch"])
-
-    return docs.mapInArrow(work, "doc_id long, n long, a long, b long, sketch array<long>")
-
-
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles, and the power of two of each one's count, from the first three tenths of every set in hash order."""
 
@@ -132,55 +121,75 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[by], np.log2(n[by]).astype(np.int8)
 
 
-def regions(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, cell, a, b): each different set in the regions of its first shingles."""
+PLACED = "doc_id long, sketch array<long>, n long, a long, b long, shingle long, cell int, pos int"
+
+
+def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Two kinds of rows: doc_id, sketch, n, a, b of each row of docs; and n, a, b, shingle, cell, pos of each different set in the regions
+    of its first shingles. n is the set's size, (a, b) its 128-bit signature, pos a shingle's place in the set's order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    cell_bits = CELL.bit_length() - 1
+    schema = pa.schema([("doc_id", pa.int64()), ("sketch", pa.list_(pa.int64())), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingle", pa.int64()), ("cell", pa.int32()), ("pos", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, power = shared.value
         seen: set[tuple[int, int]] = set()  # spares repeated copies; forgetting some is harmless
         for batch in batches:
-            out, cells, a, b, sizes = [], [], [], [], []
+            sizes, sigs, sketches = [], [], []
+            shingles, cells, owner, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, k)
-                if not len(s) or (sig := _signature(s)) in seen:
+                sig = _signature(s)
+                sizes.append(len(s))
+                sigs.append(sig)
+                sketches.append(parity_sketch(s))
+                if not len(s) or sig in seen:
                     continue
                 seen.add(sig)
                 if len(seen) > 200_000:
                     seen.clear()
                 p = prefix_length(len(s), percent)
+                cell = np.zeros(p, np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     level = np.where(often[at] == s, power[at], 0)
-                    first = np.lexsort((s, level))[:p]
-                    s, level = s[first], level[first]
-                    cell = np.where(level > CELL.bit_length() - 1, (np.int64(sig[0]) & 0x7FFFFFFF) % np.left_shift(1, np.maximum(level.astype(np.int64) - (CELL.bit_length() - 1), 0)), 0)
-                else:
-                    s = s[:p]
-                    cell = np.zeros(len(s), np.int64)
-                out.append(s)
+                    first = np.argsort(level, kind="stable")[:p]  # s is sorted: by level, then by hash
+                    s, level = s[first], level[first].astype(np.int64)
+                    if level[-1] > cell_bits:
+                        cell = np.where(level > cell_bits, (sig[0] & 0x7FFFFFFF) % np.left_shift(1, np.maximum(level - cell_bits, 0)), 0)
+                shingles.append(s[:p])
                 cells.append(cell)
-                a.append(sig[0])
-                b.append(sig[1])
-                sizes.append(len(s))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.repeat(np.array(a, np.int64), sizes)), pa.array(np.repeat(np.array(b, np.int64), sizes))],
-                    ["shingle", "cell", "a", "b"],
-                )
-
-    return docs.mapInArrow(work, "shingle long, cell int, a long, b long")
-
-
-def members(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(shingle, cell, doc, n, pivot) of the cells with two classes at least; doc and pivot are the classes' smallest ids."""
+                owner.append(len(sizes) - 1)
+                lengths.append(p)
+            n = np.array(sizes, np.int64)
+            a, b = (np.array([x[i] for x in sigs], np.int64) for i in (0, 1))
+            none = pa.nulls(len(sizes), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64())), pa.array(n), pa.array(a), pa.array(b), pa.nulls(len(sizes), pa.int64()), none, none], schema=schema)
+            who = np.repeat(np.array(owner, np.int64), lengths)
+            pos = np.concatenate([np.empty(0, np.int32), *[np.arange(p, dtype=np.int32) for p in lengths]])
+            rows = len(who)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.list_(pa.int64())), pa.array(n[who]), pa.array(a[who]), pa.array(b[who]), pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(pos)],
+                schema=schema,
+            )
+
+    return docs.mapInArrow(work, PLACED)
+
+
+def members(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(shingle, cell, doc, n, pos, pivot, pivot_n, pivot_pos) of the cells with two classes at least; doc and pivot are the classes' smallest ids."""
     by = Window.partitionBy("shingle", "cell").orderBy("a", "b")
-    run = placed.select("*", F.lag("a").over(by).alias("a0"), F.lag("b").over(by).alias("b0")).where("not (a0 <=> a and b0 <=> b)").drop("a0", "b0")
-    run = run.select("*", F.first("a").over(by).alias("pa"), F.first("b").over(by).alias("pb"), F.row_number().over(by).alias("i"), F.lead("a").over(by).isNotNull().alias("more"))
+    run = regions.select("shingle", "cell", "a", "b", "n", "pos").select("*", F.lag("a").over(by).alias("a0"), F.lag("b").over(by).alias("b0")).where("not (a0 <=> a and b0 <=> b)").drop("a0", "b0")
+    first = [F.first(c).over(by).alias(name) for c, name in (("a", "pa"), ("b", "pb"), ("n", "pivot_n"), ("pos", "pivot_pos"))]
+    run = run.select("*", *first, F.row_number().over(by).alias("i"), F.lead("a").over(by).isNotNull().alias("more"))
     several = run.where("i > 1 or more").drop("i", "more")
-    own = classes.select("a", "b", F.col("doc").alias("doc"), "n")
-    pivots = classes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("doc").alias("pivot"))
-    return several.join(own, ["a", "b"]).join(pivots, ["pa", "pb"]).select("shingle", "cell", "doc", "n", "pivot")
+    own, pivots = classes.select("a", "b", "doc"), classes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("doc").alias("pivot"))
+    return several.join(own, ["a", "b"]).join(pivots, ["pa", "pb"]).select("shingle", "cell", "doc", "n", "pos", "pivot", "pivot_n", "pivot_pos")
+
+
+def may_link(percent: int, nx: Column, ny: Column, px: Column, py: Column) -> Column:
+    """Whether two sets can be alike enough if a shingle at places px and py of their orders is the first that they share."""
+    return (F.least(nx - px, ny - py) * (100 + percent) >= percent * (nx + ny)) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
 
 
 def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -239,16 +248,16 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     python_workers(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = written(signatures(docs, k), "signatures")
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
-    inside = written(members(regions(docs, k, percent, frequent_shingles(docs, k)), classes), "members")
-
+    rows = written(placed(docs, k, percent, frequent_shingles(docs, k)), "placed")
+    signed = rows.where("shingle is null").select("doc_id", "n", "a", "b", "sketch")
+    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("doc")), "classes")
+    inside = written(members(rows.where("shingle is not null"), classes), "members")
     sketches = signed.select(F.col("doc_id").alias("doc"), "n", "sketch").where("n > 0")
     linked = F.col("inter") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("inter"))
     possible = (F.col("apart") * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     within = 1 - percent / 100
 
-    star = inside.where("doc != pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y"))
+    star = inside.where(may_link(percent, F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos")) & (F.col("doc") != F.col("pivot"))).select(F.col("doc").alias("x"), F.col("pivot").alias("y"))
     dealt = inside.where("cell > 0").select("shingle").distinct()
     heads = inside.join(dealt, "shingle", "left_semi").select("shingle", "pivot").distinct()  # cells' pivots
     heads = heads.join(heads.groupBy("shingle").agg(F.min("pivot").alias("head")), "shingle").where("pivot != head").select(F.col("pivot").alias("x"), F.col("head").alias("y"))
@@ -266,15 +275,23 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = known.join(open_, "shingle", "left_semi").join(reach, ["doc", "pivot"], "left")
     same = F.col("doc") == F.col("pivot")
     rows = written(rows.withColumn("low", F.when(same, 0.0).otherwise(F.coalesce("low", F.lit(0.0)))).withColumn("high", F.when(same, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))), "open")
+    folded = [(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i + HALF)))).alias(f"s{i}") for i in range(HALF)]  # parities of half as many buckets
+    rows = rows.join(sketches.select("doc", *folded), "doc")
     sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    rest = rows.join(largest, "shingle").where("component != largest").select("shingle", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pivot").alias("px"), F.col("low").alias("lx"), F.col("high").alias("hx"), "largest")
-    rest = written(rest, "rest")
-    other = rows.select(F.col("shingle").alias("other"), F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("pivot").alias("py"), F.col("low").alias("ly"), F.col("high").alias("hy"))
-    apart = (F.col("px") == F.col("py")) & ((F.col("x") == F.col("py")) | (F.col("y") == F.col("px")) | (F.col("lx") - F.col("hy") > within + 1e-9) | (F.col("ly") - F.col("hx") > within + 1e-9))
+    side = lambda x: [F.col(a).alias(b + x) for a, b in (("component", "c"), ("n", "n"), ("pos", "i"), ("pivot", "p"), ("low", "l"), ("high", "h"), *((f"s{i}", f"s{i}") for i in range(HALF)))]
+    rest = written(rows.join(largest, "shingle").where("component != largest").select("shingle", F.col("doc").alias("x"), *side("x"), "largest"), "rest")
+    other = rows.select(F.col("shingle").alias("other"), F.col("doc").alias("y"), *side("y"))
+    apart = (F.col("px") == F.col("py")) & ((F.col("lx") - F.col("hy") > within + 1e-9) | (F.col("ly") - F.col("hx") > within + 1e-9))
+    differ = sum(F.bit_count(F.col(f"s{i}x").bitwiseXOR(F.col(f"s{i}y"))) for i in range(HALF))
     pairs = rest.join(
         other,
-        (F.col("shingle") == F.col("other")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ~apart,
+        (F.col("shingle") == F.col("other"))
+        & (F.col("cx") != F.col("cy"))
+        & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
+        & may_link(percent, F.col("nx"), F.col("ny"), F.col("ix"), F.col("iy"))
+        & (differ * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+        & ~apart,
     ).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     close = written(bounded(pairs.distinct(), sketches).where(possible), "close")
     again = written(verified(close, sets_of(docs, close, k)).where(linked).select("x", "y"), "again")
