@@ -35,6 +35,8 @@ from petrilake.llm.common import LOWER_BYTES, python_workers, written
 FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 CELL = 4096
+#: Orders in which the members of a region meet their neighbours.
+ORDERS = 16
 #: Buckets of the parity sketches, a power of two.
 BUCKETS = 1024
 HALF = BUCKETS // 128
@@ -177,14 +179,19 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
 
 
 def members(regions: DataFrame, classes: DataFrame) -> DataFrame:
-    """(shingle, cell, doc, n, pos, pivot, pivot_n, pivot_pos) of the cells with two classes at least; doc and pivot are the classes' smallest ids."""
+    """(shingle, cell, doc, n, pos, pivot, pivot_n, pivot_pos, near, near_n, near_pos) of the cells with two classes at least.
+
+    doc, pivot and near are the classes' smallest ids; near is a member's neighbour in one of ORDERS orders, which the region picks.
+    """
     by = Window.partitionBy("shingle", "cell").orderBy("a", "b")
     run = regions.select("shingle", "cell", "a", "b", "n", "pos").select("*", F.lag("a").over(by).alias("a0"), F.lag("b").over(by).alias("b0")).where("not (a0 <=> a and b0 <=> b)").drop("a0", "b0")
     first = [F.first(c).over(by).alias(name) for c, name in (("a", "pa"), ("b", "pb"), ("n", "pivot_n"), ("pos", "pivot_pos"))]
     run = run.select("*", *first, F.row_number().over(by).alias("i"), F.lead("a").over(by).isNotNull().alias("more"))
     several = run.where("i > 1 or more").drop("i", "more")
-    own, pivots = classes.select("a", "b", "doc"), classes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("doc").alias("pivot"))
-    return several.join(own, ["a", "b"]).join(pivots, ["pa", "pb"]).select("shingle", "cell", "doc", "n", "pos", "pivot", "pivot_n", "pivot_pos")
+    mixed = Window.partitionBy("shingle", "cell").orderBy(F.xxhash64(F.pmod(F.col("shingle"), F.lit(ORDERS)), "a", "b"), "a", "b")
+    several = several.select("*", *[F.lag(c).over(mixed).alias(name) for c, name in (("a", "na"), ("b", "nb"), ("n", "near_n"), ("pos", "near_pos"))])
+    own, pivots, nears = (classes.select(F.col("a").alias(a), F.col("b").alias(b), F.col("doc").alias(d)) for a, b, d in (("a", "b", "doc"), ("pa", "pb", "pivot"), ("na", "nb", "near")))
+    return several.join(own, ["a", "b"]).join(pivots, ["pa", "pb"]).join(nears, ["na", "nb"], "left").select("shingle", "cell", "doc", "n", "pos", "pivot", "pivot_n", "pivot_pos", "near", "near_n", "near_pos")
 
 
 def may_link(percent: int, nx: Column, ny: Column, px: Column, py: Column) -> Column:
@@ -258,6 +265,8 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     within = 1 - percent / 100
 
     star = inside.where(may_link(percent, F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos")) & (F.col("doc") != F.col("pivot"))).select(F.col("doc").alias("x"), F.col("pivot").alias("y"))
+    beside = inside.where(F.col("near").isNotNull() & may_link(percent, F.col("n"), F.col("near_n"), F.col("pos"), F.col("near_pos")) & (F.col("doc") != F.col("near")))
+    star = star.unionByName(beside.select(F.least("doc", "near").alias("x"), F.greatest("doc", "near").alias("y")))
     dealt = inside.where("cell > 0").select("shingle").distinct()
     heads = inside.join(dealt, "shingle", "left_semi").select("shingle", "pivot").distinct()  # cells' pivots
     heads = heads.join(heads.groupBy("shingle").agg(F.min("pivot").alias("head")), "shingle").where("pivot != head").select(F.col("pivot").alias("x"), F.col("head").alias("y"))
@@ -274,7 +283,7 @@ def join_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_ = known.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("shingle")
     rows = known.join(open_, "shingle", "left_semi").join(reach, ["doc", "pivot"], "left")
     same = F.col("doc") == F.col("pivot")
-    rows = written(rows.withColumn("low", F.when(same, 0.0).otherwise(F.coalesce("low", F.lit(0.0)))).withColumn("high", F.when(same, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))), "open")
+    rows = written(rows.drop("near", "near_n", "near_pos").withColumn("low", F.when(same, 0.0).otherwise(F.coalesce("low", F.lit(0.0)))).withColumn("high", F.when(same, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))), "open")
     folded = [(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i + HALF)))).alias(f"s{i}") for i in range(HALF)]  # parities of half as many buckets
     rows = rows.join(sketches.select("doc", *folded), "doc")
     sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
