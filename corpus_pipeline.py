@@ -22,7 +22,8 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose histograms are far from their language's, go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    # written first: a filter on the verdict would be pushed into the plan and evaluate a text's words for each of its words
+    return written(quality.judge(docs), "judged").where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
