@@ -241,6 +241,44 @@ def test_ppm_is_a_distribution():
         assert (10 ** trie.log10(np.array([base | s for s in range(256)]))).sum() == pytest.approx(1)
 
 
+def plain_ppm(trained, text):
+    """The log10 probability of a text by contexts of up to 5 bytes, from counts of all of them."""
+    spell = lambda t: [ppm.END] * ppm.ORDER + list(t) + [ppm.END]
+    after = {}
+    for s in map(spell, trained):
+        for i in range(ppm.ORDER, len(s)):
+            for order in range(ppm.ORDER + 1):
+                after.setdefault(tuple(s[i - order : i]), Counter())[s[i]] += 1
+    total, s = 0.0, spell(text)
+    for i in range(ppm.ORDER, len(s)):
+        gone = set()
+        for order in range(ppm.ORDER, -1, -1):
+            seen = {x: n for x, n in after.get(tuple(s[i - order : i]), {}).items() if x not in gone}
+            mass = sum(seen.values()) + len(seen)
+            if s[i] in seen:
+                total += math.log10(seen[s[i]] / mass)
+                break
+            if seen:
+                total += math.log10(len(seen) / mass)
+            gone |= seen.keys()
+        else:
+            total -= math.log10(max(1, 256 - len(gone)))
+    return total
+
+
+@pytest.mark.parametrize("most", [8, 1 << 21])
+def test_ppm_keeps_rare_branches(spark, monkeypatch, most):
+    monkeypatch.setattr(ppm, "HOT", most, raising=False)
+    monkeypatch.setattr(ppm, "BRANCHES", most, raising=False)
+    monkeypatch.setattr(ppm, "CHUNK", 100, raising=False)
+    rows = [(i, prose(25) + " " + "".join(chr(RND.randrange(0x400, 0x450)) for _ in range(8)) + " zq" * (i % 3)) for i in range(40)] + [(None, None), (50, "")]
+    trained = [ppm.plain(t) for i, t in rows if not ppm.is_held_out(i)]
+    got = ppm.score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows) and any(r.held_out for r in got)
+    for r in got:
+        assert r.score == pytest.approx(plain_ppm(trained, ppm.plain(dict(rows)[r.doc_id])))
+
+
 def test_ppm_learns(spark):
     rows = [(i, prose(60)) for i in range(300)]
     got = ppm.score(spark.createDataFrame(rows, SCHEMA)).where("held_out")
