@@ -128,7 +128,7 @@ PLACED = "doc_id long, sketch array<long>, n long, a long, b long, shingle long,
 
 def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Two kinds of rows: doc_id, sketch, n, a, b of each row of docs; and n, a, b, shingle, cell, pos of each different set in the regions
-    of its first shingles. n is the set's size, (a, b) its 128-bit signature, pos a shingle's place in the set's order."""
+    of its first shingles. n is the set's size, (a, b) its 128-bit signature, pos a shingle's place in the set's order. Cells of dealt regions count from 1."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     cell_bits = CELL.bit_length() - 1
     schema = pa.schema([("doc_id", pa.int64()), ("sketch", pa.list_(pa.int64())), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingle", pa.int64()), ("cell", pa.int32()), ("pos", pa.int32())])
@@ -158,7 +158,7 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
                     first = np.argsort(level, kind="stable")[:p]  # s is sorted: by level, then by hash
                     s, level = s[first], level[first].astype(np.int64)
                     if level[-1] > cell_bits:
-                        cell = np.where(level > cell_bits, (sig[0] & 0x7FFFFFFF) % np.left_shift(1, np.maximum(level - cell_bits, 0)), 0)
+                        cell = np.where(level > cell_bits, (sig[0] & 0x7FFFFFFF) % np.left_shift(1, np.maximum(level - cell_bits, 0)) + 1, 0)
                 shingles.append(s[:p])
                 cells.append(cell)
                 owner.append(len(sizes) - 1)
@@ -179,7 +179,8 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
 
 
 def members(regions: DataFrame, classes: DataFrame) -> DataFrame:
-    """(shingle, cell, doc, n, pos, pivot, pivot_n, pivot_pos, near, near_n, near_pos) of the cells with two classes at least.
+    """(shingle, cell, doc, n, pos, pivot, pivot_n, pivot_pos, near, near_n, near_pos) of the cells with two classes at least, and of all
+    cells of a dealt region: a class alone in its cell is the cell's pivot and meets the others there.
 
     doc, pivot and near are the classes' smallest ids; near is a member's neighbour in one of ORDERS orders, which the region picks.
     """
@@ -187,7 +188,7 @@ def members(regions: DataFrame, classes: DataFrame) -> DataFrame:
     run = regions.select("shingle", "cell", "a", "b", "n", "pos").select("*", F.lag("a").over(by).alias("a0"), F.lag("b").over(by).alias("b0")).where("not (a0 <=> a and b0 <=> b)").drop("a0", "b0")
     first = [F.first(c).over(by).alias(name) for c, name in (("a", "pa"), ("b", "pb"), ("n", "pivot_n"), ("pos", "pivot_pos"))]
     run = run.select("*", *first, F.row_number().over(by).alias("i"), F.lead("a").over(by).isNotNull().alias("more"))
-    several = run.where("i > 1 or more").drop("i", "more")
+    several = run.where("i > 1 or more or cell > 0").drop("i", "more")
     mixed = Window.partitionBy("shingle", "cell").orderBy(F.xxhash64(F.pmod(F.col("shingle"), F.lit(ORDERS)), "a", "b"), "a", "b")
     several = several.select("*", *[F.lag(c).over(mixed).alias(name) for c, name in (("a", "na"), ("b", "nb"), ("n", "near_n"), ("pos", "near_pos"))])
     own, pivots, nears = (classes.select(F.col("a").alias(a), F.col("b").alias(b), F.col("doc").alias(d)) for a, b, d in (("a", "b", "doc"), ("pa", "pb", "pivot"), ("na", "nb", "near")))

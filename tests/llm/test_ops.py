@@ -78,6 +78,15 @@ def test_jaccard_cells(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard_components(ROWS)
 
 
+def test_jaccard_lone_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 1)  # about as many cells as texts
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    short = [" ".join(f"{RND.randrange(1 << 30):x}" for _ in range(8)) for _ in range(6)]
+    rows = list(enumerate([*short, *[f"{t} end{i}" for t in short for i in range(7)], *TEXTS[25:]]))  # 4 of 5 shingles shared
+    got = ngram_join.join_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard_components(rows)
+
+
 def test_random_near_copies(spark):
     rows = []
     for i in range(150):
