@@ -78,6 +78,15 @@ def test_jaccard_cells(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard_components(ROWS)
 
 
+def test_jaccard_cells_occur(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    copies = docs.where("doc_id >= 25").coalesce(1)  # near copies of one text
+    cells = ngram_join.placed(copies, 5, 80, ngram_join.frequent_shingles(copies, 5)).where("shingle is not null")
+    assert cells.where("cell > 0").count() > 0
+    assert cells.groupBy("shingle", "cell").count().agg(F.max("count")).first()[0] < copies.count()
+
+
 def test_jaccard_lone_cells(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", 1)  # about as many cells as texts
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
