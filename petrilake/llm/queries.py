@@ -29,7 +29,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Arrow stream files and read back."""
     folder = scratch_path(spark, "tokens")
-    manifest = token_files.write_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    manifest = token_files.write_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder, added=True)
     return token_files.read_documents(manifest, folder)
 
 

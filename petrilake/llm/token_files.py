@@ -65,7 +65,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        self.model, self.vocabulary = library.model, library.get_vocab_size()
+        self.library, self.model, self.vocabulary = library, library.model, library.get_vocab_size()
+        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
         self.cuts, self.pieces = Recent(CACHE), Recent(CACHE)
         self.find, self.letters = regex.compile(PATTERN).findall, _byte_letters()
 
@@ -73,8 +74,13 @@ class CachedTokenizer:
         spelled = "".join([self.letters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], added: bool = False) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers; added: the vocabulary's added tokens have ids of their own."""
+        if added:
+            whole = {i: array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
+            if whole:
+                rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+                return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         cuts = [cut(t) for t in texts]
         known, missing = self.cuts.split({c for cs in cuts for c in cs})
         if missing:
@@ -142,11 +148,12 @@ class ShardWriter:
             self.store.move(mine, name)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 2048, end_id: int = 0, shards: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 2048, end_id: int = 0, shards: int | None = None, added: bool = False) -> DataFrame:
     """Write the ids of every whole text of docs(doc_id, text), in ascending doc_id order; the manifest of what was written.
 
     The manifest has shard, start (ids in the shards before), n_docs and n_ids. A null text is an empty one; every document
     ends with end_id. A null doc_id comes first. Rows of one doc_id are all written, in the order of their texts' hashes.
+    With added, the vocabulary's added tokens are read in texts as the library does by default; without, they are spelled like other text.
     """
     spark = docs.sparkSession
     python_workers(spark, 500)
@@ -164,7 +171,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int =
             for i, t in enumerate(texts):
                 size += len(t)
                 if size > 4 << 20 or i == len(texts) - 1:
-                    out.add(doc_ids[start : i + 1], [x + end for x in tokenizer.encode(texts[start : i + 1])])
+                    out.add(doc_ids[start : i + 1], [x + end for x in tokenizer.encode(texts[start : i + 1], added)])
                     start, size = i + 1, 0
         if out:
             out.close()

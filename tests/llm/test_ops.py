@@ -211,6 +211,18 @@ def test_token_files(docs, none, spark):
     assert empty.count() == 0
 
 
+def test_token_files_added_tokens(spark, tmp_path):
+    from petrilake.llm import queries
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a<|endoftext|>b"), (2, "plain text"), (3, " <|endoftext|> <|endoftext|>\n"), (4, None), (5, "<|endoftext")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op2_token_files(spark, str(tmp_path)).collect()}
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()} and 50256 in ids[1]
+
+
 def test_shards(spark, none):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("shard"))
     got = sharding.shard(rows, "doc_id", 24).collect()
