@@ -1,6 +1,6 @@
 """URL filters: explicit rules first, then trust and distrust that spread over the host graph.
 
-Host edges are the absolute links of pages and the domain hierarchy (a host and its parent domain vouch for each
+Host edges are the absolute and protocol-relative links of pages and the domain hierarchy (a host and its parent domain vouch for each
 other). Trust is a personalised PageRank from hosts of allowed pages along the edges; distrust starts at hosts of
 blocked pages and runs against the edges, since a page that links to a blocked host is suspect and a blocked host's
 targets are not. A host is blocked when its distrust exceeds `threshold` times the sum of its trust and a uniform prior.
@@ -22,6 +22,10 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
+#: Ranks are settled when no host's rank changes by more than this share of the uniform prior in a block of ROUNDS rounds.
+SETTLED = 0.01
+ROUNDS = 3
+
 
 def host_of(url):
     """What stands between the first :// and the next /, ? or #, A-Z lower-cased; empty for null or no ://."""
@@ -49,8 +53,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     hosts = pages.select(host_of(F.col("url")).alias("src"), F.col("html"))
     links = (
         hosts.where("src != ''")
-        .select("src", F.explode(F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'<>\\s]+)"), 1)).alias("url"))
-        .select("src", host_of(F.col("url")).alias("dst"))
+        .select("src", F.explode(F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'<>\\s]+)"), 1)).alias("url"))
+        .select("src", host_of(F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))).alias("dst"))
         .where("dst != '' and src != dst")
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("weight"))
@@ -69,10 +73,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(tree).unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 6) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust), for hosts that either has reached.
 
-    The seeds' weights are pages, so that each kind sums to 1. Only host-level rows move, never pages.
+    The seeds' weights are pages, so that each kind sums to 1. Only host-level rows move, never pages. Without a number of rounds
+    they go on until the ranks are settled and no further host is reached.
     """
     judged = (
         pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -90,15 +95,23 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: in
     shares = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "edges")
 
     rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        moved = shares.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
-        rank = moved.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2:
-            rank = written(rank, "rank")
+    done, before, n_before = 0, rank, -1
+    while rounds is None or done < rounds:
+        for _ in range(ROUNDS if rounds is None else min(ROUNDS, rounds - done)):
+            moved = shares.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
+            rank = moved.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            done += 1
+        rank = written(rank, "rank")
+        if rounds is None:
+            both = rank.join(before.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"], "left")
+            change, n, hosts = both.agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))), F.count("*"), F.countDistinct("host")).first()
+            if n == n_before and (change or 0.0) <= SETTLED / max(1, hosts):
+                break
+            before, n_before = rank, n
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("rank")).otherwise(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 4.0, damping: float = 0.85, rounds: int = 6) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = 4.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, trust, distrust and verdict of every page.
 
     A null url, or one without ://, has an empty host and path; no rule and no edge fits it, and it is allowed.

@@ -337,6 +337,16 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_far_hosts(spark):
+    link = lambda h: f'<a href="//{h}/1">'
+    rows = [(i, f"http://h{i}.io/1", link(f"h{i + 1}.io")) for i in range(8)] + [(8, "http://h8.io/1", '<a href="http://b.net/es/1">'), (9, "http://b.net/es/1", "")]
+    rows += [(10 + i, f"http://lone{i}.io/", link(f"other{i}.io")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scores = {r.host: r.distrust for r in url_filter.host_scores(pages).collect()}
+    for i in range(9):  # one link each way: the distrust at so many hops from the only blocked host
+        assert scores[f"h{i}.io"] == pytest.approx(0.15 * 0.85 ** (9 - i), rel=0.05)
+
+
 def test_licences(spark):
     files = spark.createDataFrame(
         [
