@@ -2,13 +2,13 @@
 
 Two histograms of each document, of character classes and of its language's common words, are compared with the
 language's own, gathered from all documents of that language, by the Jensen-Shannon distance (base 2: 0 equal, 1 disjoint).
-Documents too short for a histogram to mean much are judged by the base rules alone.
+Documents too short for a histogram to mean much, languages with too few words for a reference and documents without a language
+are judged by the base rules alone.
 
-Only DataFrame functions: a text is split once, and counts within a document are array functions over its words, so that no
-word is shuffled. The references group words by language with map-side sums; a common word has at least `word_share` of
-its language's words, and a language has a reference of its own from `lang_share` of the documents, so that at most
-1 / lang_share x 1 / word_share reference rows exist at any size of input and can be broadcast. Documents of rarer languages
-and of none (null) are compared with the reference of all documents.
+Only DataFrame functions. Words are counted by language with map-side sums, and those with at least `word_share` of their language's
+words, 1 / `word_share` at most, are its common words. One more pass over the texts makes each row's figures: a text is split once and
+its words are hashed, so that counts within it are array functions over numbers. These rows are written, without the texts if the caller
+does not want them; the references of the classes are sums over them, and the verdict is a projection of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = r"[ \t\n\x0B\f\r]+"
 
 CLASSES = ["lower", "upper", "digit", "symbol", "other_ascii", "beyond_ascii"]
+#: Languages whose references are broadcast (a few KB each); more are joined.
+MOST_LANGUAGES = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,113 +32,150 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of the text by CLASSES; white space is in none."""
-    rest = F.regexp_replace(text, "[a-z \\t\\n\\x0B\\f\\r]+", "")  # short, so that the other passes are cheap
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, which later expressions read instead of evaluating them again: a generator's output is not inlined."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once within an expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def class_counts(rest: Column, word_chars: Column) -> Column:
+    """A text's characters by CLASSES, from its word characters and from those that are neither a-z nor white space."""
     gone = lambda t, cls: F.char_length(t) - F.char_length(F.regexp_replace(t, cls, ""))
-    ascii_rest = lambda r: F.regexp_replace(r, "[^\\x00-\\x7F]+", "")
 
-    def counts(r: Column) -> Column:
-        a = ascii_rest(r)
-        upper, digit, symbol = gone(a, "[A-Z]+"), gone(a, "[0-9]+"), gone(a, f"[{SYMBOLS}]+")
-        beyond = F.char_length(r) - F.char_length(a)
-        lower = F.char_length(text) - F.char_length(F.regexp_replace(text, "[a-z]+", ""))
-        return F.array(*[x.cast("double") for x in (lower, upper, digit, symbol, F.char_length(a) - upper - digit - symbol, beyond)])
+    def counts(ascii_rest: Column) -> Column:
+        upper, digit, symbol = gone(ascii_rest, "[A-Z]+"), gone(ascii_rest, "[0-9]+"), gone(ascii_rest, f"[{SYMBOLS}]+")
+        plain = F.char_length(ascii_rest)
+        found = (word_chars - F.char_length(rest), upper, digit, symbol, plain - upper - digit - symbol, F.char_length(rest) - plain)
+        return F.array(*[x.cast("double") for x in found])
 
-    return F.get(F.transform(F.array(rest), counts), 0)
+    return let(F.regexp_replace(rest, "[^\\x00-\\x7F]+", ""), counts)
 
 
-def _repeat_words(words: Column, hashes: Column) -> Column:
+def _repeat_words(hashes: Column) -> Column:
     """Words inside 3-word windows found twice or more; hashes: the windows'."""
-    ordered = F.array_sort(hashes)
     repeated = lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
-    by_hash = F.get(F.transform(F.array(ordered), repeated), 0)
     few = lambda d: F.filter(F.transform(hashes, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
-    pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    same = lambda p, q: F.coalesce(p["h"] == q["h"], F.lit(False))
-    many = F.get(F.transform(F.array(pairs), lambda s: F.transform(F.filter(s, lambda p, j: same(p, F.get(s, j + 1)) | ((j > 0) & same(p, F.get(s, F.greatest(j - 1, F.lit(0)))))), lambda p: p["i"])), 0)
-    at = F.get(F.transform(F.array(by_hash), lambda d: F.when(F.size(d) <= 24, few(d)).otherwise(many)), 0)
+
+    def like_a_neighbour(s: Column) -> Column:
+        same = lambda p, q: F.coalesce(p["h"] == q["h"], F.lit(False))
+        beside = lambda p, j: same(p, F.get(s, j + 1)) | ((j > 0) & same(p, F.get(s, F.greatest(j - 1, F.lit(0)))))
+        return F.transform(F.filter(s, beside), lambda p: p["i"])
+
+    many = let(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), like_a_neighbour)
+    places = let(let(F.sort_array(hashes), repeated), lambda d: F.when(F.size(d) <= 24, few(d)).otherwise(many))
     covered = lambda p: F.size(F.array_union(F.array_union(p, F.transform(p, lambda i: i + 1)), F.transform(p, lambda i: i + 2)))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(F.get(F.transform(F.array(at), covered), 0)).cast("long")
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(places, covered)).cast("long")
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the arrays `_words`, `_classes`.
+def half(a: Column, b: Column) -> Column:
+    """One cell's part in the divergence of a from the mean of both, halved."""
+    return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) / 2
 
-    A null text has no words and one empty line.
+
+def js_distance(p: Column, q: Column) -> Column:
+    """The Jensen-Shannon distance of two histograms of the same length that sum to 1, base 2; null if one is."""
+    total = F.aggregate(F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
+
+
+def common_words_distance(hashes: Column, n_words: Column, common: Column, shares: Column) -> Column:
+    """The Jensen-Shannon distance of a text's words, by hash, from a language's common words and all its others.
+
+    Only the common words that the text has are counted in it; each other one adds half its share.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
-    cut = docs.withColumn("_words", words_of(text)).withColumn("_lines", lines)
-    hashed = cut.withColumn("_windows", F.transform(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))))
-    out = hashed.select(
-        *[c for c in docs.columns if c != "text"],
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.octet_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_words"), F.col("_windows")).alias("n_repeat_words"),
-        class_counts(text).alias("_classes"),
-        "_words",
-        "text",
-    )
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    whole = F.greatest(n_words, F.lit(1))
 
+    def add(s: Column, w: Column) -> Column:
+        p, q = F.get(shares, F.array_position(common, w).cast("int") - 1), (F.size(hashes) - F.size(F.array_remove(hashes, w))) / whole
+        return F.struct((s["js"] + half(p, q) + half(q, p) - p / 2).alias("js"), (s["q"] + q).alias("q"))
 
-def references(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001) -> DataFrame:
-    """(lang, common, word_ref, class_ref): of each frequent language, and of all documents with a null lang.
+    def finish(s: Column) -> Column:
+        known = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+        p, q = F.greatest(1 - known, F.lit(0.0)), 1 - s["q"]
+        return F.sqrt(F.greatest(s["js"] + known / 2 + half(p, q) + half(q, p), F.lit(0.0)))
 
-    common: its common words in order; word_ref: their shares and last that of all others; class_ref: shares of CLASSES.
+    return F.aggregate(F.array_intersect(hashes, common), F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("q")), add, finish)
+
+
+def word_references(docs: DataFrame, word_share: float = 0.005, min_reference: int = 1000) -> DataFrame:
+    """(lang, common, shares): of each language with at least min_reference words its common words in order and their shares."""
+    words = docs.where("lang is not null").select("lang", F.explode(words_of(F.coalesce(F.col("text"), F.lit("")))).alias("word"))
+    words = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    sums = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference)
+    often = words.join(sums, "lang").where(F.col("n") >= word_share * F.col("total")).select("lang", F.struct("word", (F.col("n") / F.col("total")).alias("share")).alias("w"))
+    packed = often.groupBy("lang").agg(F.sort_array(F.collect_list("w")).alias("c"))  # at most 1 / word_share words each
+    none = F.array().cast("array<struct<word: string, share: double>>")
+    return sums.join(packed, "lang", "left").select("lang", F.coalesce("c", none).alias("c")).select("lang", F.col("c.word").alias("common"), F.col("c.share").alias("shares"))
+
+
+def class_references(features: DataFrame, min_reference: int = 1000) -> DataFrame:
+    """(lang, class_shares) of each language with at least min_reference words, from features(lang, n_words, classes)."""
+    sums = features.where("lang is not null").groupBy("lang").agg(F.sum("n_words").alias("total"), *[F.sum(F.get("classes", F.lit(i))).alias(f"k{i}") for i in range(len(CLASSES))])
+    chars = F.greatest(sum(F.col(f"k{i}") for i in range(len(CLASSES))), F.lit(1.0))
+    return sums.where(F.col("total") >= min_reference).select("lang", F.array(*[F.col(f"k{i}") / chars for i in range(len(CLASSES))]).alias("class_shares"))
+
+
+def _by_language(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """rows with their language's reference, broadcast where there are few languages."""
+    return rows.join(F.broadcast(refs) if refs.count() <= MOST_LANGUAGES else refs, "lang", "left")
+
+
+def features(docs: DataFrame, word_refs: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and classes, written.
+
+    With word_refs also word_distance, null where the language has no reference. A null text has no words and one empty line.
     """
-    rows = docs.select("lang", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    classes = class_counts(F.col("text"))
-    by_class = rows.select("lang", classes.alias("k")).groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(len(CLASSES))])
-    by_class = written(by_class, "classes")
-    all_docs = by_class.agg(F.sum("docs").alias("all_docs"))
-    frequent = by_class.crossJoin(F.broadcast(all_docs)).where(F.col("lang").isNotNull() & (F.col("docs") >= lang_share * F.col("all_docs")))  # one row broadcast
-    pooled = by_class.agg(F.sum("docs").alias("docs"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(len(CLASSES))])
-    kinds = frequent.drop("all_docs").unionByName(pooled.withColumn("lang", F.lit(None).cast("string")))
-    total = sum(F.col(f"k{i}") for i in range(len(CLASSES)))
-    class_ref = kinds.select("lang", F.array(*[F.col(f"k{i}") / F.greatest(total, F.lit(1.0)) for i in range(len(CLASSES))]).alias("class_ref"))
-
-    words = written(rows.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    own = words.join(F.broadcast(frequent.select("lang")), "lang").join(sums, "lang")  # at most 1 / lang_share rows broadcast
-    pooled_words = words.groupBy("word").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(words.agg(F.sum("n").alias("total")))).select(F.lit(None).cast("string").alias("lang"), "word", "n", "total")
-    common = own.select("lang", "word", "n", "total").unionByName(pooled_words).where(F.col("n") >= word_share * F.col("total"))
-    packed = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("c"))  # at most 1 / word_share words each
-    word_ref = packed.select("lang", F.transform("c", lambda x: x["word"]).alias("common"), F.expr("concat(transform(c, x -> x.share), array(greatest(1 - aggregate(c, 0D, (a, x) -> a + x.share), 0D)))").alias("word_ref"))
-    return class_ref.join(word_ref, class_ref.lang.eqNullSafe(word_ref.lang), "left").select(class_ref.lang, F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce("word_ref", F.array(F.lit(1.0))).alias("word_ref"), "class_ref")
+    columns = docs.columns if columns is None else columns
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs
+    if word_refs is not None:
+        refs = written(word_refs, "references").select("lang", F.transform("common", lambda w: F.xxhash64(w)).alias("_common"), F.col("shares").alias("_shares"))
+        rows = _by_language(docs, refs)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
+    rows = once(rows, _words=words_of(text), _rest=F.regexp_replace(text, "[a-z \\t\\n\\x0B\\f\\r]+", ""), _lines=lines)
+    rows = once(rows, _hashes=F.transform("_words", lambda w: F.xxhash64(w)), word_chars=F.char_length(F.array_join("_words", "")).cast("long"))
+    three = lambda w, i: F.xxhash64(w, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
+    rows = once(rows, _windows=F.transform(F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0))), three), classes=class_counts(F.col("_rest"), F.col("word_chars")))
+    n_words = F.size("_words").cast("long")
+    rows = rows.select(
+        *columns,
+        n_words.alias("n_words"),
+        "word_chars",
+        F.get("classes", F.lit(3)).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("_windows")).alias("n_repeat_words"),
+        "classes",
+        *([] if word_refs is None else [common_words_distance(F.col("_hashes"), n_words, F.col("_common"), F.col("_shares")).alias("word_distance")]),
+    )
+    return written(rows, "features").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two histograms of the same length that sum to 1, base 2."""
-    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, lambda a, b: (half(a, b) + half(b, a)) / 2), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+def references(docs: DataFrame, word_share: float = 0.005, min_reference: int = 1000) -> DataFrame:
+    """(lang, common, shares, class_shares): what `judge` compares other documents with, from docs(lang, text)."""
+    found = features(docs, None, ["lang"])
+    return word_references(docs, word_share, min_reference).join(class_references(found, min_reference), "lang")
 
 
-def judge(docs: DataFrame, max_word_distance: float = 0.4, max_class_distance: float = 0.32, min_words: int = 80, refs: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, max_word_distance: float = 0.4, max_class_distance: float = 0.32, min_words: int = 80, min_reference: int = 1000, refs: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """docs with the base features, `word_distance`, `class_distance`, `base_failed` and `kept`.
 
     A document that fails the base rules is not kept. One of fewer than min_words words is kept if it does not; a longer one
-    if both distances are small enough. Documents without a word have distance 0. Rows are judged one by one, repeated rows alike.
-    Columns of docs named like the results are replaced; docs needs doc_id, text and lang.
+    if both distances from its language are small enough, or if it has no language (null) or one of fewer than min_reference words, whose
+    distances are null. Documents without a word have distance 0. Rows are judged one by one, repeated rows alike. An empty table gives an
+    empty result. Columns of docs named like the results or `classes` are replaced; docs needs lang and text.
+    refs: the references of another corpus, instead of docs' own. columns: those of docs that the result has, all by default.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "class_distance", "_words", "_classes", "_lines", "_windows", "_lang", "_common", "_word_ref", "_class_ref"]
-    docs = docs.drop(*made)
-    names = docs.columns
-    refs = written(refs if refs is not None else references(docs), "references").select(F.col("lang").alias("_lang"), F.col("common").alias("_common"), F.col("word_ref").alias("_word_ref"), F.col("class_ref").alias("_class_ref"))
-    known = refs.where("_lang is not null").agg(F.collect_set("_lang").alias("_known"))  # at most 1 / lang_share names
-    rows = docs.crossJoin(F.broadcast(known)).withColumn("_key", F.when(F.array_contains("_known", F.col("lang")), F.col("lang"))).drop("_known")
-    rows = rows.join(F.broadcast(refs), F.col("_key").eqNullSafe(F.col("_lang")), "left").drop("_lang", "_key")
-    f = base_features(rows)
-
-    found = F.transform(F.filter("_words", lambda w: F.array_contains("_common", w)), lambda w: F.array_position(F.col("_common"), w))
-    counts = lambda p: F.concat(F.transform(F.col("_common"), lambda c, i: (F.size(p) - F.size(F.array_remove(p, (i + 1).cast("long")))) / F.greatest(F.col("n_words"), F.lit(1))), F.array((F.col("n_words") - F.size(p)) / F.greatest(F.col("n_words"), F.lit(1))))
-    word_hist = F.get(F.transform(F.array(found), counts), 0)
-    chars = F.greatest(F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    class_hist = F.transform(F.col("_classes"), lambda x: x / chars)
-    empty = F.col("n_words") == 0
-    f = f.withColumn("word_distance", F.when(empty, 0.0).otherwise(js_distance(F.col("_word_ref"), word_hist))).withColumn("class_distance", F.when(empty, 0.0).otherwise(js_distance(F.col("_class_ref"), class_hist)))
-    close = (F.col("n_words") < min_words) | ((F.col("word_distance") <= max_word_distance) & (F.col("class_distance") <= max_class_distance))
-    return f.withColumn("kept", ~F.col("base_failed") & close).select(*names, *made[:9])
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "class_distance"]
+    docs = docs.drop(*made, "classes", "class_shares", "_words", "_lines", "_windows", "_hashes", "_rest", "_common", "_shares")
+    names = [c for c in docs.columns if columns is None or c in columns]
+    found = features(docs, refs.select("lang", "common", "shares") if refs is not None else word_references(docs, min_reference=min_reference), list(dict.fromkeys([*names, "lang"])))
+    rows = _by_language(found, written(refs.select("lang", "class_shares") if refs is not None else class_references(found, min_reference), "classes"))
+    chars = F.greatest(F.aggregate("classes", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+    empty = (F.col("n_words") == 0) & F.col("class_shares").isNotNull()
+    rows = rows.withColumn("class_distance", F.when(empty, 0.0).otherwise(js_distance(F.col("class_shares"), F.transform("classes", lambda x: x / chars)))).withColumn("word_distance", F.when(empty, 0.0).otherwise(F.col("word_distance")))
+    far = (F.col("n_words") >= min_words) & (F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)) | F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*names, *made)

@@ -1,5 +1,6 @@
 """Plain versions of the operators' rules, to compare with."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -85,3 +86,34 @@ def base_quality(text):
     lines = [x for x in t.split("\n") if words(x)]
     n = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
     return (*n, n[0] < 50 or 100 * n[4] > 50 * n[0])
+
+
+def js_distance(p, q):
+    halves = sum(a * math.log2(2 * a / (a + b)) for x, y in zip(p, q, strict=True) for a, b in ((x, y), (y, x)) if a > 0)
+    return math.sqrt(max(halves / 2, 0))
+
+
+def quality_distances(rows, word_share=0.005, min_reference=1000):
+    """{doc_id: (word_distance, class_distance)} of (doc_id, lang, text) rows; None where the language has no reference."""
+    patterns = ["[a-z]", "[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[^a-zA-Z0-9#*$%&|<>\x20\x09-\x0D\x80-\U0010ffff]", r"[\x80-\U0010ffff]"]
+    classes = lambda t: [len(re.findall(p, t)) for p in patterns]
+    share = lambda k: [x / max(sum(k), 1) for x in k]
+    refs = {}
+    for lang in {x for _, x, _ in rows if x is not None}:
+        texts = [t or "" for _, x, t in rows if x == lang]
+        c = Counter(w for t in texts for w in words(t))
+        if c.total() >= min_reference:
+            common = {w: n / c.total() for w, n in c.items() if n >= word_share * c.total()}
+            refs[lang] = common, share([sum(k) for k in zip(*map(classes, texts), strict=True)])
+    out = {}
+    for i, lang, t in rows:
+        w, c = words(t), Counter(words(t))
+        if lang not in refs:
+            out[i] = None, None
+        elif not w:
+            out[i] = 0, 0
+        else:
+            common, ref = refs[lang]
+            q = [c[x] / len(w) for x in common]
+            out[i] = js_distance([*common.values(), max(1 - sum(common.values()), 0)], [*q, 1 - sum(q)]), js_distance(ref, share(classes(t)))
+    return out
