@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.llm.chunks import PATTERN as CUT_PATTERN
-from petrilake.llm.chunks import Recent, cut
+from petrilake.llm.chunks import Recent, cut, spliced
 from petrilake.llm.common import python_workers
 
 #: Bytes up to which pieces share a numpy tree; entries of the cache; bytes of text that are encoded at a time.
@@ -165,23 +165,21 @@ class SegmentTreeBpe:
                 out.update(zip(part, self._side_by_side(part), strict=True))
         return out
 
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        split = [self.pattern.findall(c) for c in cuts]
+        pieces = [p for ps in split for p in ps]
+
+        def coded(new: list[str]) -> list[bytes]:
+            raw = [p.encode() for p in new]
+            found = self.encode_pieces(raw)
+            return [found[r] for r in raw]
+
+        return spliced(split, self.pieces.values(pieces, coded))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cuts = [cut(t) for t in texts] if self.by_cut else [[t] if t else [] for t in texts]
-        known, missing = self.cuts.split({c for cs in cuts for c in cs})
-        if missing:
-            find = self.pattern.findall
-            split = [find(c) for c in missing]
-            done, new = self.pieces.split({p for ps in split for p in ps})
-            raw = [p.encode() for p in new]
-            coded = self.encode_pieces(raw)
-            for p, r in zip(new, raw, strict=True):
-                done[p] = coded[r]
-            self.pieces.keep(done)
-            for c, ps in zip(missing, split, strict=True):
-                known[c] = done[ps[0]] if len(ps) == 1 else b"".join([done[p] for p in ps])
-        self.cuts.keep(known)
-        return [b"".join([known[c] for c in cs]) for cs in cuts]
+        return spliced(cuts, self.cuts.values([c for cs in cuts for c in cs], self._encode_cuts))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

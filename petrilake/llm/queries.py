@@ -29,7 +29,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Arrow stream files and read back."""
     folder = scratch_path(spark, "tokens")
-    manifest = token_files.write_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder, added=True)
+    manifest = token_files.write_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_files.read_documents(manifest, folder)
 
 
@@ -52,7 +52,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base figures and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(docs, columns=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +117,19 @@ dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY
 base AS (SELECT d.doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, {_CLASS("#*$%&|<>")} AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
   [{_CLASS("a-z")}, {_CLASS("A-Z")}, {_CLASS("0-9")}, {_CLASS("#*$%&|<>")}, length(regexp_replace(t, '[a-zA-Z0-9#*$%&|<> \\x09-\\x0D]|[^\\x00-\\x7F]', '', 'g')), length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g'))] AS k
   FROM d LEFT JOIN dups ON dups.doc_id = d.doc_id LEFT JOIN repeats ON repeats.doc_id = d.doc_id),
-langs AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 0.001 * (SELECT count(*) FROM d)),
-keyed AS (SELECT base.*, coalesce('=' || langs.lang, '') AS lk FROM base LEFT JOIN langs ON langs.lang = base.lang),
-classes AS (SELECT lk, i, sum(k[i]) AS n FROM (SELECT '=' || lang AS lk, k, unnest(range(1, 7)) AS i FROM base UNION ALL SELECT '', k, unnest(range(1, 7)) FROM base) GROUP BY ALL),
+langs AS (SELECT lang FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 1000),
+keyed AS (SELECT base.*, langs.lang AS lk FROM base LEFT JOIN langs ON langs.lang = base.lang),
+classes AS (SELECT lk, i, sum(k[i]) AS n FROM (SELECT lk, k, unnest(range(1, 7)) AS i FROM keyed WHERE lk IS NOT NULL) GROUP BY ALL),
 class_ref AS (SELECT lk, i, n / sum(n) OVER (PARTITION BY lk) AS p FROM classes),
 class_dist AS (SELECT doc_id, sqrt(greatest(sum({_HALVES.format(p="p", q="q")}), 0)) AS dist FROM (SELECT doc_id, p, k[i] / greatest(list_sum(k), 1) AS q FROM keyed JOIN class_ref ON class_ref.lk = keyed.lk) GROUP BY doc_id),
 words AS (SELECT doc_id, lang, unnest(w) AS word FROM d),
-counts AS (SELECT lk, word, count(*) AS n FROM (SELECT '=' || lang AS lk, word FROM words UNION ALL SELECT '', word FROM words) WHERE lk IS NOT NULL GROUP BY ALL),
+counts AS (SELECT lang AS lk, word, count(*) AS n FROM words WHERE lang IN (SELECT lang FROM langs) GROUP BY ALL),
 common AS (SELECT lk, word, p FROM (SELECT lk, word, n / sum(n) OVER (PARTITION BY lk) AS p FROM counts) WHERE p >= 0.005),
 mine AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
 cells AS (SELECT keyed.doc_id, p, coalesce(mine.n, 0) / greatest(n_words, 1) AS q FROM keyed JOIN common ON common.lk = keyed.lk LEFT JOIN mine ON mine.doc_id = keyed.doc_id AND mine.word = common.word),
 others AS (SELECT doc_id, greatest(1 - sum(p), 0) AS p, 1 - sum(q) AS q, sum({_HALVES.format(p="p", q="q")}) AS js FROM cells GROUP BY doc_id),
 word_dist AS (SELECT doc_id, sqrt(greatest(js + {_HALVES.format(p="p", q="q")}, 0)) AS dist FROM others),
-judged AS (SELECT keyed.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(w.dist, 0) AS wd, c.dist AS cd FROM keyed LEFT JOIN word_dist w ON w.doc_id = keyed.doc_id JOIN class_dist c ON c.doc_id = keyed.doc_id)
+judged AS (SELECT keyed.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(w.dist, 0) AS wd, coalesce(c.dist, 0) AS cd FROM keyed LEFT JOIN word_dist w ON w.doc_id = keyed.doc_id LEFT JOIN class_dist c ON c.doc_id = keyed.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 80 OR (wd <= 0.4 AND cd <= 0.32)) AS kept FROM judged""",
     "op7_line_dedup": f"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -16,26 +16,24 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from petrilake.llm.chunks import PATTERN, Recent, cut
+from petrilake.llm.chunks import Recent, cut, spliced
 from petrilake.llm.common import python_workers
 
-#: Entries of a worker's cache; sequences of one batch of a file.
-CACHE = 300_000
+#: Entries of a worker's cache; cuts that the library encodes as one text; sequences of one batch of a file.
+CACHE = 400_000
+TOGETHER = 1000
 SEQUENCES = 64
 
 
-
 def ids_schema(sequence: int, vocabulary: int) -> pa.Schema:
     """The schema of the sequences of a vocabulary of that size."""
     return pa.schema([("ids", pa.list_(pa.uint16() if vocabulary <= 1 << 16 else pa.uint32(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
@@ -44,55 +42,46 @@ def ids_schema(sequence: int, vocabulary: int) -> pa.Schema:
 DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else the next one from 256 on."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, beyond = {}, 256
-    for b in range(256):
-        if b in seen:
-            letters[b] = chr(b)
-        else:
-            letters[b] = chr(beyond)
-            beyond += 1
-    return [letters[b] for b in range(256)]
-
-
 class CachedTokenizer:
-    """The tokenizers library's model, asked once for each distinct match of the byte-level pattern."""
+    """The tokenizers library's encoding, asked once for each distinct cut of the texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        self.library, self.model, self.vocabulary = library, library.model, library.get_vocab_size()
-        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
-        self.cuts, self.pieces = Recent(CACHE), Recent(CACHE)
-        self.find, self.letters = regex.compile(PATTERN).findall, _byte_letters()
-
-    def _tokenize(self, piece: str) -> bytes:
-        spelled = "".join([self.letters[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def encode(self, texts: list[str], added: bool = False) -> list[bytes]:
+        self.library, self.spelling = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.spelling.encode_special_tokens = True
+        self.vocabulary = self.library.get_vocab_size()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.memo = Recent(CACHE)
+        names = self.library.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)  # whether a token starts with a space or a line end, as the vocabulary spells them
+        self.opens[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
+
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of each cut. Cuts whose only space or line end is their first character are encoded as one text:
+        no match reaches over two of them, and a cut's ids start where the next token that opens with one stands."""
+        single = [c[0] in " \n" and c.count(" ") + c.count("\n") == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() for c in cuts]
+        plain, rest = [c for c, s in zip(cuts, single, strict=True) if s], [c for c, s in zip(cuts, single, strict=True) if not s]
+        done = []
+        for e, n in zip(self.spelling.encode_batch_fast(["".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)], add_special_tokens=False), range(0, len(plain), TOGETHER), strict=True):
+            ids = np.array(e.ids, "<u4")
+            first = np.flatnonzero(self.opens[ids]) * 4
+            if len(first) != len(plain[n : n + TOGETHER]):
+                raise ValueError("the vocabulary joins words over a space")
+            raw = ids.tobytes()
+            done += [raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)], strict=True)]
+        plain_ids, rest_ids = iter(done), (np.array(e.ids, "<u4").tobytes() for e in self.spelling.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(plain_ids if s else rest_ids) for s in single]
+
+    def encode(self, texts: list[str], added: bool = True) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; added: the vocabulary's added tokens have ids of their own."""
-        if added:
-            whole = {i: array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
-            if whole:
-                rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
-                return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
-        cuts = [cut(t) for t in texts]
-        known, missing = self.cuts.split({c for cs in cuts for c in cs})
-        if missing:
-            split = [self.find(c) for c in missing]
-            done, new = self.pieces.split({p for ps in split for p in ps})
-            for p in new:
-                done[p] = self._tokenize(p)
-            self.pieces.keep(done)
-            for c, ps in zip(missing, split, strict=True):
-                known[c] = done[ps[0]] if len(ps) == 1 else b"".join([done[p] for p in ps])
-        self.cuts.keep(known)
-        return [b"".join([known[c] for c in cs]) for cs in cuts]
+        whole = {i for i, t in enumerate(texts) if added and any(a in t for a in self.added)}
+        cuts = [[] if i in whole else cut(t) for i, t in enumerate(texts)]
+        ids = spliced(cuts, self.memo.values([c for cs in cuts for c in cs], self._encode_cuts))
+        for i in whole:
+            ids[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
 
 
 _made: dict[str, CachedTokenizer] = {}
@@ -148,7 +137,7 @@ class ShardWriter:
             self.store.move(mine, name)
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 2048, end_id: int = 0, shards: int | None = None, added: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 2048, end_id: int = 0, shards: int | None = None, added: bool = True) -> DataFrame:
     """Write the ids of every whole text of docs(doc_id, text), in ascending doc_id order; the manifest of what was written.
 
     The manifest has shard, start (ids in the shards before), n_docs and n_ids. A null text is an empty one; every document

@@ -142,17 +142,35 @@ def test_fm_index():
 
 
 def test_quality(docs, none):
+    lang = lambda i: None if i % 7 == 0 else "xx" if i == 5 else "en"
     rows = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.when(F.col("doc_id") == 5, "xx").otherwise("en"))).withColumn("kept", F.lit("mine"))
     got = {r.doc_id: r for r in quality.judge(rows).collect()}
     assert len(got) == len(ROWS)
+    want = plain.quality_distances([(i, lang(i), t) for i, t in ROWS])
     for i, t in ROWS:
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain.base_quality(t)
-        assert not (r.base_failed and r.kept) and 0 <= r.word_distance <= 1 and 0 <= r.class_distance <= 1
+        assert (r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (t, *plain.base_quality(t))
+        if want[i][0] is None:
+            assert r.word_distance is r.class_distance is None and r.kept == (not r.base_failed)
+        else:
+            assert (r.word_distance, r.class_distance) == pytest.approx(want[i], abs=1e-7)
+            assert r.kept == (not r.base_failed and (r.n_words < 80 or r.word_distance <= 0.4 and r.class_distance <= 0.32))
     assert got[24].kept and not got[20].kept  # prose stays, symbols in every word go
     assert quality.judge(none.withColumn("lang", F.lit("en"))).count() == 0
 
 
+def test_quality_rare_languages(spark):
+    greek = lambda n: " ".join("".join(RND.choice("αβγδεηικλμνοπρσςτυω") for _ in range(RND.randrange(2, 9))) for _ in range(n))
+    rows = [(i, "en", prose(100)) for i in range(1100)] + [(2000, "el", greek(1200)), (2001, "ru", greek(300)), (2002, None, greek(300)), (2003, "en", greek(300))]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string"), columns=["doc_id"]).collect()}
+    assert got[2000].kept and got[2000].class_distance == pytest.approx(0, abs=1e-6)  # under 0.1 % of the documents, but enough words
+    assert got[2001].kept and got[2001].class_distance is None and got[2002].kept  # no reference to diverge from
+    assert not got[2003].kept and got[2003].class_distance > 0.7
+    docs = spark.createDataFrame(rows[:200], "doc_id long, lang string, text string")
+    other = {r.doc_id: r.kept for r in quality.judge(docs.unionByName(docs.sparkSession.createDataFrame([(3000, "en", greek(200))], docs.schema)), refs=quality.references(docs)).collect()}
+    assert not other.pop(3000) and all(other.values())
+
+
 def test_js_distance(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.25, 0.75], [0.5, 0.5])], "p array<double>, q array<double>")
     got = [r[0] for r in rows.select(quality.js_distance(F.col("p"), F.col("q"))).collect()]
@@ -182,7 +200,7 @@ def test_bpe_odd_texts():
     coder = bpe.coder(PATH, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     for _ in range(1500):
-        t = "".join(RND.choice(" \n\t ab'sé漢1?.   \r😀\u00a0") for _ in range(RND.randrange(0, 80)))
+        t = "".join(RND.choice(" \n\t ab'sé漢1?.   \r😀\u00a0\x1c\x85\u2028Z") for _ in range(RND.randrange(0, 80)))
         assert "".join(chunks.cut(t)) == t
         assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == library.encode_ordinary(t)
 
@@ -192,10 +210,10 @@ def test_token_files(docs, none, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = True  # the other way, added=False; the next test has the library's default
     folder = scratch_path(spark, "tokens")
     odd = spark.createDataFrame([(100, "a  b \n\n c<|endoftext|>  "), (101, "\r\n x'll 12é ")], SCHEMA)
-    manifest = token_files.write_tokens(docs.unionByName(odd), path, folder, sequence=64)
+    manifest = token_files.write_tokens(docs.unionByName(odd), path, folder, sequence=64, added=False)
     got = sorted(token_files.read_documents(manifest, folder).collect(), key=lambda r: r.doc_id)
     start = 0
     for (i, t), r in zip([*ROWS, *[tuple(x) for x in odd.collect()]], got, strict=True):
@@ -211,6 +229,18 @@ def test_token_files(docs, none, spark):
     assert empty.count() == 0
 
 
+def test_tokenizer_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), token_files.CachedTokenizer(path)
+    texts = ["".join(RND.choice(" \n\t ab'sé漢1?.   \r😀\u00a0\x1c\x85\u2028Z") for _ in range(RND.randrange(0, 80))) for _ in range(3000)] + ["a<|endoftext|> b", "<|endoftext|>", "a <|endoftext|\n>"]
+    for i in range(0, len(texts), 50):
+        got = coder.encode(texts[i : i + 50])
+        for t, ids in zip(texts[i : i + 50], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files_added_tokens(spark, tmp_path):
     from petrilake.llm import queries
     from tokenizers import Tokenizer
