@@ -101,12 +101,18 @@ def common_words_distance(hashes: Column, n_words: Column, common: Column, share
     return F.aggregate(F.array_intersect(hashes, common), F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("q")), add, finish)
 
 
+def _by_language(rows: DataFrame, refs: DataFrame, how: str = "left") -> DataFrame:
+    """rows with their language's row of refs, which is broadcast where there are few languages."""
+    return rows.join(F.broadcast(refs) if refs.count() <= MOST_LANGUAGES else refs, "lang", how)
+
+
 def word_references(docs: DataFrame, word_share: float = 0.005, min_reference: int = 1000) -> DataFrame:
     """(lang, common, shares): of each language with at least min_reference words its common words in order and their shares."""
     words = docs.where("lang is not null").select("lang", F.explode(words_of(F.coalesce(F.col("text"), F.lit("")))).alias("word"))
     words = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     sums = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference)
-    often = words.join(sums, "lang").where(F.col("n") >= word_share * F.col("total")).select("lang", F.struct("word", (F.col("n") / F.col("total")).alias("share")).alias("w"))
+    sums = written(sums, "sums")
+    often = _by_language(words, sums, "inner").where(F.col("n") >= word_share * F.col("total")).select("lang", F.struct("word", (F.col("n") / F.col("total")).alias("share")).alias("w"))
     packed = often.groupBy("lang").agg(F.sort_array(F.collect_list("w")).alias("c"))  # at most 1 / word_share words each
     none = F.array().cast("array<struct<word: string, share: double>>")
     return sums.join(packed, "lang", "left").select("lang", F.coalesce("c", none).alias("c")).select("lang", F.col("c.word").alias("common"), F.col("c.share").alias("shares"))
@@ -119,11 +125,6 @@ def class_references(features: DataFrame, min_reference: int = 1000) -> DataFram
     return sums.where(F.col("total") >= min_reference).select("lang", F.array(*[F.col(f"k{i}") / chars for i in range(len(CLASSES))]).alias("class_shares"))
 
 
-def _by_language(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """rows with their language's reference, broadcast where there are few languages."""
-    return rows.join(F.broadcast(refs) if refs.count() <= MOST_LANGUAGES else refs, "lang", "left")
-
-
 def features(docs: DataFrame, word_refs: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and classes, written.
 
