@@ -1,9 +1,11 @@
 """URL filters: explicit rules first, then trust and distrust that spread over the host graph.
 
 Host edges are the absolute and protocol-relative links of pages and the domain hierarchy (a host and its parent domain vouch for each
-other). Trust is a personalised PageRank from hosts of allowed pages along the edges; distrust starts at hosts of
+other, up to the registered domain). Trust is a personalised PageRank from hosts of allowed pages along the edges; distrust starts at hosts of
 blocked pages and runs against the edges, since a page that links to a blocked host is suspect and a blocked host's
-targets are not. A host is blocked when its distrust exceeds `threshold` times the sum of its trust and a uniform prior.
+targets are not. With each goes the usual rank, of a walk over the same edges that starts at all pages alike. A host's trust and distrust are
+held against its usual ranks, so that what decides does not depend on the number of hosts: 1 is what an average page's neighbourhood has.
+A host is blocked when its distrust exceeds `threshold` times its trust, and `evidence`.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Ranks are settled when no host's rank changes by more than this share of the uniform prior in a block of ROUNDS rounds.
+#: Ranks are settled when none changes by more than this share of itself in a block of ROUNDS rounds.
 SETTLED = 0.01
-ROUNDS = 3
+ROUNDS = 5
+#: Hosts whose ranks are broadcast; more are joined, where a host's edges are dealt by EDGES of them.
+BROADCAST_HOSTS = 500_000
+EDGES = 100_000
 
 
 def host_of(url):
@@ -73,54 +78,75 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(tree).unionByName(back).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def _shares(edges: DataFrame) -> DataFrame:
+    """(against, host, part, dst, share): what each host hands on along its edges, and against them; edges of one host in parts of about EDGES."""
+    back = edges.select(F.lit(1).alias("against"), F.col("dst").alias("host"), F.col("src").alias("dst"), "weight")
+    both = edges.select(F.lit(0).alias("against"), F.col("src").alias("host"), "dst", "weight").unionByName(back)
+    out = both.groupBy("against", "host").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / EDGES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
+    dealt = both.join(out, ["against", "host"])
+    return dealt.select("against", "host", "parts", part.alias("part"), "dst", (F.col("weight") / F.col("out")).alias("share"))
+
+
 def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
-    """(host, trust, distrust), for hosts that either has reached.
+    """(host, trust, distrust, usual_trust, usual_distrust) of all hosts that a walk has reached.
 
-    The seeds' weights are pages, so that each kind sums to 1. Only host-level rows move, never pages. Without a number of rounds
+    The seeds' weights are pages, and those of each walk sum to 1. A host without an edge hands nothing on; giving its rank back to
+    the seeds would multiply all ranks of a walk by one number. Only host-level rows move, never pages. Without a number of rounds
     they go on until the ranks are settled and no further host is reached.
     """
-    judged = (
-        pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        .where("host != ''")
-        .select("host", matching_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
-        .where("verdict is not null")
-        .groupBy(F.when(F.col("verdict") == "allow", 0).otherwise(1).alias("kind"), F.col("host"))
-        .agg(F.count("*").cast("double").alias("n"))
-    )
-    total = judged.groupBy("kind").agg(F.sum("n").alias("total"))
-    seeds = written(judged.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "seeds")  # two rows broadcast
-    edges = host_edges(pages)
-    both = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    shares = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "edges")
-
-    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    done, before, n_before = 0, rank, -1
+    judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host != ''")
+    judged = judged.select("host", matching_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
+    marks = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).cast("double")
+    counts = written(judged.groupBy("host").agg(marks("allow").alias("allowed"), marks("block").alias("blocked"), F.count("*").cast("double").alias("n")), "hosts")
+    totals = counts.agg(*[F.greatest(F.sum(c), F.lit(1.0)).alias(f"all_{c}") for c in ("allowed", "blocked", "n")])
+    each = counts.crossJoin(F.broadcast(totals)).select("host", *[(F.col(c) / F.col(f"all_{c}")).alias(c) for c in ("allowed", "blocked", "n")])  # one row broadcast
+    rank_of = lambda against, mark: F.struct(F.lit(against).alias("against"), F.col(mark).alias("mark"), F.col("n").alias("usual"))
+    seeds = each.select("host", F.explode(F.array(rank_of(0, "allowed"), rank_of(1, "blocked"))).alias("r"))
+    seeds = written(seeds.select("r.against", "host", *[((1 - damping) * F.col(f"r.{c}")).alias(c) for c in ("mark", "usual")]), "seeds")
+    shares = written(_shares(host_edges(pages)), "edges")
+    few = shares.select("host").unionByName(seeds.select("host")).distinct().count() <= BROADCAST_HOSTS
+    parted = shares.where("parts > 1").select("against", "host", "parts").distinct()  # hosts with more than EDGES edges
+
+    def moved(rank: DataFrame) -> DataFrame:
+        if few:
+            met = shares.join(F.broadcast(rank), ["against", "host"])
+        else:
+            dealt = rank.join(parted, ["against", "host"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            met = shares.join(dealt, ["against", "host", "part"])
+        return met.select("against", F.col("dst").alias("host"), *[(damping * F.col("share") * F.col(c)).alias(c) for c in ("mark", "usual")])
+
+    rank, done, before = seeds, 0, None
     while rounds is None or done < rounds:
         for _ in range(ROUNDS if rounds is None else min(ROUNDS, rounds - done)):
-            moved = shares.join(rank, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
-            rank = moved.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            rank = moved(rank).unionByName(seeds).groupBy("against", "host").agg(F.sum("mark").alias("mark"), F.sum("usual").alias("usual"))
             done += 1
         rank = written(rank, "rank")
-        if rounds is None:
-            both = rank.join(before.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"], "left")
-            change, n, hosts = both.agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))), F.count("*"), F.countDistinct("host")).first()
-            if n == n_before and (change or 0.0) <= SETTLED / max(1, hosts):
+        if before is not None and rounds is None:
+            pairs = rank.join(before.select("against", "host", F.col("mark").alias("mark0"), F.col("usual").alias("usual0")), ["against", "host"], "left")
+            change = [F.when(F.col(c) > 0, (F.col(c) - F.coalesce(f"{c}0", F.lit(0.0))) / F.col(c)) for c in ("mark", "usual")]
+            if (pairs.agg(F.max(F.greatest(*change))).first()[0] or 0.0) <= SETTLED:
                 break
-            before, n_before = rank, n
-    return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("rank")).otherwise(0.0)).alias("distrust"))
+        before = rank
+    one = lambda against, c: F.sum(F.when(F.col("against") == against, F.col(c)).otherwise(0.0))
+    return rank.groupBy("host").agg(one(0, "mark").alias("trust"), one(1, "mark").alias("distrust"), one(0, "usual").alias("usual_trust"), one(1, "usual").alias("usual_distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 4.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
-    """page_id, host, path, rule, trust, distrust and verdict of every page.
+def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, evidence: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, trust, distrust and verdict of every page; trust and distrust relative to the usual ranks.
 
-    A null url, or one without ://, has an empty host and path; no rule and no edge fits it, and it is allowed.
-    Hosts that neither trust nor distrust reaches are allowed. An empty table gives an empty result.
+    A null url, or one without ://, has an empty host and path; no rule and no edge fits it, and it is allowed. A null html has no
+    links. Hosts that distrust does not reach are allowed. Repeated rows are judged alike, each counts as a page. Other columns of pages
+    are dropped. An empty table gives an empty result.
     """
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     scores = written(host_scores(pages, rules, damping, rounds), "scores")
-    prior = scores.agg((1.0 / F.greatest(F.count("*"), F.lit(1))).alias("_prior"))
-    scores = scores.crossJoin(F.broadcast(prior))  # one row
-    spread = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("_prior")), "block").otherwise("allow")
-    return base.join(scores, "host", "left").select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce(F.col("_rule.verdict"), spread).alias("verdict"))
+    kinds = ["trust", "distrust", "usual_trust", "usual_distrust"]
+    sums = scores.agg(*[F.sum(k).alias(f"all_{k}") for k in kinds], F.count("*").alias("hosts"))
+    share = lambda k: F.when(F.col(f"all_{k}") > 0, F.col(k) / F.col(f"all_{k}")).otherwise(0.0)
+    relative = lambda k: F.when(share(f"usual_{k}") > 0, share(k) / share(f"usual_{k}")).otherwise(0.0).alias(k)
+    found = written(scores.crossJoin(F.broadcast(sums)).select("host", relative("trust"), relative("distrust")), "relative")  # one row broadcast
+    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
+    spread = F.when((F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > evidence), "block").otherwise("allow")
+    return base.join(found, "host", "left").select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce(F.col("_rule.verdict"), spread).alias("verdict"))

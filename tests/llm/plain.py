@@ -117,3 +117,32 @@ def quality_distances(rows, word_share=0.005, min_reference=1000):
             q = [c[x] / len(w) for x in common]
             out[i] = js_distance([*common.values(), max(1 - sum(common.values()), 0)], [*q, 1 - sum(q)]), js_distance(ref, share(classes(t)))
     return out
+
+
+def walk(edges, seeds, damping=0.85, rounds=400):
+    """The ranks of a walk over {(src, dst): weight} that starts at {host: weight} and gives what it has at a dead end back to the seeds."""
+    out = Counter()
+    for (src, _), w in edges.items():
+        out[src] += w
+    total = sum(seeds.values())
+    seeds = {h: w / total for h, w in seeds.items()} if total else {}
+    rank = dict(seeds)
+    for _ in range(rounds):
+        lost = damping * sum(r for h, r in rank.items() if not out[h])
+        new = Counter({h: (1 - damping + lost) * w for h, w in seeds.items()})
+        for (src, dst), w in edges.items():
+            new[dst] += damping * w / out[src] * rank.get(src, 0)
+        rank = new
+    return rank
+
+
+def spread_verdicts(edges, allowed, blocked, pages, threshold=1.0, evidence=0.5):
+    """{host: (trust, distrust, verdict)} relative to the usual ranks, from {host: pages} of each kind."""
+    back = {(b, a): w for (a, b), w in edges.items()}
+    ratio = lambda mark, usual, h: mark.get(h, 0) / usual[h] if usual.get(h, 0) > 0 else 0.0
+    t, d, ut, ud = walk(edges, allowed), walk(back, blocked), walk(edges, pages), walk(back, pages)
+    out = {}
+    for h in pages:
+        x, y = ratio(t, ut, h), ratio(d, ud, h)
+        out[h] = x, y, "block" if y > threshold * x and y > evidence else "allow"
+    return out

@@ -377,6 +377,42 @@ def test_urls_far_hosts(spark):
         assert scores[f"h{i}.io"] == pytest.approx(0.15 * 0.85 ** (9 - i), rel=0.05)
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_urls_spread_against_plain(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", most)  # 0: ranks are joined, edges in parts
+    monkeypatch.setattr(url_filter, "EDGES", 2)
+    rnd = random.Random(8)
+    hosts = [f"h{i}.io" for i in range(30)] + ["b.net", "c.net", "good.com", "fine.com", "sub.h1.io", "deep.sub.h1.io"]
+    sample = rnd.sample(hosts[:30], 30)
+    to = {h: rnd.sample(sample, 2) for h in hosts}
+    for h in sample[:5]:
+        to[h] = ["b.net", "c.net"]  # they link to blocked hosts
+    to["good.com"] = to["fine.com"] = sample[5:10]  # trusted hosts vouch for these
+    rows, links = [], Counter()
+    for i, h in enumerate(hosts):
+        for path in ["/es/1", "/es/2"] if h.endswith(".net") else ["/x"]:
+            rows.append((len(rows), f"https://{h}{path}", "".join(f'<a href="http://{x.upper()}/">' for x in to[h] if x != h)))
+            links.update((h, x) for x in to[h] if x != h)
+    for a, b in (("deep.sub.h1.io", "sub.h1.io"), ("sub.h1.io", "h1.io")):
+        links.update([(a, b), (b, a)])
+    rows += [(100, "https://h2.io/z", None), (100, "https://h2.io/z", None), (101, "https://nowhere.io/", "")]
+    pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, verdict string")
+    count = Counter(u.split("/")[2] for _, u, _ in rows)
+    kind = lambda end: {h: n for h, n in count.items() if h.endswith(end)}
+    want = plain.spread_verdicts(links, kind(".com"), kind(".net"), count)
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(rows)
+    free = [r for r in got if r.rule is None]
+    for r in free:
+        trust, distrust, verdict = want[r.host]
+        assert (r.trust, r.distrust) == (pytest.approx(trust, rel=0.03, abs=1e-9), pytest.approx(distrust, rel=0.03, abs=1e-9))
+        if abs(distrust - max(trust, 0.5)) > 0.05:
+            assert r.verdict == verdict
+    by = {r.host: r.verdict for r in free}
+    assert all(by[h] == "block" for h in sample[:5]) and by["nowhere.io"] == "allow" and all(by[h] == "allow" for h in sample[5:10])
+    assert {r.verdict for r in got if r.rule} == {"allow", "block"}
+
+
 def test_licences(spark):
     files = spark.createDataFrame(
         [
