@@ -1,8 +1,10 @@
 """Line dedup: lines that several documents hold stay in one of them.
 
 Each document emits the 128-bit hashes of its normalised lines, once each. A two-step aggregation counts distinct
-documents per hash, so that a line of a third of all documents is summed where it is read. The hashes to drop go back to
-their documents by doc_id, and each document is put together again from the lines that stay.
+documents per hash, so that a line of a third of all documents is summed where it is read. The most common lines, `HOT_LINES` at
+most, are broadcast with the document that keeps them, and their occurrences are spread by document; the others join by hash, none with
+more rows than the least hot one. The hashes to drop go back to their documents by doc_id, and each document is put together again from
+the lines that stay.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petrilake.llm.common import LOWER_BYTES, WS, python_workers
+from petrilake.llm.common import LOWER_BYTES, WS, python_workers, written
+
+#: Lines that are broadcast, at most; lines of fewer documents than HOT_DOCS are not.
+HOT_LINES = 200_000
+HOT_DOCS = 1000
 
 
 def line_key(line: str) -> str:
@@ -54,8 +60,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     python_workers(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "_drop", "_id")
     lines = line_hashes(docs, min_chars)
-    common = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("line", "keeper")
-    drops = lines.join(common, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
+    common = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    common, least = written(common.where(F.col("n") >= min_docs), "common"), HOT_DOCS
+    while (hot := common.where(F.col("n") >= least)).count() > HOT_LINES:
+        least *= 2
+    marked = lines.join(F.broadcast(hot.select("line", F.col("keeper").alias("hot_keeper"), F.lit(True).alias("is_hot"))), "line", "left")
+    spread = F.when(F.col("is_hot"), F.concat("line", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"."))).otherwise(F.col("line"))  # longer than any hash
+    others = common.where(F.col("n") < least).select(F.col("line").alias("key"), "keeper", F.lit(True).alias("is_common"))
+    found = marked.withColumn("key", spread).join(others, "key", "left").where("is_hot or is_common").withColumn("keeper", F.when(F.col("is_hot"), F.col("hot_keeper")).otherwise(F.col("keeper")))
+    drops = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
     both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     names = docs.columns
     at, kept = names.index("text"), [c for c in names if c != "text"]

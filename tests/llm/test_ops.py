@@ -61,6 +61,14 @@ def test_lines(docs, none, spark):
     assert sorted((r.doc_id or 0, r.n_dropped) for r in linededup.dedup_lines(same).collect()) == [(0, 1), (1, 1), (1, 1), (2, 0)]
 
 
+@pytest.mark.parametrize(("docs_of", "most"), [(1, 2), (4, 1000)])
+def test_lines_hot(docs, monkeypatch, docs_of, most):
+    monkeypatch.setattr(linededup, "HOT_DOCS", docs_of)
+    monkeypatch.setattr(linededup, "HOT_LINES", most)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs).collect()}
+    assert got == plain.kept_lines(ROWS)
+
+
 def test_jaccard(docs, none, spark):
     want = plain.jaccard_components(ROWS)
     got = ngram_join.join_components(docs.withColumn("n", F.lit(1)).withColumn("a", F.lit(2))).collect()
