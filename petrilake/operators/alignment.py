@@ -1,25 +1,82 @@
-"""Optimal alignments between traces and a net."""
+"""Optimal alignments between traces and a net.
+
+A log move and a visible model move cost 1, a silent move and a step of both nothing. `costs` is the plan to use: a net with few
+markings becomes one matrix a letter, and a trace of any length is a fold of its letters over the costs of being at each marking.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
-from petrilake.operators.nets import Net
+from petrilake.operators.nets import Net, few, reachable, start, step
+from petrilake.sources.scratch import settled
+
+#: Markings of a net whose matrices are broadcast; larger nets are searched level by level.
+MATRIX_MARKINGS = 200
+#: A cost that stands for no way.
+FAR = 1 << 28
+
+
+def _matrices(net: Net, variants: DataFrame) -> tuple[list[int], list[int], dict[str | None, list[list[int]]]] | None:
+    """The costs at the start, those from each marking to the final one (0 or FAR), and for each letter (None: any other) the costs to
+    come from each marking (inner) to each (outer) with one letter of the trace; None if the net has too many markings.
+
+    What is made here is the size of the model, not of the log.
+    """
+    spark = variants.sparkSession
+    seen = reachable(spark, net)
+    if seen.limit(MATRIX_MARKINGS + 1).count() > MATRIX_MARKINGS:
+        return None
+    arcs = [(tuple(r[0]), tuple(r[1]), r[2], r[3]) for r in step(seen.withColumn("from", F.col("marking")), net.frame(spark)).select("from", "marking", "label", "silent").collect()]  # a model's markings
+    places = sorted({tuple(r[0]) for r in seen.collect()})
+    at, k = {m: i for i, m in enumerate(places)}, len(places)
+    near = np.full((k, k), FAR, np.int64)  # model moves alone
+    np.fill_diagonal(near, 0)
+    for a, b, _, silent in arcs:
+        near[at[a], at[b]] = min(near[at[a], at[b]], 0 if silent else 1)
+    for i in range(k):
+        near = np.minimum(near, near[:, i : i + 1] + near[i : i + 1])
+    log_move = np.full((k, k), FAR, np.int64)
+    np.fill_diagonal(log_move, 1)
+    steps = {None: log_move}
+    for a, b, label, silent in arcs:
+        if not silent:
+            steps.setdefault(label, log_move.copy())[at[a], at[b]] = 0
+    then = {x: np.minimum((one[:, :, None] + near[None]).min(axis=1), FAR).T.tolist() for x, one in steps.items()}
+    first = near[at[tuple(start(spark, net).first()[0])]].tolist()
+    final = set(net.final or net.sinks)
+    return first, [0 if final <= set(m) else FAR for m in places], then
+
+
+def costs(variants: DataFrame, net: Net) -> DataFrame:
+    """variants(trace, ...) with `cost`: that of the optimal alignment with the net's full runs of any length; null if there is none."""
+    found = _matrices(net, variants)
+    if found is None:
+        return variants.join(costs_by_search(variants, net, written=settled), "trace", "left")
+    first, last, then = found
+    rest = then.pop(None)
+    types = "first array<int>, last array<int>, steps map<string, array<array<int>>>, rest array<array<int>>"
+    one = variants.sparkSession.createDataFrame([(first, last, then, rest)], types)
+    plus = lambda a, b: F.array_min(F.zip_with(a, b, lambda x, y: x + y))
+    cell = lambda old, row: F.least(plus(old, row), F.lit(FAR))
+    fold = F.aggregate("trace", F.col("first"), lambda old, x: F.transform(F.coalesce(F.element_at("steps", x), F.col("rest")), lambda row: cell(old, row)))
+    rows = variants.crossJoin(F.broadcast(one)).withColumn("cost", plus(fold, F.col("last")))  # one row, of the model's size
+    return rows.withColumn("cost", F.when(F.col("cost") < FAR, F.col("cost"))).drop("first", "last", "steps", "rest")
 
 
 def costs_to_runs(variants: DataFrame, full_runs: DataFrame) -> DataFrame:
-    """(trace, n_cases, cost): moves on one side only, for the closest of a model's full runs. The plan to use when these are few."""
-    both = variants.crossJoin(F.broadcast(full_runs.select("run")))  # bounded by the model and its number of steps
+    """(trace, n_cases, cost): moves on one side only, for the closest of a list of full runs."""
+    both = variants.crossJoin(few(full_runs.select("run")))
     return both.groupBy("trace", "n_cases").agg(F.min(D.indel(F.col("run"), F.col("trace"))).alias("cost"))
 
 
-def costs_by_search(variants: DataFrame, net: Net, most_steps: int, written=None) -> DataFrame:
-    """(trace, cost) by shortest paths over (trace, position, marking), one join a level.
+def costs_by_search(variants: DataFrame, net: Net, most_steps: int | None = None, written=settled) -> DataFrame:
+    """(trace, cost) by shortest paths over (trace, position, marking), one join a level, until no level makes a state cheaper.
 
-    A log move and a visible model move cost 1, a silent move and a step of both nothing. Needs no list of runs. written cuts the lineage
-    between levels (a function of a DataFrame); without it the plan grows with most_steps.
+    For nets with many markings. written cuts the lineage between levels (a function of a DataFrame). most_steps ends the search early.
     """
     spark = variants.sparkSession
     table = net.frame(spark)
@@ -28,13 +85,18 @@ def costs_by_search(variants: DataFrame, net: Net, most_steps: int, written=None
     fresh = F.array_except("after", "before")
     enabled = (F.size(F.array_except("before", "marking")) == 0) & ~F.arrays_overlap(fresh, F.col("marking"))
     moved = F.array_sort(F.array_union(F.array_except("marking", "before"), "after"))
-    for _ in range(most_steps):
+    before, done = None, 0
+    while most_steps is None or done < most_steps:
         log_move = states.where(F.col("pos") < F.size("trace")).select("trace", (F.col("pos") + 1).alias("pos"), "marking", (F.col("cost") + 1).alias("cost"))
         fired = states.join(F.broadcast(table), enabled)
         model_move = fired.select("trace", "pos", moved.alias("marking"), (F.col("cost") + F.when(F.col("silent"), 0).otherwise(1)).alias("cost"))
         both = fired.where(~F.col("silent") & (F.get("trace", F.col("pos")) == F.col("label"))).select("trace", (F.col("pos") + 1).alias("pos"), moved.alias("marking"), "cost")
         states = states.unionByName(log_move).unionByName(model_move).unionByName(both).groupBy("trace", "pos", "marking").agg(F.min("cost").alias("cost"))
-        states = written(states) if written else states
+        states, done = written(states), done + 1
+        now = states.agg(F.count("*"), F.sum("cost")).first()
+        if now == before:  # no new state, none cheaper
+            break
+        before = now
     final = F.array(*[F.lit(p) for p in net.final or net.sinks])
     return states.where((F.col("pos") == F.size("trace")) & (F.size(F.array_except(final, F.col("marking"))) == 0)).groupBy("trace").agg(F.min("cost").alias("cost"))
 

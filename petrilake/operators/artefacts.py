@@ -5,18 +5,19 @@ The traces meet the model's runs as variants with their numbers of cases; the ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
-from petrilake.operators.nets import MAX_BROADCAST_RUNS
+from petrilake.operators.nets import Net, few, reachable, run_levels
 
 
 def run_distances(runs: DataFrame, variants: DataFrame, n: int, distance: str) -> DataFrame:
     """(run, trace, n_cases, distance) of every run and variant, traces cut to n."""
     cut = variants.withColumn("trace", D.prefix(F.col("trace"), n)).groupBy("trace").agg(F.sum("n_cases").alias("n_cases"))
-    few = runs.limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS
-    both = cut.crossJoin(F.broadcast(runs) if few else runs)
+    both = cut.crossJoin(few(runs))
     if distance == "hamming":
         found = D.hamming(F.col("run"), D.padded(F.col("trace"), n))
     elif distance == "edit":
@@ -46,9 +47,47 @@ def with_distances(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(found.select("run")), F.array_join(pairs.run, " ") == found.run).select(F.array_join("trace", " ").alias("trace"), "n_cases", "distance")  # one row
 
 
+def _share(kind: str, max_d: int):
+    length = F.size(F.filter("run", lambda x: x != D.WAIT))
+    return {"edit": F.col("distance") / (length + F.size("trace")), "hamming": F.col("distance") / F.greatest(length, F.size("trace")), "bounded": F.col("distance") / F.lit(max_d)}[kind]
+
+
 def precision(pairs: DataFrame, found: DataFrame, n: int, kind: str, max_d: int) -> DataFrame:
     """1 minus the least distance from the found run, in shares of both lengths (edit), the longer one (hamming) or max_d (bounded)."""
     rows = pairs.join(F.broadcast(found.select(F.col("run").alias("best"))), F.array_join(pairs.run, " ") == F.col("best"))  # one row
-    length = F.size(F.filter("run", lambda x: x != D.WAIT))
-    share = {"edit": F.col("distance") / (length + F.size("trace")), "hamming": F.col("distance") / F.greatest(length, F.size("trace")), "bounded": F.col("distance") / F.lit(max_d)}[kind]
-    return rows.agg(F.round(1 - F.min(share), 9).alias("precision"))
+    return rows.agg(F.round(1 - F.min(_share(kind, max_d)), 9).alias("precision"))
+
+
+def anti_precision(pairs: DataFrame, kind: str, max_d: int) -> DataFrame:
+    """(precision) from the anti-alignment by least distance; both are taken in one grouping, so that each distance is made once."""
+    rows = pairs.groupBy(F.array_join("run", " ").alias("run")).agg(F.min("distance").alias("least"), F.min(_share(kind, max_d)).alias("share"))
+    return rows.orderBy(F.desc("least"), "run").limit(1).select(F.round(1 - F.col("share"), 9).alias("precision"))
+
+
+def epsilon_precision(spark: SparkSession, net: Net, variants: DataFrame, epsilon: float, most_trials: int = 10) -> DataFrame:
+    """(precision): 1 minus the largest share of distance of a full anti-alignment of n = 2, 3, ... steps, discounted by (1 + epsilon)^length.
+
+    The anti-alignment of n steps is the furthest run from the traces cut to n; its share is that of its nearest whole trace. No longer
+    run can do better once n reaches -ln(m) / ln(1 + epsilon) for some discounted share m; the search also ends after most_trials lengths
+    without a larger one.
+    """
+    best, trials, end = 0.0, 0, math.inf
+    final = F.array(*[F.lit(p) for p in net.final or net.sinks])
+    if not reachable(spark, net).where(F.size(F.array_except(final, F.col("marking"))) == 0).limit(1).count():
+        return spark.range(1).select(F.lit(1.0).alias("precision"))
+    for n, runs in run_levels(spark, net, True):
+        if n < 2:
+            continue
+        if n - 1 >= end or trials >= most_trials:
+            break
+        row = summarise(run_distances(runs, variants, n, "edit")).orderBy(F.desc("least"), "run").first()
+        if row is None:  # no full run of this length
+            continue
+        run = F.array(*[F.lit(x) for x in row.run.split(" ")])
+        size = sum(x != D.WAIT for x in row.run.split(" "))
+        share = variants.agg(F.min(D.indel(run, F.col("trace")) / (F.size("trace") + size))).first()[0]
+        m = min(1.0, 1.0 if share is None else share) / (1 + epsilon) ** size
+        if m > 0:
+            end = min(end, math.floor(-math.log(m) / math.log(1 + epsilon)))
+        best, trials = max(best, m), trials + 1 if m <= best else 0
+    return spark.range(1).select(F.round(F.lit(1 - best), 9).alias("precision"))

@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
+from petrilake.operators.alignment import costs
+from petrilake.operators.nets import Net, few, runs
 from petrilake.sources.scratch import settled
 
 
-def subnets(full_runs: DataFrame, most_transitions: int, rounds: int = 3) -> DataFrame:
-    """(subnet): the transition sets of full runs and their unions, of at most so many transitions; waits do not count.
+def subnets(full_runs: DataFrame, most_transitions: int) -> DataFrame:
+    """(subnet): the transition sets of full runs and all their unions, of at most so many transitions; waits do not count.
 
-    Bounded by the model: at most the subsets of its transitions.
+    Bounded by the model: at most the subsets of its transitions. Unions are added until there is no new one.
     """
     sets = full_runs.select(F.array_sort(F.array_distinct(F.filter("tids", lambda t: t != "w"))).alias("subnet")).where(F.size("subnet") <= most_transitions).distinct()
-    grown = sets
-    for _ in range(rounds):
-        more = grown.crossJoin(F.broadcast(sets.withColumnRenamed("subnet", "other"))).select(F.array_sort(F.array_union("subnet", "other")).alias("subnet"))
+    grown = sets = settled(sets, "subnets")
+    count = grown.count()
+    while True:
+        more = grown.crossJoin(few(sets.withColumnRenamed("subnet", "other"))).select(F.array_sort(F.array_union("subnet", "other")).alias("subnet"))
         grown = settled(grown.unionByName(more.where(F.size("subnet") <= most_transitions)).distinct(), "subnets")
-    return grown
+        if (now := grown.count()) == count:
+            return grown
+        count = now
 
 
 def coverage(variants: DataFrame, full_runs: DataFrame, nets: DataFrame, most_distance: int) -> DataFrame:
     """(subnet, trace, n_cases, cost): the variants within most_distance of a full run that uses the subnet only."""
     own = F.filter("tids", lambda t: t != "w")
-    inside = nets.join(F.broadcast(full_runs.select("run", own.alias("own"))), F.size(F.array_except("own", "subnet")) == 0).select("subnet", "run")  # the model's runs
-    costs = variants.crossJoin(F.broadcast(full_runs.select("run"))).select("trace", "n_cases", "run", D.indel(F.col("run"), F.col("trace")).alias("cost")).where(F.col("cost") <= most_distance)
-    return settled(costs.join(F.broadcast(inside), "run").groupBy("subnet", "trace", "n_cases").agg(F.min("cost").alias("cost")), "coverage")
+    inside = nets.join(few(full_runs.select("run", own.alias("own"))), F.size(F.array_except("own", "subnet")) == 0).select("subnet", "run")
+    each = variants.crossJoin(few(full_runs.select("run"))).select("trace", "n_cases", "run", D.indel(F.col("run"), F.col("trace")).alias("cost")).where(F.col("cost") <= most_distance)
+    return settled(each.join(few(inside), "run").groupBy("subnet", "trace", "n_cases").agg(F.min("cost").alias("cost")), "coverage")
 
 
 def best_pair(covered: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def best_pair(covered: DataFrame) -> DataFrame:
     alone = covered.groupBy("subnet").agg(F.sum("n_cases").alias("cases"), F.sum(F.col("n_cases") * F.col("cost")).alias("cost"))
     shared = left.join(right, "trace").where("first < second").groupBy("first", "second").agg(F.sum("n_cases").alias("both"), F.sum(F.col("n_cases") * F.greatest("c1", "c2")).alias("dearer"))
     a, b = alone.select(F.col("subnet").alias("first"), F.col("cases").alias("n1"), F.col("cost").alias("s1")), alone.select(F.col("subnet").alias("second"), F.col("cases").alias("n2"), F.col("cost").alias("s2"))
-    pairs = a.join(F.broadcast(b), F.col("first") < F.col("second")).join(F.broadcast(shared), ["first", "second"], "left")  # subsets of the model's transitions
+    pairs = a.join(few(b), F.col("first") < F.col("second")).join(shared, ["first", "second"], "left")
     clustered = F.col("n1") + F.col("n2") - F.coalesce("both", F.lit(0))
     score = 100 * clustered - 2 * (F.col("s1") + F.col("s2") - F.coalesce("dearer", F.lit(0))) - 2 * F.size(F.array_intersect("first", "second")) - F.size("first") - F.size("second")
     return pairs.select("first", "second", score.alias("score"), clustered.alias("clustered")).orderBy(F.desc("score"), "first", "second").limit(1)
@@ -54,20 +59,95 @@ def assign(variants: DataFrame, covered: DataFrame, pair: DataFrame) -> DataFram
     return variants.join(own, "trace", "left").select("trace", "n_cases", F.col("b.id").alias("cluster_id"), F.col("b.cost").alias("cost"))
 
 
-def absorb(clustered: DataFrame, letters: DataFrame, most_distance: int) -> DataFrame:
+def best_subnets(covered: DataFrame, most: int) -> list[list[str]]:
+    """The set of at most so many subnets that scores best (as in `best_pair`), the first in order among equals; none if nothing is covered.
+
+    All sets are compared, so their number grows with the model's subnets to the power of most.
+    """
+    sizes = covered.select("subnet").distinct()
+    sets = grown = sizes.select(F.array("subnet").alias("subnets"))
+    for _ in range(most - 1):
+        grown = grown.crossJoin(few(sizes)).where(F.element_at("subnets", -1) < F.col("subnet")).select(F.concat("subnets", F.array("subnet")).alias("subnets"))
+        sets = sets.unionByName(grown)
+    rows = sets.select("subnets", F.explode("subnets").alias("subnet")).join(covered, "subnet").groupBy("subnets", "trace").agg(F.first("n_cases").alias("n"), F.min("cost").alias("cost"))
+    gain = rows.groupBy("subnets").agg(F.sum(F.col("n") * (100 - 2 * F.col("cost"))).alias("gain"))
+    at = lambda f: F.aggregate("subnets", F.lit(0), f)
+    shared = at(lambda a, s: a + F.aggregate(F.filter("subnets", lambda t: t < s), F.lit(0), lambda b, t: b + F.size(F.array_intersect(s, t))))
+    score = F.col("gain") - 2 * shared - at(lambda a, s: a + F.size(s))
+    found = gain.withColumn("score", score).orderBy(F.desc("score"), "subnets").select("subnets").first()
+    return [list(s) for s in found.subnets] if found else []
+
+
+def near_words(free: DataFrame, taken: DataFrame, most_distance: int) -> DataFrame:
+    """(trace, id) of each trace of free within most_distance edits (Levenshtein) of a trace of taken(trace, id): the smallest id.
+
+    Two words so close share one of the words that so many deletions leave of them: those are the key of the join, and pairs that meet
+    are compared. Activities are spelled as one character each, by their rank in both logs' alphabet (an alphabet is broadcast).
+    """
+    letters = free.select("trace").unionByName(taken.select("trace")).select(F.explode("trace").alias("activity")).distinct()
+    found = [r[0] for r in letters.orderBy("activity").limit(1 << 14).collect()]  # an alphabet
+    spelled = F.create_map(*[F.lit(x) for i, a in enumerate(found) for x in (a, chr(0x4E00 + i))]) if found else F.create_map(F.lit(""), F.lit(""))
+    word = F.array_join(F.transform("trace", lambda x: F.coalesce(F.element_at(spelled, x), F.lit("?"))), "")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("key", F.array("word"))
+        cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        for _ in range(most_distance):
+            rows = rows.withColumn("key", F.array_distinct(F.concat("key", F.flatten(F.transform("key", cut)))))
+        return rows.withColumn("key", F.explode("key"))
+
+    left = keyed(free.select("trace", word.alias("word"))).select("key", "trace", "word")
+    right = keyed(taken.select(word.alias("word"), "id").groupBy("word").agg(F.min("id").alias("id"))).select("key", F.col("word").alias("near"), "id")
+    return left.join(right, "key").where(F.levenshtein("word", "near", most_distance) >= 0).groupBy("trace").agg(F.min("id").alias("id"))
+
+
+def absorb(clustered: DataFrame, most_distance: int) -> DataFrame:
     """clustered with variants that no subnet covers taken into the cluster of a covered variant within most_distance (Levenshtein).
 
-    letters(activity, letter) spells an activity as one character. Both sides are variants; the smallest cluster id within reach counts.
+    Both sides are variants; the smallest cluster id within reach counts. Empty traces and activities of one side only take part.
     """
-    coded = clustered.withColumn("i", F.monotonically_increasing_id()).select("i", "trace", F.posexplode("trace").alias("pos", "activity")).join(F.broadcast(letters), "activity")  # an alphabet
-    words = coded.groupBy("trace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("word"))
-    rows = clustered.join(words, "trace")
-    free, taken = rows.where("cluster_id is null"), rows.where("cluster_id is not null").select(F.col("word").alias("near"), F.col("cluster_id").alias("id"))
-    near = free.join(taken, (F.abs(F.length("word") - F.length("near")) <= most_distance) & (F.levenshtein("word", "near", most_distance) >= 0))
-    got = near.groupBy("trace").agg(F.min("id").alias("got"))
+    free, taken = clustered.where("cluster_id is null"), clustered.where("cluster_id is not null").select("trace", F.col("cluster_id").alias("id"))
+    got = near_words(free, taken, most_distance).withColumnRenamed("id", "got")
     return clustered.join(got, "trace", "left").withColumn("cluster_id", F.coalesce("cluster_id", "got")).drop("got")
 
 
+def sampled_clusters(variants: DataFrame, net: Net, sample: int, n: int, most_distance: int, most_transitions: int, most_clusters: int, most_fruitless: int = 1) -> tuple[DataFrame, list[list[str]]]:
+    """(trace, n_cases, cluster_id), and the subnets of the clusters from 1 on; null where no cluster takes the variant.
+
+    Rounds of: sample variants, choose at most most_clusters subnets for them, and let each cluster absorb the variants within
+    most_distance edits of one of its own, else those whose alignment with its subnet costs no more. What is absorbed leaves the log.
+    The rounds end when no variant is left, or after most_fruitless rounds that cluster nothing.
+    """
+    full = runs(variants.sparkSession, net, n, True)
+    nets = subnets(full, most_transitions)
+    rest, parts, chosen, fruitless, turn = settled(variants.select("trace", "n_cases"), "rest"), [], [], 0, 0
+    while fruitless < most_fruitless and (left := rest.count()):
+        some = rest.orderBy(F.xxhash64("trace", F.lit(turn)), "trace").limit(sample)
+        turn += 1
+        covered = coverage(some, full, nets, most_distance)
+        found = best_subnets(covered, most_clusters)
+        if not found:
+            fruitless = fruitless + 1 if left > sample else most_fruitless  # the same sample again would find nothing either
+            continue
+        ids = variants.sparkSession.createDataFrame([(len(chosen) + i, s) for i, s in enumerate(found, 1)], "id int, subnet array<string>")
+        own = covered.join(F.broadcast(ids), "subnet").groupBy("trace").agg(F.min(F.struct("cost", "id")).alias("b")).select("trace", F.col("b.id").alias("id"))  # most_clusters rows
+        own = settled(own, "own")
+        near = settled(own.unionByName(near_words(rest.join(own, "trace", "left_anti"), own, most_distance)), "near")
+        open_ = rest.join(near, "trace", "left_anti").select("trace")
+        aligned = None
+        for i, s in enumerate(found, 1):
+            each = costs(open_, net.only(s)).where(F.col("cost") <= most_distance).select("trace", F.struct("cost", F.lit(len(chosen) + i).alias("id")).alias("b"))
+            aligned = each if aligned is None else aligned.unionByName(each)
+        got = settled(near.unionByName(aligned.groupBy("trace").agg(F.min("b").alias("b")).select("trace", F.col("b.id").alias("id"))), "got")
+        parts.append(rest.join(got, "trace").select("trace", "n_cases", F.col("id").alias("cluster_id")))
+        rest = settled(rest.join(got, "trace", "left_anti"), "rest")
+        chosen += found
+    out = rest.withColumn("cluster_id", F.lit(None).cast("int"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out, chosen
+
+
 def jaccard_index(rows: DataFrame, first: str, second: str) -> DataFrame:
     """(jaccard): pairs that both clusterings put together, of the pairs that either does; from counts, without the pairs."""
     pairs = lambda c: F.sum(c * (c - 1) / 2)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.functions.distances import prefix
+from petrilake.operators.nets import Net
 
 
 def traces(events: DataFrame, case: str, activity: str, order: list[str]) -> DataFrame:
@@ -59,8 +60,18 @@ def to_net(log: DataFrame, n: int) -> DataFrame:
     return rows.select(F.when(F.col("i") == 0, F.lit("init")).otherwise(before).alias("src"), F.concat("activity", F.lit("@"), place).alias("transition"), F.when(F.col("i") == F.col("size") - 1, F.lit("end")).otherwise(place).alias("dst"))
 
 
+def follows_net(log: DataFrame) -> Net:
+    """The net of what follows what: a place behind each activity, and a way to the end behind those that close a case.
+
+    Its size is that of the alphabet squared, whatever the log's.
+    """
+    near = F.transform("trace", lambda x, i: F.struct(F.coalesce(F.get("trace", i - 1), F.lit("")).alias("src"), x.alias("dst"), (i == F.size("trace") - 1).alias("closes")))
+    rows = sorted(tuple(r) for r in log.select(F.explode(near).alias("e")).select("e.*").distinct().collect())
+    ways = {(f"{a}>{b}", b, False, (f"after {a}",), (f"after {b}",)) for a, b, _ in rows} | {(f"{a}>{b}|", b, False, (f"after {a}",), ("end",)) for a, b, closes in rows if closes}
+    return Net(tuple(sorted(ways)), ("after ",), ("end",))
+
+
 def follows(log: DataFrame) -> DataFrame:
-    """(src, dst, n): how often one activity directly follows another."""
-    rows = log.select("case_id", F.posexplode("trace").alias("pos", "src"))
-    nxt = F.lead("src").over(Window.partitionBy("case_id").orderBy("pos"))
-    return rows.withColumn("dst", nxt).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): how often one activity directly follows another. Neighbours within a trace need no shuffle but the counts'."""
+    near = F.zip_with(F.slice("trace", F.lit(1), F.greatest(F.size("trace") - 1, F.lit(0))), F.slice("trace", F.lit(2), F.greatest(F.size("trace"), F.lit(1))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    return log.select(F.explode(near).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("n"))

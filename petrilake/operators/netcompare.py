@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
+from petrilake.operators.nets import few
 
 
 def unmatched(first: DataFrame, second: DataFrame, distance: int) -> DataFrame:
@@ -13,4 +14,5 @@ def unmatched(first: DataFrame, second: DataFrame, distance: int) -> DataFrame:
     plain = lambda c: F.filter(c, lambda x: x != D.WAIT)
     a, b = first.select(plain("run").alias("run")).distinct(), second.select(plain("run").alias("other")).distinct()
     cost = F.size("run") + F.size("other") - 2 * D.common_subsequence(F.col("run"), F.col("other"))
-    return a.crossJoin(F.broadcast(b)).groupBy("run").agg(F.min(cost).alias("nearest")).where(F.col("nearest") > distance).select(F.array_join("run", " ").alias("run"), "nearest")  # a model's bounded runs
+    pairs = a.crossJoin(few(b)).groupBy("run").agg(F.min(cost).alias("nearest"))
+    return pairs.where(F.col("nearest") > distance).select(F.array_join("run", " ").alias("run"), "nearest")

@@ -6,6 +6,7 @@ markings with the transitions, which are few and are broadcast. Runs of exactly
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,11 @@ def step(states: DataFrame, transitions: DataFrame) -> DataFrame:
     return states.join(F.broadcast(transitions), enabled).withColumn("marking", F.array_sort(F.array_union(F.array_except("marking", "before"), "after")))  # a model's transitions
 
 
+def few(runs: DataFrame) -> DataFrame:
+    """runs, marked for broadcast if there are few enough."""
+    return F.broadcast(runs) if runs.limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS else runs
+
+
 def start(spark: SparkSession, net: Net) -> DataFrame:
     """The initial marking."""
     return spark.range(1).select(F.array(*[F.lit(p) for p in sorted(net.initial)]).alias("marking"))
@@ -80,17 +86,30 @@ def runs(spark: SparkSession, net: Net, n: int, reach_final: bool = False) -> Da
     return settled(states.groupBy("run").agg(F.min("tids").alias("tids")), "runs")
 
 
-def reachable(spark: SparkSession, net: Net, most_steps: int = 100) -> DataFrame:
-    """(marking): all markings that can be reached, level by level until none is new."""
+def run_levels(spark: SparkSession, net: Net, reach_final: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """(n, runs of exactly n steps) for n = 1, 2, ... without end, each from the states of the one before."""
+    net = net.with_wait()
+    table, n = net.frame(spark), 0
+    states = start(spark, net).select("marking", F.array().cast("array<string>").alias("run"))
+    final = F.array(*[F.lit(p) for p in net.final or net.sinks])
+    while True:
+        states = settled(step(states, table).select("marking", F.concat("run", F.array("label")).alias("run")).distinct(), "states")
+        n += 1
+        ends = states.where(F.size(F.array_except(final, F.col("marking"))) == 0) if reach_final else states
+        yield n, ends.select("run").distinct()
+
+
+def reachable(spark: SparkSession, net: Net, most: int = 1 << 20) -> DataFrame:
+    """(marking): all markings that can be reached, level by level until none is new; an error beyond most of them."""
     table, seen = net.frame(spark), start(spark, net)
     count = 1
-    for _ in range(most_steps):
-        seen = seen.unionByName(step(seen, table).select("marking")).distinct()
-        seen = settled(seen, "markings")
+    while True:
+        seen = settled(seen.unionByName(step(seen, table).select("marking")).distinct(), "markings")
         if (now := seen.count()) == count:
-            break
+            return seen
+        if now > most:
+            raise ValueError(f"more than {most} markings can be reached")
         count = now
-    return seen
 
 
 def depths(arcs: DataFrame, spark: SparkSession, most: int) -> DataFrame:

@@ -47,7 +47,7 @@ def candidates(net: Net, letters: list[str]) -> list[tuple[str, Net]]:
     final = net.final or tuple(net.sinks)
     out = [(f"remove {t[0]}", m) for t in net.transitions if (m := remove(net, t[0])) is not None]
     for p in net.places:
-        for x in sorted(letters):
+        for x in sorted(x for x in letters if x is not None):
             out.append((f"add {x} before {p}", add_before(net, x, p)))
             if p not in final:
                 out.append((f"branch {x} at {p}", add_branch(net, x, p)))
@@ -55,16 +55,21 @@ def candidates(net: Net, letters: list[str]) -> list[tuple[str, Net]]:
 
 
 def branches(net: Net) -> list[list[tuple[str, int]]]:
-    """The visible (label, depth) of each way from the start to the end; a first transition has depth 2."""
+    """The visible (label, depth) of each way from the start to the end that enters no place twice; a first transition has depth 2.
+
+    An error for a net that is no tree of single places.
+    """
+    if any(len(t[3]) != 1 or len(t[4]) != 1 for t in net.transitions):
+        raise ValueError("transitions of a tree have one place before and one after")
     final, out = net.final or tuple(net.sinks), []
-    todo = [(net.initial[0], 2, [])]
+    todo = [(net.initial[0], 2, [], {net.initial[0]})]
     while todo:
-        place, depth, run = todo.pop()
+        place, depth, run, seen = todo.pop()
         if place in final:
             out.append(run)
         for _, label, silent, pre, post in net.transitions:
-            if pre == (place,):
-                todo.append((post[0], depth + 1, run if silent else [*run, (label, depth)]))
+            if pre == (place,) and post[0] not in seen:
+                todo.append((post[0], depth + 1, run if silent else [*run, (label, depth)], seen | {post[0]}))
     return out
 
 

@@ -37,3 +37,16 @@ TREE = Net(
     ("r0",),
     ("r9",),
 )
+#: Conversations that never ask twice in a row but may answer twice, and end with an answer.
+SHORT = Net(
+    (
+        ("s1", "system", False, ("u0",), ("u1",)),
+        ("s2", "user", False, ("u0",), ("u2",)),
+        ("s3", "user", False, ("u1",), ("u2",)),
+        ("s4", "assistant", False, ("u2",), ("u3",)),
+        ("s5", "assistant", False, ("u3",), ("u4",)),
+        ("s6", "user", False, ("u3",), ("u2",)),
+        ("s7", "assistant", False, ("u2",), ("u4",)),
+    ),
+    ("u0",),
+)

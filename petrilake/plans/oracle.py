@@ -7,27 +7,30 @@ from petrilake.operators.nets import Net
 EVENTS = "log AS (SELECT user_id AS case_id, list(event_type ORDER BY ts, event_id) AS trace FROM events GROUP BY user_id)"
 CHATS = "log AS (SELECT conv_id AS case_id, list(role ORDER BY turn) AS trace FROM conversations GROUP BY conv_id)"
 SILENT = lambda x: f"({x} IS NULL OR {x} LIKE '%tau%' OR {x} LIKE '%skip%')"
+#: The marking after a transition of a net whose places no firing would fill twice.
+MOVED = "list_sort(list_distinct(list_concat(list_filter(marking, lambda x: NOT list_contains(before, x)), after)))"
 VISIBLE = lambda xs: f"list_filter({xs}, lambda x: NOT {SILENT('x')} AND x <> 'w')"
 
 
-def _list(items) -> str:
-    return "[" + ", ".join(f"'{i}'" for i in items) + "]::VARCHAR[]"
+def items(names) -> str:
+    """A list of texts."""
+    return "[" + ", ".join(f"'{i}'" for i in names) + "]::VARCHAR[]"
 
 
 def net(model: Net, name: str = "net") -> str:
     """The transitions of a model as a common table."""
-    rows = ", ".join(f"('{t}', '{label}', {_list(before)}, {_list(after)})" for t, label, _, before, after in model.transitions)
+    rows = ", ".join(f"('{t}', '{label}', {items(before)}, {items(after)})" for t, label, _, before, after in model.transitions)
     return f"{name}(tid, label, before, after) AS (VALUES {rows})"
 
 
 def runs(model: Net, n: int, reach_final: bool = False, name: str = "runs") -> str:
     """The runs of exactly n steps, waits included, by a recursive table; with one transition sequence each."""
     whole = model.with_wait()
-    final = f"AND list_has_all(marking, {_list(model.final or model.sinks)})" if reach_final else ""
+    final = f"AND list_has_all(marking, {items(model.final or model.sinks)})" if reach_final else ""
     fresh = "list_filter(after, lambda x: NOT list_contains(before, x))"
     return f"""{net(whole, name + "_net")},
 {name}_steps(n, marking, run, tids) AS (
-  SELECT 0, {_list(sorted(model.initial))}, []::VARCHAR[], []::VARCHAR[]
+  SELECT 0, {items(sorted(model.initial))}, []::VARCHAR[], []::VARCHAR[]
   UNION ALL
   SELECT n + 1, list_sort(list_distinct(list_concat(list_filter(marking, lambda x: NOT list_contains(before, x)), after))), list_append(run, label), list_append(tids, tid)
   FROM {name}_steps, {name}_net

@@ -14,15 +14,17 @@ from petrilake.functions import distances as D
 from petrilake.functions.numbering import families
 from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair
 from petrilake.plans import oracle as O
-from petrilake.plans.models import CHAT, SHOP, TREE
+from petrilake.plans.models import CHAT, SHOP, SHORT, TREE
 from petrilake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Steps of a run, and the largest distance that is looked at.
+#: Steps of a run (the size of runs that users' traces are cut to), and the largest distance that is looked at.
 STEPS = 6
 MOST = 2 * STEPS
+#: Steps of runs that meet conversations, which have up to 8 turns and are never cut: two silent steps and two spare ones more.
+WHOLE = 12
 
 
 def query(sql: str | None = None):
@@ -84,9 +86,9 @@ def hash_sample_traces(spark, sf_dir):
     return spelled(logs.sample(chat_log(spark, sf_dir), 20, seed=1))
 
 
-@query(f"WITH {O.CHATS}, {O.net(CHAT)} SELECT case_id, CAST(i AS INTEGER) AS pos, tid FROM (SELECT case_id, trace, unnest(range(1, least(len(trace), {STEPS}) + 1)) AS i FROM log) JOIN net ON label = trace[i]")
+@query(f"WITH {O.CHATS}, {O.net(CHAT)} SELECT case_id, CAST(i AS INTEGER) AS pos, tid FROM (SELECT case_id, trace, unnest(range(1, least(len(trace), {WHOLE}) + 1)) AS i FROM log) JOIN net ON label = trace[i]")
 def lambda_onehot(spark, sf_dir):
-    return logs.one_hot(chat_log(spark, sf_dir), CHAT.frame(spark), STEPS)
+    return logs.one_hot(chat_log(spark, sf_dir), CHAT.frame(spark), WHOLE)
 
 
 @query(f"WITH {O.EVENTS} SELECT case_id, array_to_string(list_transform(trace, lambda x: CASE WHEN x IN ('signup', 'view', 'purchase') THEN x ELSE 'w' END), ' ') AS trace FROM log")
@@ -94,25 +96,25 @@ def unknown_label_to_wait(spark, sf_dir):
     return spelled(logs.known_or_wait(events_log(spark, sf_dir), ["signup", "view", "purchase"]))
 
 
-_LOG_NET = f"""cut AS (SELECT DISTINCT trace[1:4] AS trace FROM log WHERE len(trace) > 0),
+_LOG_NET = f"""cut AS (SELECT DISTINCT trace[1:{WHOLE}] AS trace FROM log WHERE len(trace) > 0),
 steps AS (SELECT array_to_string(trace, ' ') AS k, len(trace) AS size, trace, unnest(range(0, len(trace))) AS i FROM cut),
 arcs AS (SELECT CASE WHEN i = 0 THEN 'init' ELSE k || '/' || (i - 1) END AS src, trace[i + 1] || '@' || k || '/' || i AS transition, CASE WHEN i = size - 1 THEN 'end' ELSE k || '/' || i END AS dst FROM steps)"""
 
 
 @query(f"WITH {O.CHATS}, {_LOG_NET} SELECT * FROM arcs")
 def log_to_net_arcs(spark, sf_dir):
-    return logs.to_net(chat_log(spark, sf_dir), 4)
+    return logs.to_net(chat_log(spark, sf_dir), WHOLE)
 
 
 @query(f"WITH {O.CHATS}, {_LOG_NET} SELECT DISTINCT dst AS place FROM arcs WHERE dst NOT IN (SELECT src FROM arcs)")
 def sink_places(spark, sf_dir):
-    arcs = logs.to_net(chat_log(spark, sf_dir), 4)
+    arcs = logs.to_net(chat_log(spark, sf_dir), WHOLE)
     return arcs.select(F.col("dst").alias("place")).distinct().join(arcs.select(F.col("src").alias("place")), "place", "left_anti")
 
 
 @query(f"WITH RECURSIVE {O.CHATS}, {_LOG_NET}, d(transition, dst, depth) AS (SELECT transition, dst, 2 FROM arcs WHERE src = 'init' UNION ALL SELECT a.transition, a.dst, d.depth + 1 FROM d JOIN arcs a ON a.src = d.dst) SELECT transition, depth FROM d")
 def transition_depth(spark, sf_dir):
-    return nets.depths(logs.to_net(chat_log(spark, sf_dir), 4), spark, 4)
+    return nets.depths(logs.to_net(chat_log(spark, sf_dir), WHOLE), spark, WHOLE)
 
 
 @query(f"WITH {O.EVENTS}, f AS (SELECT trace[i] AS src, trace[i + 1] AS dst FROM (SELECT trace, unnest(range(1, len(trace))) AS i FROM log)) SELECT src, dst, count(*) AS n FROM f GROUP BY src, dst")
@@ -120,29 +122,38 @@ def directly_follows(spark, sf_dir):
     return logs.follows(events_log(spark, sf_dir))
 
 
-@query(f"WITH {O.CHATS}, a AS (SELECT row_number() OVER (ORDER BY role) - 1 AS a, role FROM (SELECT DISTINCT role FROM conversations)), p AS (SELECT role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, conv_id FROM conversations) SELECT conv_id AS case_id, 1 + conv_id * 8 * 3 + i * 3 + a AS var, 'lambda_jia [' || conv_id || ', ' || i || ', ' || a || ']' AS name FROM p JOIN a ON a.role = p.role WHERE i < 8")
+_NUMBERING = f"""WITH {O.CHATS}, a AS (SELECT row_number() OVER (ORDER BY role) - 1 AS a, role FROM (SELECT DISTINCT role FROM conversations)),
+p AS (SELECT role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, conv_id FROM conversations),
+s AS (SELECT (SELECT max(i) + 1 FROM p) AS most, (SELECT count(*) FROM a) AS kinds)
+SELECT conv_id AS case_id, 1 + conv_id * most * kinds + i * kinds + a AS var, 'lambda_jia [' || conv_id || ', ' || i || ', ' || a || ']' AS name FROM p JOIN a ON a.role = p.role, s"""
+
+
+@query(_NUMBERING)
 def variable_numbering(spark, sf_dir):
-    """The number and the name of the variable of each position's activity, and back from the number."""
+    """The number and the name of the variable of each position's activity, and back from the number; the bounds are the log's."""
     log = chat_log(spark, sf_dir)
-    rows = log.select("case_id", F.posexplode("trace").alias("i", "role")).where("i < 8")
-    letters = logs.alphabet(log).select(F.col("activity").alias("role")).withColumn("a", F.expr("row_number() over (order by role) - 1"))  # an alphabet
-    family = families(lambda_jia=[(0, 1 << 31), (0, 8), (0, 3)])["lambda_jia"]
-    numbered = rows.join(F.broadcast(letters), "role").select("case_id", family.number(F.col("case_id"), F.col("i"), F.col("a")).alias("var"))
+    roles = sorted(r[0] for r in logs.alphabet(log).collect())  # an alphabet
+    most = log.agg(F.max(F.size("trace"))).first()[0] or 1
+    letters = spark.createDataFrame(list(enumerate(roles)), "a int, role string")
+    family = families(lambda_jia=[(0, 1 << 31), (0, most), (0, max(1, len(roles)))])["lambda_jia"]
+    rows = log.select("case_id", F.posexplode("trace").alias("i", "role")).join(F.broadcast(letters), "role")
+    numbered = rows.select("case_id", family.number(F.col("case_id"), F.col("i"), F.col("a")).alias("var"))
     return numbered.withColumn("name", family.label(F.col("var")))
 
 
 # Runs and distances
 
 
-@query(O.query(O.CHATS, O.runs(CHAT, STEPS), O.variants(None), select=f"SELECT array_to_string(r.run, ' ') AS run, CAST(coalesce(sum(n_cases), 0) AS BIGINT) AS n_cases FROM runs r LEFT JOIN variants v ON {O.VISIBLE('r.run')} = v.trace GROUP BY 1"))
+@query(O.query(O.CHATS, O.runs(CHAT, WHOLE), O.variants(None), select=f"SELECT array_to_string(r.run, ' ') AS run, CAST(coalesce(sum(n_cases), 0) AS BIGINT) AS n_cases FROM runs r LEFT JOIN variants v ON {O.VISIBLE('r.run')} = v.trace GROUP BY 1"))
 def model_runs(spark, sf_dir):
     """The model's runs, and how many cases are exactly what each one shows."""
-    found = nets.runs(spark, CHAT, STEPS).select("run", D.visible(F.col("run")).alias("trace"))
+    found = nets.runs(spark, CHAT, WHOLE).select("run", D.visible(F.col("run")).alias("trace"))
     return found.join(logs.variants(chat_log(spark, sf_dir)), "trace", "left").groupBy(F.array_join("run", " ").alias("run")).agg(F.coalesce(F.sum("n_cases"), F.lit(0)).alias("n_cases"))
 
 
-def _pairs(spark, sf_dir, log, model, distance, reach_final=False):
-    return artefacts.run_distances(nets.runs(spark, model, STEPS, reach_final), logs.variants(log(spark, sf_dir)), STEPS, distance)
+def _pairs(spark, sf_dir, log, model, distance):
+    n = WHOLE if model is CHAT else STEPS
+    return artefacts.run_distances(nets.runs(spark, model, n), logs.variants(log(spark, sf_dir)), n, distance)
 
 
 def _flat(pairs):
@@ -152,10 +163,10 @@ def _flat(pairs):
 _FLAT = "SELECT array_to_string(run, ' ') AS run, array_to_string(trace, ' ') AS trace, n_cases, CAST(distance AS BIGINT) AS distance FROM pairs"
 _HAMMING = (O.EVENTS, O.runs(SHOP, STEPS), O.variants(STEPS), O.hamming_pairs(STEPS))
 _EDIT = (O.EVENTS, O.runs(SHOP, STEPS), O.variants(STEPS), O.indel_pairs())
-_CHAT_EDIT = (O.CHATS, O.runs(CHAT, STEPS), O.variants(STEPS), O.indel_pairs())
+_CHAT_EDIT = (O.CHATS, O.runs(CHAT, WHOLE), O.variants(WHOLE), O.indel_pairs())
 
 
-@query(O.query(O.CHATS, O.runs(CHAT, STEPS), O.variants(STEPS), O.hamming_pairs(STEPS), select=_FLAT))
+@query(O.query(O.CHATS, O.runs(CHAT, WHOLE), O.variants(WHOLE), O.hamming_pairs(WHOLE), select=_FLAT))
 def hamming_run_trace(spark, sf_dir):
     return _flat(_pairs(spark, sf_dir, chat_log, CHAT, "hamming"))
 
@@ -214,8 +225,7 @@ def min_distance_and_size(spark, sf_dir):
 
 def _precision(name, parts, distance, kind, share):
     def f(spark, sf_dir):
-        pairs = _pairs(spark, sf_dir, events_log, SHOP, distance)
-        return artefacts.precision(pairs, artefacts.best(pairs, "anti", "min"), STEPS, kind, MOST)
+        return artefacts.anti_precision(_pairs(spark, sf_dir, events_log, SHOP, distance), kind, MOST)
 
     f.__name__ = name
     length = "len(list_filter(p.run, lambda x: x <> 'w'))"
@@ -226,41 +236,48 @@ _precision("precision_edit", _EDIT, "edit", "edit", "p.distance / ({u} + len(tra
 _precision("precision_hamming", _HAMMING, "hamming", "hamming", "p.distance / greatest({u}, len(trace))")
 _precision("precision_bounded", _EDIT, "edit", "bounded", f"p.distance / {MOST}.0")
 
-#: How much less a longer run's distance counts, and the longest runs looked at.
-EPSILON, LONGEST = 0.1, 5
+#: How much less a longer run's distance counts, how many lengths may bring nothing, and the longest runs of the SQL.
+EPSILON, TRIALS, LONGEST = 0.1, 4, 14
 
 
 def _epsilon_sql() -> str:
-    parts, names = [O.EVENTS], []
+    """The shares of all lengths up to LONGEST, and the search's rules as a recursive table over them."""
+    parts, names = [O.CHATS, O.variants(None)], []
     for n in range(2, LONGEST + 1):
-        parts += [O.runs(SHOP, n, True, f"runs{n}"), f"v{n} AS (SELECT trace[1:{n}] AS trace FROM log GROUP BY 1)", O.indel_pairs(f"v{n}, runs{n}", keep="run, trace", name=f"p{n}")]
-        parts.append(f"b{n} AS (SELECT array_to_string(run, ' ') AS run, min(distance) AS least, min(distance / (len(list_filter(run, lambda x: x <> 'w')) + len(trace))) AS share, any_value(len(list_filter(run, lambda x: x <> 'w'))) AS size FROM p{n} GROUP BY 1 ORDER BY least DESC, run LIMIT 1)")
-        names.append(f"SELECT share / pow({1 + EPSILON}, size) AS m FROM b{n}")
-    return O.query(*parts, select=f"SELECT round(1 - max(m), 9) AS precision FROM ({' UNION ALL '.join(names)})")
+        parts += [O.runs(CHAT, n, True, f"runs{n}"), f"v{n} AS (SELECT trace[1:{n}] AS trace FROM log GROUP BY 1)", O.indel_pairs(f"v{n}, runs{n}", keep="run, trace", name=f"p{n}")]
+        parts.append(f"b{n} AS (SELECT run, min(distance) AS least FROM p{n} GROUP BY run ORDER BY least DESC, array_to_string(run, ' ') LIMIT 1)")
+        parts.append(O.indel_pairs(f"variants, b{n}", keep="run, trace", name=f"w{n}"))
+        size = "len(list_filter(run, lambda x: x <> 'w'))"
+        names.append(f"SELECT {n} AS n, least(1.0, min(distance / ({size} + len(trace)))) / pow({1 + EPSILON}, any_value({size})) AS m FROM w{n}")
+    parts.append(f"shares AS ({' UNION ALL '.join(names)})")
+    ends = f"CASE WHEN s.m > 0 THEN least(ends, floor(-ln(s.m) / ln({1 + EPSILON}))) ELSE ends END"
+    parts.append(f"search(n, best, trials, ends) AS (SELECT 1, 0.0::DOUBLE, 0, 99999::DOUBLE UNION ALL SELECT s.n, greatest(best, s.m), CASE WHEN s.m <= best THEN trials + 1 ELSE 0 END, {ends} FROM search JOIN shares s ON s.n = search.n + 1 WHERE search.n < ends AND trials < {TRIALS})")
+    return O.query(*parts, select="SELECT round(1 - max(best), 9) AS precision FROM search")
 
 
 @query(_epsilon_sql())
 def precision_epsilon(spark, sf_dir):
-    """1 minus the largest discounted distance of the full anti-alignments of 2 to LONGEST steps."""
-    log, found = logs.variants(events_log(spark, sf_dir)), None
-    for n in range(2, LONGEST + 1):
-        pairs = artefacts.run_distances(nets.runs(spark, SHOP, n, True), log, n, "edit").withColumn("size", F.size(F.filter("run", lambda x: x != "w")))
-        rows = pairs.groupBy(F.array_join("run", " ").alias("run")).agg(F.min("distance").alias("least"), F.min(F.col("distance") / (F.col("size") + F.size("trace"))).alias("share"), F.first("size").alias("size"))
-        one = rows.orderBy(F.desc("least"), "run").limit(1).select((F.col("share") / F.pow(F.lit(1 + EPSILON), F.col("size"))).alias("m"))
-        found = one if found is None else found.unionByName(one)
-    return found.agg(F.round(1 - F.max("m"), 9).alias("precision"))
+    """1 minus the largest discounted distance of the full anti-alignments of 2, 3, ... steps from whole conversations."""
+    return artefacts.epsilon_precision(spark, CHAT, logs.variants(chat_log(spark, sf_dir)), EPSILON, TRIALS)
 
 
 # Alignments and clusters
 
-FULL = 8
-_FULL_EDIT = (O.CHATS, O.runs(CHAT, FULL, True), O.variants(None), O.indel_pairs(keep="run, tids, trace, n_cases"))
+#: A full run within distance 1 of a conversation of 8 turns has 11 steps at most, silent ones included.
+_FULL_EDIT = (O.CHATS, O.runs(CHAT, WHOLE, True), O.variants(None), O.indel_pairs(keep="run, tids, trace, n_cases"))
+
+_SEARCH = f"""{O.net(CHAT)},
+costs(trace, pos, marking, cost) AS (SELECT trace, 0, {O.items(CHAT.initial)}, 0 FROM variants UNION
+  SELECT trace, pos, marking, cost FROM (
+    SELECT trace, pos + 1 AS pos, marking, cost + 1 AS cost FROM costs WHERE pos < len(trace)
+    UNION ALL SELECT trace, pos, {O.MOVED} AS marking, cost + CASE WHEN {O.SILENT('label')} THEN 0 ELSE 1 END FROM costs, net WHERE list_has_all(marking, before)
+    UNION ALL SELECT trace, pos + 1, {O.MOVED}, cost FROM costs, net WHERE list_has_all(marking, before) AND NOT {O.SILENT('label')} AND label = trace[pos + 1]) WHERE cost <= len(trace))"""
 
 
-@query(O.query(*_FULL_EDIT, select="SELECT array_to_string(trace, ' ') AS trace, n_cases, CAST(min(distance) AS INTEGER) AS cost FROM pairs GROUP BY 1, 2"))
+@query(O.query(O.CHATS, O.variants(None), _SEARCH, select=f"SELECT array_to_string(v.trace, ' ') AS trace, n_cases, CAST(min(cost) AS INTEGER) AS cost FROM variants v JOIN costs c ON c.trace = v.trace WHERE pos = len(v.trace) AND list_has_all(marking, {O.items(CHAT.sinks)}) GROUP BY 1, 2"))
 def alignment_cost(spark, sf_dir):
-    """The optimal alignment of every variant with the model's full runs."""
-    return spelled(alignment.costs_to_runs(logs.variants(chat_log(spark, sf_dir)), nets.runs(spark, CHAT, FULL, True)))
+    """The optimal alignment of every variant with the model's full runs of any length; its SQL searches for shortest paths."""
+    return spelled(alignment.costs(logs.variants(chat_log(spark, sf_dir)), CHAT))
 
 
 _POWER = f"pow(2.0, len(t) + {STEPS} - ({{i}}))"
@@ -291,7 +308,7 @@ _CLUSTER = (
 
 
 def _covered(spark, sf_dir):
-    full = nets.runs(spark, CHAT, FULL, True)
+    full = nets.runs(spark, CHAT, WHOLE, True)
     log = logs.variants(chat_log(spark, sf_dir))
     return log, clustering.coverage(log, full, clustering.subnets(full, 4), 1)
 
@@ -341,8 +358,14 @@ _NEAR = f"levenshtein({_WORD.replace('trace', 'a.trace')}, {_WORD.replace('trace
 @query(O.query(*_ASSIGN, select=f"SELECT array_to_string(a.trace, ' ') AS trace, a.n_cases, coalesce(a.cluster_id, min(b.cluster_id)) AS cluster_id FROM assigned a LEFT JOIN assigned b ON a.cluster_id IS NULL AND b.cluster_id IS NOT NULL AND {_NEAR} <= 1 GROUP BY a.trace, a.n_cases, a.cluster_id"))
 def absorb_variants(spark, sf_dir):
     """The assignment after variants within one edit of a clustered one have joined its cluster."""
-    letters = spark.createDataFrame([("system", "s"), ("user", "u"), ("assistant", "a")], "activity string, letter string")
-    return spelled(clustering.absorb(_assigned(spark, sf_dir), letters, 1).select("trace", "n_cases", "cluster_id"))
+    return spelled(clustering.absorb(_assigned(spark, sf_dir), 1).select("trace", "n_cases", "cluster_id"))
+
+
+@query()
+def cluster_rounds(spark, sf_dir):
+    """Rounds of clustering a sample of 10 variants around two subnets and absorbing others; null: no cluster."""
+    found, _ = clustering.sampled_clusters(logs.variants(chat_log(spark, sf_dir)), CHAT, 10, WHOLE, 1, 4, 2, 2)
+    return spelled(found)
 
 
 @query("WITH n AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL), c AS (SELECT sum(n * (n - 1) / 2) AS n11 FROM n), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM n GROUP BY quality)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM n GROUP BY toxic)) SELECT round(n11 / (a + b - n11), 9) AS jaccard FROM c, a, b")
@@ -362,11 +385,23 @@ def super_instances(spark, sf_dir):
     return clustering.super_instances(chat_log(spark, sf_dir), 4)
 
 
-@query(O.query(O.CHATS, O.runs(CHAT, STEPS, True), "first AS (SELECT DISTINCT list_filter(run, lambda x: x <> 'w') AS run FROM runs)", f"second AS (SELECT DISTINCT trace[1:{STEPS}] AS other FROM log)", O.indel_pairs("first, second", s="run", t="other", keep="run, other", plain=True), select="SELECT array_to_string(run, ' ') AS run, CAST(min(distance) AS INTEGER) AS nearest FROM pairs GROUP BY 1 HAVING min(distance) > 2"))
+_FOLLOWS = f"""turns AS (SELECT role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+arrows AS (SELECT DISTINCT coalesce(before, '') AS src, role AS dst FROM turns),
+ends AS (SELECT DISTINCT coalesce(before, '') AS src, role FROM turns WHERE after IS NULL),
+paths(n, here, path) AS (SELECT 0, '', []::VARCHAR[] UNION ALL SELECT n + 1, dst, list_append(path, dst) FROM paths JOIN arrows ON src = here WHERE n < {STEPS + 1}),
+second AS (SELECT DISTINCT list_append(path, role) AS other FROM paths JOIN ends ON src = here)"""
+
+
+@query(O.query(O.CHATS, O.runs(SHORT, STEPS, True), "first AS (SELECT DISTINCT list_filter(run, lambda x: x <> 'w') AS run FROM runs)", _FOLLOWS, O.indel_pairs("first, second", s="run", t="other", keep="run, other", plain=True), select="SELECT array_to_string(run, ' ') AS run, CAST(min(distance) AS INTEGER) AS nearest FROM pairs GROUP BY 1 HAVING min(distance) > 0"))
 def nets_anti_alignment(spark, sf_dir):
-    """Full runs of the model that the log's own net cannot follow within two moves."""
-    spelled_out = logs.prefixes(logs.variants(chat_log(spark, sf_dir)), STEPS).select(F.col("trace").alias("run"))
-    return netcompare.unmatched(nets.runs(spark, CHAT, STEPS, True), spelled_out, 2)
+    """Full runs of a model that the net of what follows what in the log cannot follow."""
+    net = logs.follows_net(chat_log(spark, sf_dir))
+    second = None
+    for n, runs in nets.run_levels(spark, net, True):
+        second = runs if second is None else second.unionByName(runs)
+        if n == STEPS + 2:  # longer runs equal none of the first
+            break
+    return netcompare.unmatched(nets.runs(spark, SHORT, STEPS, True), second, 0)
 
 
 # Repair
@@ -402,3 +437,11 @@ def repair_candidates(spark, sf_dir):
 @query(_repair_sql() + " ORDER BY fitness, action LIMIT 1")
 def repair_best_action(spark, sf_dir):
     return _scores(spark, sf_dir).orderBy("fitness", "action").limit(1)
+
+
+@query()
+def repair_model(spark, sf_dir):
+    """The actions of the repair of the tree, and the fitness after each."""
+    log = logs.variants(chat_log(spark, sf_dir))
+    _, history = repair.repair(spark, TREE, [r[0] for r in logs.alphabet(log).collect()], log, STEPS, 3)  # an alphabet
+    return spark.createDataFrame([(i, action, float(fitness)) for i, (action, fitness) in enumerate(history, 1)], "round int, action string, fitness double")

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows of df, written in ``spark.checkpoint.dir`` and read again, so that what follows starts from a short plan.
 
-    Only where that setting is empty (tests, one machine) a temporary folder is made and set.
+    Where that setting is empty, a local session gets a temporary folder; a cluster's executors would not share one, so that is an error.
     """
     spark = df.sparkSession
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         place = "file://" + tempfile.mkdtemp(prefix="petrilake-")
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"

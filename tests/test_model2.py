@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
-from petrilake.operators import alignment, artefacts, clustering, nets
+from petrilake.operators import alignment, artefacts, clustering, nets, repair
 from petrilake.operators.nets import Net
+from petrilake.plans.models import CHAT
 from petrilake.sources.scratch import settled
 
 MODEL = Net(
@@ -101,6 +102,65 @@ def test_clusters(spark, log, most, score, sizes):
         assert sorted(r["count"] for r in counts) == sizes
 
 
+@pytest.mark.parametrize(("most", "sizes"), [(0, [2, 2, 2, 3]), (2, [1, 3, 5])])
+def test_sampled_clusters(spark, log, most, sizes):
+    found, chosen = clustering.sampled_clusters(log, MODEL, 9, 8, most, 5, 2)
+    counts = {r.cluster_id: r["count"] for r in found.groupBy("cluster_id").count().collect()}
+    assert sorted(counts.values()) == sizes and None in counts and found.count() == 9
+    assert all(len(s) <= 5 for s in chosen)
+
+
+def test_three_clusters(spark, log):
+    covered = clustering.coverage(log, nets.runs(spark, MODEL, 8, True), clustering.subnets(nets.runs(spark, MODEL, 8, True), 5), 0)
+    two, three = clustering.best_subnets(covered, 2), clustering.best_subnets(covered, 3)
+    assert len(two) == 2 and len(three) == 3
+    assert clustering.best_subnets(covered.limit(0), 2) == []
+
+
+def test_alignment_of_any_length(spark):
+    chat = log_of(spark, [])
+    rows = [["user", "assistant"] * 4, ["user", "assistant"] * 40, ["system"], [], ["user"], ["user", "robot", "assistant"], ["assistant", "user"]]
+    chat = spark.createDataFrame([(t, 1) for t in rows], chat.schema)
+    got = {tuple(r.trace): r.cost for r in alignment.costs(chat, CHAT).collect()}
+    assert [got[tuple(t)] for t in rows] == [0, 0, 0, 0, 1, 1, 2]
+    short = chat.where(F.size("trace") < 9)
+    assert {tuple(r.trace): r.cost for r in alignment.costs_by_search(short, CHAT).collect()} == {k: c for k, c in got.items() if len(k) < 9}
+    dead = Net((("a", "a", False, ("x",), ("y",)), ("b", "b", False, ("z",), ("f",))), ("x",), ("f",))
+    assert [r.cost for r in alignment.costs(chat.limit(1), dead).collect()] == [None]
+
+
+def test_alignment_matrices(spark, log, monkeypatch):
+    want = {"".join(r.trace): r.cost for r in alignment.costs_to_runs(log, nets.runs(spark, MODEL, 9, True)).collect()}
+    assert {"".join(r.trace): r.cost for r in alignment.costs(log, MODEL).collect()} == want
+    monkeypatch.setattr(alignment, "MATRIX_MARKINGS", 2)  # searched level by level
+    assert {"".join(r.trace): r.cost for r in alignment.costs(log, MODEL).collect()} == want
+
+
+def test_near_words(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    free, taken = [list(w) for w in ("", "a", "abc", "abcd", "bbbb", "xyz", "abca")], [list(w) for w in ("ab", "abd", "bbb", "b")]
+    f = spark.createDataFrame([(t,) for t in free], "trace array<string>")
+    t = spark.createDataFrame([(t, i) for i, t in enumerate(taken)], "trace array<string>, id int")
+    for k in (0, 1, 2):
+        want = {tuple(a): min(i for i, b in enumerate(taken) if edits(a, b) <= k) for a in free if any(edits(a, b) <= k for b in taken)}
+        assert {tuple(r.trace): r.id for r in clustering.near_words(f, t, k).collect()} == want
+
+
+def test_repair_of_odd_nets():
+    loop = Net((("a", "a", False, ("p",), ("q",)), ("b", "b", False, ("q",), ("p",)), ("c", "c", False, ("q",), ("r",))), ("p",), ("r",))
+    assert repair.branches(loop) == [[("a", 2), ("c", 3)]]
+    with pytest.raises(ValueError, match="tree"):
+        repair.branches(MODEL)
+    assert repair.candidates(loop, [None, "x"])
+
+
 def test_distances(spark):
     rows = spark.createDataFrame([(list("abc"), list("acd")), ([], list("ab")), (list("ab"), []), (["a", "tau", "w"], ["a"]), (["skip"], ["b"])], "s array<string>, t array<string>")
     assert [r[0] for r in rows.select(D.indel(F.col("s"), F.col("t"))).collect()] == [2, 2, 2, 0, 1]
