@@ -16,7 +16,7 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         place = "file://" + tempfile.mkdtemp(prefix="petrilake-")
         spark.conf.set("spark.checkpoint.dir", place)
