@@ -17,13 +17,19 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Bytes that a task holds of a table that it writes.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Where that is unset, a local session gets a temporary folder; a cluster's executors would not share one, so that is an error.
     """
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         place = "file://" + tempfile.mkdtemp(prefix="petrilake-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -41,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

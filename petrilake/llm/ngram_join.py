@@ -41,7 +41,9 @@ ORDERS = 16
 BUCKETS = 1024
 HALF = BUCKETS // 128
 #: Words whose hashes a task remembers.
-WORDS = 400_000
+WORDS = 200_000
+#: Shingles that a task counts at a time.
+BLOCK = 1_000_000
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_IDS = 1 << 20
 #: Fixed odd factors that tell the words of a shingle apart.
@@ -96,7 +98,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles, and the power of two of each one's count.
 
     All shingles of every set are counted. To spare the shuffle, of those behind the first three tenths of their sets a task hands on only
-    what it has met twice, so that their counts are too low by one a task's block of 3,000,000 at most.
+    what it has met twice, so that their counts are too low by one a task's block at most.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 held.append(s[: len(s) * 3 // 10 + 1])
                 behind.append(s[len(s) * 3 // 10 + 1 :])
                 size += len(s)
-                if size > 3_000_000:
+                if size > BLOCK:
                     yield counted()
                     held, behind, size = [], [], 0
         if held:
@@ -156,7 +158,7 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
                 if not len(s) or sig in seen:
                     continue
                 seen.add(sig)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 p = prefix_length(len(s), percent)
                 cell = np.zeros(p, np.int64)

@@ -42,6 +42,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def rest_of(text: Column) -> Column:
+    """What is neither a-z nor white space."""
+    return F.regexp_replace(text, "[a-z \\t\\n\\x0B\\f\\r]+", "")
+
+
 def class_counts(rest: Column, word_chars: Column) -> Column:
     """A text's characters by CLASSES, from its word characters and from those that are neither a-z nor white space."""
     gone = lambda t, cls: F.char_length(t) - F.char_length(F.regexp_replace(t, cls, ""))
@@ -125,19 +130,16 @@ def class_references(features: DataFrame, min_reference: int = 1000) -> DataFram
     return sums.where(F.col("total") >= min_reference).select("lang", F.array(*[F.col(f"k{i}") / chars for i in range(len(CLASSES))]).alias("class_shares"))
 
 
-def features(docs: DataFrame, word_refs: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
-    """columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and classes, written.
+def features(docs: DataFrame, word_refs: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, classes and word_distance.
 
-    With word_refs also word_distance, null where the language has no reference. A null text has no words and one empty line.
+    The last is null where the language has no reference. A null text has no words and one empty line.
     """
-    columns = docs.columns if columns is None else columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs
-    if word_refs is not None:
-        refs = written(word_refs, "references").select("lang", F.transform("common", lambda w: F.xxhash64(w)).alias("_common"), F.col("shares").alias("_shares"))
-        rows = _by_language(docs, refs)
+    refs = written(word_refs, "references").select("lang", F.transform("common", lambda w: F.xxhash64(w)).alias("_common"), F.col("shares").alias("_shares"))
+    rows = _by_language(docs, refs)
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
-    rows = once(rows, _words=words_of(text), _rest=F.regexp_replace(text, "[a-z \\t\\n\\x0B\\f\\r]+", ""), _lines=lines)
+    rows = once(rows, _words=words_of(text), _rest=rest_of(text), _lines=lines)
     rows = once(rows, _hashes=F.transform("_words", lambda w: F.xxhash64(w)), word_chars=F.char_length(F.array_join("_words", "")).cast("long"))
     three = lambda w, i: F.xxhash64(w, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
     rows = once(rows, _windows=F.transform(F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0))), three), classes=class_counts(F.col("_rest"), F.col("word_chars")))
@@ -150,14 +152,16 @@ def features(docs: DataFrame, word_refs: DataFrame | None = None, columns: list[
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_windows")).alias("n_repeat_words"),
         "classes",
-        *([] if word_refs is None else [common_words_distance(F.col("_hashes"), n_words, F.col("_common"), F.col("_shares")).alias("word_distance")]),
+        common_words_distance(F.col("_hashes"), n_words, F.col("_common"), F.col("_shares")).alias("word_distance"),
     )
-    return written(rows, "features").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def references(docs: DataFrame, word_share: float = 0.005, min_reference: int = 1000) -> DataFrame:
-    """(lang, common, shares, class_shares): what `judge` compares other documents with, from docs(lang, text)."""
-    found = features(docs, None, ["lang"])
+    """(lang, common, shares, class_shares): what `judge` compares documents with, from docs(lang, text)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = once(docs.select("lang", "text"), _words=words_of(text), _rest=rest_of(text))
+    found = found.select("lang", F.size("_words").alias("n_words"), class_counts(F.col("_rest"), F.char_length(F.array_join("_words", ""))).alias("classes"))
     return word_references(docs, word_share, min_reference).join(class_references(found, min_reference), "lang")
 
 
@@ -168,15 +172,17 @@ def judge(docs: DataFrame, max_word_distance: float = 0.4, max_class_distance: f
     if both distances from its language are small enough, or if it has no language (null) or one of fewer than min_reference words, whose
     distances are null. Documents without a word have distance 0. Rows are judged one by one, repeated rows alike. An empty table gives an
     empty result. Columns of docs named like the results or `classes` are replaced; docs needs lang and text.
-    refs: the references of another corpus, instead of docs' own. columns: those of docs that the result has, all by default.
+    refs: `references`, of this or another corpus; then nothing is written and the texts are read once. Without, docs' own are taken, and each
+    row's figures are written between. columns: those of docs that the result has, all by default.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "class_distance"]
     docs = docs.drop(*made, "classes", "class_shares", "_words", "_lines", "_windows", "_hashes", "_rest", "_common", "_shares")
     names = [c for c in docs.columns if columns is None or c in columns]
     found = features(docs, refs.select("lang", "common", "shares") if refs is not None else word_references(docs, min_reference=min_reference), list(dict.fromkeys([*names, "lang"])))
+    found = found if refs is not None else written(found, "features")
     rows = _by_language(found, written(refs.select("lang", "class_shares") if refs is not None else class_references(found, min_reference), "classes"))
     chars = F.greatest(F.aggregate("classes", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
     empty = (F.col("n_words") == 0) & F.col("class_shares").isNotNull()
     rows = rows.withColumn("class_distance", F.when(empty, 0.0).otherwise(js_distance(F.col("class_shares"), F.transform("classes", lambda x: x / chars)))).withColumn("word_distance", F.when(empty, 0.0).otherwise(F.col("word_distance")))
     far = (F.col("n_words") >= min_words) & (F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)) | F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*names, *made)
+    return once(rows, kept=~F.col("base_failed") & ~far).select(*names, *made)
