@@ -22,7 +22,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose histograms are far from their language's, go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(docs, refs=written(quality.references(docs), "references")).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
