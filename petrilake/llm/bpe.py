@@ -25,8 +25,8 @@ from petrilake.llm.common import python_workers
 
 #: Bytes up to which pieces share a numpy tree; entries of the cache; bytes of text that are encoded at a time.
 SIDE_BY_SIDE = 64
-CACHE = 200_000
-BLOCK = 4 << 20
+CACHE = 150_000
+BLOCK = 1 << 20
 INF = np.int64(1) << 60
 
 
