@@ -1,8 +1,12 @@
-"""License scans: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine of notices, headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file is a vector of TF-IDF weights over its terms, and is compared with each template by cosine. Weights come from
-the templates alone: a term in none of them has the largest weight, so that words beside a notice lower its cosine. Lines without any
-telling template term cannot reach the threshold and are left out before the terms are exploded. The best line is a file's own licence.
+A file gives several pieces, each a vector of TF-IDF weights over its terms: the whole text, its header (the comment lines that it opens with),
+every paragraph, and every run of up to ``RUN`` neighbouring lines or sentences of a paragraph, so that wrapped notices and those with
+more sentences beside them are seen. Each piece is compared with each template by cosine. Weights come from the templates alone: a term
+in none of them has the largest weight, so that words beside a notice lower its cosine.
+
+Pieces that cannot reach the threshold are left out by a bound that loses none: the rarest terms of each template that hold more than
+1 - threshold^2 of its squared weight are telling, and without one of them a piece's cosine is below the threshold.
 
 A licence file's licence holds for its directory. Each distinct directory meets its ancestors in a join on the path, takes the deepest
 one's licence, and hands it to the files without one of their own. Only DataFrame functions are used.
@@ -15,26 +19,55 @@ from pyspark.sql import functions as F
 
 from petrilake.llm.common import written
 
-#: What licence notices say, by SPDX name.
+#: The disclaimers and conditions that several licences share.
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_TOP = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU_PERMITTED = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_GNU_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+#: What licence notices, headers and files say, by SPDX name. Long licences stand with their title blocks.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0": ["This program is free software; you can redistribute it under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    ],
+    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)", _MIT_GRANT, f"MIT License {_MIT_GRANT} {_MIT_KEEP} {_AS_IS}"],
+    "ISC": ["SPDX-License-Identifier: ISC", _ISC_GRANT, f"ISC License {_ISC_GRANT} {_ISC_END}"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", _GNU_HEADER.format(name="General Public License", version=3), f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_GNU_PERMITTED}", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": ["This program is free software; you can redistribute it under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", _GNU_HEADER.format(name="General Public License", version=2), f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_GNU_PERMITTED}", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": [_GNU_HEADER.format(name="Lesser General Public License", version=3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "LGPL-2.1": [_GNU_HEADER.format(name="Lesser General Public License", version="2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "AGPL-3.0": [_GNU_HEADER.format(name="Affero General Public License", version=3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause", f"{_BSD_TOP} {_BSD_END}"],
+    "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause", _BSD_THIRD, f"{_BSD_TOP} 3. {_BSD_THIRD} {_BSD_END}"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "LicenseRef-proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
-}
-#: Fixed value: template words that other texts use just as well.
-PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by"]
+}
+#: Fixed value: template words that other texts use just as well, taken as telling last.
+PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by", "for", "on", "be", "from", "that", "at", "may", "not", "but", "1", "2", "3"]
+#: What separates terms, lines without a term, how comment lines begin, where lines and sentences end.
+APART, VOID, COMMENT, ENDS = "[^a-z0-9.\\-]+", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
+#: Lines or sentences of a paragraph that are read together at most.
+RUN = 5
+#: A directory with more than this share of all files is handed its licence by broadcast.
+HOT = 1e-4
 
 
 def terms_of(text: Column) -> Column:
     """The runs of letters, digits, dots and hyphens, lower-cased, without a dot at the end."""
-    return F.filter(F.transform(F.split(F.lower(text), "[^a-z0-9.\\-]+"), lambda t: F.rtrim(t, F.lit("."))), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.lower(text), APART), lambda t: F.rtrim(t, F.lit("."))), lambda t: t != "")
 
 
 def template_weights(spark, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -47,39 +80,62 @@ def template_weights(spark, templates: dict[str, list[str]] = TEMPLATES) -> Data
     return weighted.join(F.broadcast(norm), "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
 
 
-def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(id, licence, score, line) of the files(id, text) with a line close enough to a template: the best line, the first among equals."""
-    spark = files.sparkSession
-    weights = written(template_weights(spark, templates), "templates")
-    telling = sorted({t.rstrip(".").lower() for ts in templates.values() for text in ts for t in _plain_terms(text)} - set(PLAIN))
-    lines = files.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    near = lines.select("id", "line", terms_of(F.col("text")).alias("terms")).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in telling])))
-    tf = near.select("id", "line", F.explode("terms").alias("term")).groupBy("id", "line", "term").agg(F.count("*").alias("tf"))
-    idf = weights.select("term", "idf").distinct()
-    unseen = F.lit(float(_log(1.0 + sum(len(t) for t in templates.values())) + 1))
-    vectors = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))  # templates' terms, a fixed number
-    norm = vectors.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vectors.where("idf is not null").join(F.broadcast(weights.select("template", "licence", "term", "weight")), "term").groupBy("id", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["id", "line"]).select("id", "line", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
-    best = F.max_by(F.struct("licence", "score", "line"), F.struct("score", -F.col("line"), "licence"))
-    return scored.groupBy("id").agg(best.alias("b")).select("id", "b.licence", "b.score", "b.line")
-
-
-def _plain_terms(text: str) -> list[str]:
-    out, term = [], ""
-    for c in text.lower() + " ":
-        if c.isascii() and (c.isalnum() or c in ".-"):
-            term += c
-        elif term:
-            out.append(term)
-            term = ""
-    return out
+def telling_terms(weights: DataFrame, threshold: float) -> list[str]:
+    """Terms without which no text's cosine with any template reaches the threshold; the weights are those of the templates, a fixed number."""
+    telling, held = set(), {}
+    for r in sorted(weights.collect(), key=lambda r: (r.template, r.term in PLAIN, -r.idf, -r.weight, r.term)):
+        # the rest's squared weight is below threshold^2 once more than this is held
+        if held.get(r.template, 0.0) <= 1 - threshold * threshold + 1e-6:
+            telling.add(r.term)
+            held[r.template] = held.get(r.template, 0.0) + r.weight * r.weight
+    return sorted(telling)
 
 
-def _log(x: float) -> float:
-    import math
+def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
+    """(id, text_hash, kind, block, first, length, terms): the pieces of files(id, text) that hold a telling term.
 
-    return math.log(x)
+    kind: 2 the whole text, 1 its header, 0 a run within a paragraph (its number is ``block``; a length of 0: all of it).
+    """
+    tells = F.array(*[F.lit(t) for t in telling])
+    docs = files.where("id is not null and text is not null").select("id", "text", F.xxhash64("text").alias("text_hash"), terms_of(F.col("text")).alias("terms")).where(F.arrays_overlap("terms", tells))
+    none = F.lit(0).alias("block"), F.lit(0).alias("first"), F.lit(0).alias("length")
+    whole = docs.select("id", "text_hash", F.lit(2).alias("kind"), *none, "terms")
+    lines = F.split("text", "\n")
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False).cast("int")
+    header = docs.where(stop > 1).select("id", "text_hash", F.lit(1).alias("kind"), *none, terms_of(F.array_join(F.slice(lines, 1, F.greatest(stop - 1, F.lit(0))), "\n")).alias("terms"))
+    blocks = docs.select("id", "text_hash", F.posexplode(F.split(F.ltrim(F.regexp_replace("text", VOID, ""), F.lit("\n")), "\n\n+")).alias("block", "text")).where(F.arrays_overlap(terms_of(F.col("text")), tells))
+    parts = blocks.withColumn("parts", F.split("text", ENDS))
+    count = F.size("parts")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), count - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("length")))))
+    spans = F.when(count > run, F.concat(spans, F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length"))))).otherwise(spans)
+    span = parts.select("id", "text_hash", "block", "parts", F.explode(spans).alias("s"))
+    taken = F.when(F.col("s.length") > 0, F.slice("parts", F.col("s.first"), F.col("s.length"))).otherwise(F.col("parts"))
+    runs = span.select("id", "text_hash", F.lit(0).alias("kind"), "block", (F.col("s.first") - 1).alias("first"), F.col("s.length").alias("length"), terms_of(F.array_join(taken, " ")).alias("terms"))
+    return whole.unionByName(header).unionByName(runs).where(F.arrays_overlap("terms", tells))
+
+
+def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, run: int = RUN) -> DataFrame:
+    """(id, licence, score, opens) of the files(id, text) with a piece close enough to a template.
+
+    A match of the whole text counts before one of the header, and that before a run's; then the best score, the first place and the last name.
+    ``opens``: the piece begins the text.
+    """
+    weights = written(template_weights(files.sparkSession, templates), "templates")
+    index = weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "weight")).alias("in"))
+    names = weights.select("template", "licence").distinct()
+    unseen = F.log(F.lit(1.0 + sum(len(t) for t in templates.values()))) + 1
+    piece = ["id", "text_hash", "kind", "block", "first", "length"]
+    tf = pieces(files, telling_terms(weights, threshold), run).select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg(F.count("*").alias("tf"))
+    vectors = tf.join(F.broadcast(index), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))  # templates' terms, a fixed number
+    # a piece's squared length goes with its products as template -1
+    shares = F.concat(F.array(F.struct(F.lit(-1).alias("template"), (F.col("w") * F.col("w")).alias("x"))), F.coalesce(F.transform("in", lambda t: F.struct(t["template"].alias("template"), (F.col("w") * t["weight"]).alias("x"))), F.array().cast("array<struct<template:int,x:double>>")))
+    dots = vectors.select(*piece, F.inline(shares)).groupBy(*piece, "template").agg(F.sum("x").alias("x"))
+    norm = F.max(F.when(F.col("template") < 0, F.sqrt("x"))).alias("norm")
+    per = dots.groupBy(*piece).agg(norm, F.collect_list(F.when(F.col("template") >= 0, F.struct("template", F.col("x").alias("dot")))).alias("dots"))
+    scored = per.select(*piece, "norm", F.inline("dots")).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold).join(F.broadcast(names), "template")
+    opens = ((F.col("kind") > 0) | ((F.col("block") == 0) & (F.col("first") == 0))).alias("opens")
+    best = F.max_by(F.struct("licence", "score", opens), F.struct("kind", "score", -F.col("block"), -F.col("first"), "licence", F.col("length")))
+    return scored.groupBy("id").agg(best.alias("b")).select("id", "b.licence", "b.score", "b.opens")
 
 
 def directory_of(path: Column) -> Column:
@@ -88,24 +144,34 @@ def directory_of(path: Column) -> Column:
 
 
 def inherited(files: DataFrame) -> DataFrame:
-    """(dir, licence, from_dir): for each directory of files(path, licence, is_licence_file) the licence of its nearest ancestor with a licence file.
+    """(dir, licence, from_dir, n_files): for each directory of files(path, licence, is_licence_file) the licence of its nearest ancestor with a licence file.
 
-    A directory is an ancestor of its own. Of several licence files in one directory the one of the smallest path counts.
+    A directory is an ancestor of its own. Of several licence files in one directory the one of the smallest path counts, of one path's the first name.
     """
-    declared = files.where("is_licence_file and licence is not null and path is not null").groupBy(directory_of(F.col("path")).alias("from_dir")).agg(F.min_by("licence", "path").alias("licence"))
-    dirs = files.where("path is not null").select(directory_of(F.col("path")).alias("dir")).distinct()
-    up = dirs.select("dir", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")).alias("from_dir")).distinct()
-    return up.join(declared, "from_dir").groupBy("dir").agg(F.max_by(F.struct("licence", "from_dir"), F.struct(F.length("from_dir"), "from_dir")).alias("b")).select("dir", "b.licence", "b.from_dir")
+    declared = files.where("is_licence_file and licence is not null and path is not null").groupBy(directory_of(F.col("path")).alias("from_dir")).agg(F.min_by("licence", F.struct("path", "licence")).alias("licence"))
+    dirs = files.where("path is not null").groupBy(directory_of(F.col("path")).alias("dir")).agg(F.count("*").alias("n_files"))
+    up = dirs.select("dir", "n_files", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")).alias("from_dir")).distinct()
+    found = up.join(declared, "from_dir").groupBy("dir", "n_files").agg(F.max_by(F.struct("licence", "from_dir"), F.struct(F.length("from_dir"), "from_dir")).alias("b"))
+    return found.select("dir", "b.licence", "b.from_dir", "n_files")
 
 
 def scan(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """files(id, path, text, is_licence_file) with own_licence, own_score, licence and inherited_from (a directory, or null).
 
-    A file without a licence line takes its directory's; without that, licence is null. Null and empty texts have no licence of their own,
-    a null path has no ancestors. Ids should be unique: rows of one id count as one file for their own licence. Other columns are dropped.
+    A file without a licence of its own takes its directory's; without that, licence is null. Where is_licence_file is null, a file is a
+    licence file if its own licence opens it. Null and empty texts and null ids have no licence of their own, a null path has no ancestors.
+    Rows of one id count as one file for their own licence (the best of their texts), and each is returned. Other columns are dropped.
     """
     own = written(own_licences(files, threshold, templates), "own")
-    named = files.select("id", "path", "is_licence_file").join(own.select("id", F.col("licence").alias("own_licence"), F.col("score").alias("own_score")), "id", "left")
+    found = own.select("id", F.col("licence").alias("own_licence"), F.col("score").alias("own_score"), "opens")
+    named = files.select("id", "path", "is_licence_file").join(found, "id", "left").withColumn("is_licence_file", F.coalesce("is_licence_file", "opens", F.lit(False)))
     from_dirs = written(inherited(named.select("path", F.col("own_licence").alias("licence"), "is_licence_file")), "dirs")
-    both = named.withColumn("dir", directory_of(F.col("path"))).join(from_dirs.select("dir", F.col("licence").alias("_up"), "from_dir"), "dir", "left")
-    return both.select("id", "path", "own_licence", "own_score", F.coalesce("own_licence", "_up").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("from_dir")).alias("inherited_from"))
+    up = from_dirs.select("dir", F.col("licence").alias("_up"), "from_dir", "n_files")
+    hot = F.col("n_files") > HOT * files.count()  # so at most 1 / HOT directories are broadcast, and no other key of the join has a larger share
+    much = up.where(hot).select("dir", F.struct("_up", "from_dir").alias("_much"))
+    rest = up.where(~hot).select(F.col("dir").alias("_dir"), F.struct("_up", "from_dir").alias("_rest"))
+    both = named.withColumn("dir", directory_of(F.col("path"))).join(F.broadcast(much), "dir", "left")
+    # rows that have theirs, or have no path, are spread by what no key is
+    own_key = F.when(F.col("_much").isNull() & F.col("dir").isNotNull(), F.col("dir")).otherwise(F.concat(F.lit("\0"), F.xxhash64("id", "path").cast("string")))
+    both = both.join(rest, own_key == F.col("_dir"), "left").withColumn("_b", F.coalesce("_much", "_rest"))
+    return both.select("id", "path", "own_licence", "own_score", F.coalesce("own_licence", "_b._up").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("_b.from_dir")).alias("inherited_from"))

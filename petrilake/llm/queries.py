@@ -17,12 +17,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence, of its own or of its nearest directory with a licence file.
 
-    Documents have no paths: they are laid out as /source/lang/doc_id, and one that opens with a notice is a licence file there.
+    Documents have no paths: they are laid out as /source/lang/doc_id, and one that opens with its licence is a licence file there.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 20, "0"))
-    opens = F.lower(F.substring_index("text", "\n", 1)).rlike("licen[cs]ed? |rights reserved")
-    found = licenses.scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", F.coalesce(opens, F.lit(False)).alias("is_licence_file")))
+    found = licenses.scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text", F.lit(None).cast("boolean").alias("is_licence_file")))
     return found.select(F.col("id").alias("doc_id"), "own_licence", "own_score", "licence", "inherited_from")
 
 

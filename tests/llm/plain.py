@@ -146,3 +146,43 @@ def spread_verdicts(edges, allowed, blocked, pages, threshold=1.0, evidence=0.5)
         x, y = ratio(t, ut, h), ratio(d, ud, h)
         out[h] = x, y, "block" if y > threshold * x and y > evidence else "allow"
     return out
+
+
+def own_licence(text, templates, threshold=0.8, run=5):
+    """(licence, score, opens) of a text's best piece by all cosines with all templates, or None."""
+    def terms(x):
+        return [t for t in (t.rstrip(".") for t in re.split(r"[^a-z0-9.\-]+", x.lower())) if t]
+
+    rows = [(name, Counter(terms(t))) for name, ts in templates.items() for t in ts]
+    df = Counter(t for _, c in rows for t in c)
+
+    def vector(c):
+        v = {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    known = [(name, vector(c)) for name, c in rows]
+    lines = text.split("\n")
+    found = [(2, 0, 0, 0, text)]
+    stop = next((i for i, x in enumerate(lines) if not re.search(r'^[ \t]*(#|//|/\*|\*|--|;|<!--|%|"|$)', x)), 0)
+    if stop:
+        found.append((1, 0, 0, 0, "\n".join(lines[:stop])))
+    blocks = [[]]
+    for line in lines:
+        if re.search("[A-Za-z0-9]", line):
+            blocks[-1].append(line)
+        elif blocks[-1]:
+            blocks.append([])
+    for b, block in enumerate(blocks):
+        parts = re.split("\n|(?<=[.;]) +", "\n".join(block))
+        spans = [(i, n) for i in range(len(parts)) for n in range(1, min(run, len(parts) - i) + 1)] + [(0, len(parts))]
+        found += [(0, b, i, n, " ".join(parts[i : i + n])) for i, n in spans]
+    best = None
+    for kind, b, i, n, piece in found:
+        if c := Counter(terms(piece)):
+            v = vector(c)
+            for name, w in known:
+                score = round(sum(x * w.get(t, 0) for t, x in v.items()), 9)
+                if score >= threshold:
+                    best = max(best or (), (kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: x[:5])
+    return best and (best[4], best[1], best[5])

@@ -434,3 +434,55 @@ def test_licences(spark):
     assert got[6][0] == "GPL-3.0" and got[7] == (None, "GPL-3.0", "/a/d") and got[5] == (None, None, None)
     assert got[4][1] == got[9][1] == "LicenseRef-proprietary"  # the top's licence file
     assert licenses.scan(files.limit(0)).count() == 0
+
+
+def licence_texts():
+    t = {name: texts for name, texts in licenses.TEMPLATES.items()}
+    mit, bsd2, bsd3, gpl = t["MIT"][-1], t["BSD-2-Clause"][-1], t["BSD-3-Clause"][-1], t["GPL-3.0"][2]
+
+    def wrap(text, width, prefix=""):
+        lines, line = [], ""
+        for word in text.split():
+            if len(line) + len(word) > width:
+                lines.append(line.strip())
+                line = ""
+            line += " " + word
+        return "\n".join(prefix + x for x in [*lines, line.strip()])
+
+    gnu = wrap(gpl, 60, " * ")
+    return [
+        ("MIT", wrap("Copyright (c) 2020 Some Person " + mit, 70)), ("BSD-2-Clause", wrap(bsd2, 60)), ("BSD-3-Clause", wrap(bsd3, 60)), ("BSD-2-Clause", wrap(bsd2, 60, "// ") + "\nint main() {}\n"),
+        ("GPL-3.0", "/*\n" + gnu + "\n *\n * It comes without a warranty of any kind.\n */\ncode"), ("GPL-2.0", gnu.replace("version 3", "version 2") + "\ncode"), ("LGPL-3.0", wrap(t["LGPL-3.0"][0], 50, "# ") + "\n#\n\ncode"),
+        ("GPL-3.0", "This work is licensed under the GNU General Public\nLicense, version 3. See LICENSE for the full text of it."), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + prose(300)),
+        ("Apache-2.0", prose(40) + "\n\n\n" + wrap(t["Apache-2.0"][3], 40) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"), (None, prose(50) + " license " + prose(50)), (None, "The software works as is. " * 50), (None, "\n" * 5000 + "x"), (None, "- \n" * 3000), (None, "漢" * 5000 + "a"),
+        ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.\n" + prose(3000)), ("CC-BY-4.0", "\n\n \nLicensed under CC BY 4.0."), (None, ""), (None, None),
+    ]
+
+
+def test_licences_against_all_cosines(spark):
+    texts = licence_texts()
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    files = spark.createDataFrame([*rows, *rows[:3], (None, texts[0][1])], "id long, text string")  # repeated rows, a null id
+    for threshold in (0.8, 0.5):
+        got = {r.id: r for r in licenses.own_licences(files, threshold).collect()}
+        assert None not in got
+        for i, (name, text) in enumerate(texts):
+            want = plain.own_licence(text or "", licenses.TEMPLATES, threshold)
+            have = got.get(i) and (got[i].licence, got[i].score, got[i].opens)
+            assert (have is None) == (want is None), text
+            assert want is None or (have[0], have[2]) == (want[0], want[2]) and abs(have[1] - want[1]) < 1e-6, text
+            assert threshold < 0.8 or (have and have[0]) == name, (name, have)
+
+
+def test_licences_of_hot_directories_repeats_and_other_columns(spark):
+    notice = "Released under the MIT License."
+    rows = [(i, f"/hot/{i}", "x", None, "a") for i in range(300)] + [(900, "/hot/0a", notice, None, "b"), (900, "/hot/0a", notice, None, "b"), (None, "/hot/q", notice, None, "c"), (901, "/cold/in/it", "x", None, "d"), (902, "/cold/L", "All rights reserved.", True, "e"), (903, "/none/x", "x\n" + notice, None, "f"), (904, None, "x", None, "g")]
+    files = spark.createDataFrame(rows, "id long, path string, text string, is_licence_file boolean, dir string")
+    expect = {i: ("MIT", "/hot") for i in range(300)} | {900: ("MIT", None), None: ("MIT", "/hot"), 901: ("LicenseRef-proprietary", "/cold"), 902: ("LicenseRef-proprietary", None), 903: ("MIT", None), 904: (None, None)}
+    hot = licenses.HOT
+    try:
+        for licenses.HOT in (hot, 0.5, 2.0):  # all by broadcast, some, none
+            got = licenses.scan(files).collect()
+            assert len(got) == len(rows) and {r.id: (r.licence, r.inherited_from) for r in got} == expect
+    finally:
+        licenses.HOT = hot
