@@ -56,7 +56,7 @@ TEMPLATES = {
     "LicenseRef-proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
 }
 #: Fixed value: template words that other texts use just as well, taken as telling last.
-PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by", "for", "on", "be", "from", "that", "at", "may", "not", "but", "1", "2", "3"]
+PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by", "for", "on", "be", "from", "that", "at", "may", "not", "but", "as", "an", "was", "do", "no", "if", "its", "so", "such", "one", "other", "out", "nor", "either", "must", "way", "whom", "whether", "used", "your", "has", "have", "been", "even", "1", "2", "3"]
 #: What separates terms, lines without a term, how comment lines begin, where lines and sentences end.
 APART, VOID, COMMENT, ENDS = "[^a-z0-9.\\-]+", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
 #: Lines or sentences of a paragraph that are read together at most.
