@@ -3,7 +3,7 @@
 A file gives several pieces, each a vector of TF-IDF weights over its terms: the whole text, its header (the comment lines that it opens with),
 every paragraph, and every run of up to ``RUN`` neighbouring lines or sentences of a paragraph, so that wrapped notices and those with
 more sentences beside them are seen. Each piece is compared with each template by cosine. Weights come from the templates alone: a term
-in none of them has the largest weight, so that words beside a notice lower its cosine.
+in none of them has the largest weight, so that words beside a notice lower its cosine. A term's frequency is 1 + ln of its count.
 
 Pieces that cannot reach the threshold are left out by a bound that loses none: the rarest terms of each template that hold more than
 1 - threshold^2 of its squared weight are telling, and without one of them a piece's cosine is below the threshold.
@@ -73,7 +73,7 @@ def terms_of(text: Column) -> Column:
 def template_weights(spark, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(template, licence, term, weight, idf): unit vectors; as many rows as the templates have terms."""
     rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, ts in templates.items() for t in ts)]
-    terms = spark.createDataFrame(rows, "template int, licence string, text string").select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    terms = spark.createDataFrame(rows, "template int, licence string, text string").select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg((F.log(F.count("*")) + 1).alias("tf"))
     df = terms.groupBy("term").agg(F.countDistinct("template").alias("df"))
     weighted = terms.join(F.broadcast(df), "term").withColumn("idf", F.log((1.0 + len(rows)) / (1.0 + F.col("df"))) + 1).withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -91,27 +91,35 @@ def telling_terms(weights: DataFrame, threshold: float) -> list[str]:
     return sorted(telling)
 
 
+def holds(text: Column, telling: list[str]) -> Column:
+    """Whether one of the telling terms is a term of the text."""
+    return F.exists(F.split(F.lower(text), APART), lambda t: F.rtrim(t, F.lit(".")).isin(telling))
+
+
 def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
     """(id, text_hash, kind, block, first, length, terms): the pieces of files(id, text) that hold a telling term.
 
     kind: 2 the whole text, 1 its header, 0 a run within a paragraph (its number is ``block``; a length of 0: all of it).
+    Equal rows give their pieces once. The texts are dealt by id and hash, so that what follows groups pieces where they are.
     """
-    tells = F.array(*[F.lit(t) for t in telling])
-    docs = files.where("id is not null and text is not null").select("id", "text", F.xxhash64("text").alias("text_hash"), terms_of(F.col("text")).alias("terms")).where(F.arrays_overlap("terms", tells))
-    none = F.lit(0).alias("block"), F.lit(0).alias("first"), F.lit(0).alias("length")
-    whole = docs.select("id", "text_hash", F.lit(2).alias("kind"), *none, "terms")
+    docs = files.where("id is not null").where(holds(F.col("text"), telling)).groupBy("id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
     lines = F.split("text", "\n")
     stop = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False).cast("int")
-    header = docs.where(stop > 1).select("id", "text_hash", F.lit(1).alias("kind"), *none, terms_of(F.array_join(F.slice(lines, 1, F.greatest(stop - 1, F.lit(0))), "\n")).alias("terms"))
-    blocks = docs.select("id", "text_hash", F.posexplode(F.split(F.ltrim(F.regexp_replace("text", VOID, ""), F.lit("\n")), "\n\n+")).alias("block", "text")).where(F.arrays_overlap(terms_of(F.col("text")), tells))
-    parts = blocks.withColumn("parts", F.split("text", ENDS))
+    header = F.array_join(F.slice(lines, 1, F.greatest(stop - 1, F.lit(0))), "\n")
+
+    def part(kind: int, block: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), block.alias("block"), text.alias("text"))
+
+    blocks = F.transform(F.split(F.ltrim(F.regexp_replace("text", VOID, ""), F.lit("\n")), "\n\n+"), lambda x, i: part(0, i, x))
+    parts = docs.select("id", "text_hash", F.inline(F.concat(F.array(part(2, F.lit(0), F.col("text")), part(1, F.lit(0), header)), blocks))).where(holds(F.col("text"), telling))
+    lone = F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length")))
+    parts = parts.withColumn("parts", F.when(F.col("kind") > 0, F.array("text")).otherwise(F.split("text", ENDS)))
     count = F.size("parts")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), count - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("length")))))
-    spans = F.when(count > run, F.concat(spans, F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length"))))).otherwise(spans)
-    span = parts.select("id", "text_hash", "block", "parts", F.explode(spans).alias("s"))
-    taken = F.when(F.col("s.length") > 0, F.slice("parts", F.col("s.first"), F.col("s.length"))).otherwise(F.col("parts"))
-    runs = span.select("id", "text_hash", F.lit(0).alias("kind"), "block", (F.col("s.first") - 1).alias("first"), F.col("s.length").alias("length"), terms_of(F.array_join(taken, " ")).alias("terms"))
-    return whole.unionByName(header).unionByName(runs).where(F.arrays_overlap("terms", tells))
+    spans = F.when(F.col("kind") > 0, lone).when(count > run, F.concat(spans, lone)).otherwise(spans)
+    taken = F.when(F.col("s.length") > 0, F.array_join(F.slice("parts", F.col("s.first"), F.col("s.length")), " ")).otherwise(F.col("text"))
+    span = parts.select("id", "text_hash", "kind", "block", "text", "parts", F.explode(spans).alias("s")).select("id", "text_hash", "kind", "block", (F.col("s.first") - 1).alias("first"), F.col("s.length").alias("length"), taken.alias("text"))
+    return span.where(holds(F.col("text"), telling)).withColumn("terms", terms_of(F.col("text"))).drop("text")
 
 
 def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, run: int = RUN) -> DataFrame:
@@ -125,7 +133,7 @@ def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str,
     names = weights.select("template", "licence").distinct()
     unseen = F.log(F.lit(1.0 + sum(len(t) for t in templates.values()))) + 1
     piece = ["id", "text_hash", "kind", "block", "first", "length"]
-    tf = pieces(files, telling_terms(weights, threshold), run).select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg(F.count("*").alias("tf"))
+    tf = pieces(files, telling_terms(weights, threshold), run).select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg((F.log(F.count("*")) + 1).alias("tf"))
     vectors = tf.join(F.broadcast(index), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))  # templates' terms, a fixed number
     # a piece's squared length goes with its products as template -1
     shares = F.concat(F.array(F.struct(F.lit(-1).alias("template"), (F.col("w") * F.col("w")).alias("x"))), F.coalesce(F.transform("in", lambda t: F.struct(t["template"].alias("template"), (F.col("w") * t["weight"]).alias("x"))), F.array().cast("array<struct<template:int,x:double>>")))

@@ -157,7 +157,7 @@ def own_licence(text, templates, threshold=0.8, run=5):
     df = Counter(t for _, c in rows for t in c)
 
     def vector(c):
-        v = {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
