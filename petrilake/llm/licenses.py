@@ -6,8 +6,7 @@ more sentences beside them are seen. Each piece is compared with each template b
 in none of them has the largest weight, so that words beside a notice lower its cosine. A term's frequency is 1 + ln of its count.
 
 Pieces that cannot reach the threshold are left out by a bound that loses none: the rarest terms of each template that hold more than
-1 - threshold^2 of its squared weight are telling, and without one of them a piece's cosine is below the threshold. Pieces with one must
-hold threshold^2 of some template's squared weight in all.
+1 - threshold^2 of its squared weight are telling, and without one of them a piece's cosine is below the threshold.
 
 A licence file's licence holds for its directory. Each distinct directory meets its ancestors in a join on the path, takes the deepest
 one's licence, and hands it to the files without one of their own. Only DataFrame functions are used.
@@ -15,8 +14,6 @@ one's licence, and hands it to the files without one of their own. Only DataFram
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +96,11 @@ def holds(text: Column, telling: list[str]) -> Column:
     return F.exists(F.split(F.lower(text), APART), lambda t: F.rtrim(t, F.lit(".")).isin(telling))
 
 
+def once(value: Column, then) -> Column:
+    """then(value) where the value is computed once a row: an expression inside a lambda would be computed again in each of its calls."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
     """(id, text_hash, kind, block, first, length, terms): the pieces of files(id, text) that hold a telling term.
 
@@ -117,26 +119,16 @@ def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
     parts = docs.select("id", "text_hash", F.inline(F.concat(F.array(part(2, F.lit(0), F.col("text")), part(1, F.lit(0), header)), blocks))).where(holds(F.col("text"), telling))
     lone = F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length")))
     parts = parts.withColumn("parts", F.when(F.col("kind") > 0, F.array("text")).otherwise(F.split("text", ENDS)))
-    parts = parts.withColumn("tells", F.transform("parts", lambda x: holds(x, telling)))
     count = F.size("parts")
-    spans = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), count - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("length"))))), lambda s: F.array_contains(F.slice("tells", s["first"], s["length"]), True))
+    around = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), count - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("length")))))
+    tells = F.transform("parts", lambda x: holds(x, telling))
+    spans = once(tells, lambda told: F.filter(around, lambda s: F.array_contains(F.slice(told, s["first"], s["length"]), True)))
     spans = F.when(F.col("kind") > 0, lone).when(count > run, F.concat(spans, lone)).otherwise(spans)
     taken = F.when(F.col("s.length") > 0, F.array_join(F.slice("parts", F.col("s.first"), F.col("s.length")), " ")).otherwise(F.col("text"))
     span = parts.select("id", "text_hash", "kind", "block", "text", "parts", F.explode(spans).alias("s")).select("id", "text_hash", "kind", "block", (F.col("s.first") - 1).alias("first"), F.col("s.length").alias("length"), taken.alias("text"))
     return span.withColumn("terms", terms_of(F.col("text"))).drop("text")
 
 
-def within_reach(terms: Column, weights: DataFrame, threshold: float) -> Column:
-    """Whether the terms present hold threshold^2 of a template's squared weight; below that its cosine with them is under the threshold."""
-    squares: dict[int, dict[str, float]] = {}
-    for r in weights.collect():  # the templates' terms, a fixed number
-        squares.setdefault(r.template, {})[r.term] = r.weight * r.weight
-    known = F.split(F.lit(" ".join(sorted({t for m in squares.values() for t in m}))), " ")
-    present = F.array_intersect(terms, known)
-    of_all = F.from_json(F.lit(json.dumps(list(squares.values()))), "array<map<string,double>>")
-    return F.exists(of_all, lambda m: F.aggregate(present, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(m, t), F.lit(0.0))) >= threshold * threshold - 1e-6)
-
-
 def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, run: int = RUN) -> DataFrame:
     """(id, licence, score, opens) of the files(id, text) with a piece close enough to a template.
 
@@ -148,7 +140,7 @@ def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str,
     names = weights.select("template", "licence").distinct()
     unseen = F.log(F.lit(1.0 + sum(len(t) for t in templates.values()))) + 1
     piece = ["id", "text_hash", "kind", "block", "first", "length"]
-    near = pieces(files, telling_terms(weights, threshold), run).where(within_reach(F.col("terms"), weights, threshold))
+    near = pieces(files, telling_terms(weights, threshold), run)
     tf = near.select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg((F.log(F.count("*")) + 1).alias("tf"))
     vectors = tf.join(F.broadcast(index), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))  # templates' terms, a fixed number
     # a piece's squared length goes with its products as template -1
