@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrilake.llm import bpe, decontaminate, licenses, linededup, ngram_join, ppm, quality, sharding, token_files, url_filter
-from petrilake.llm.common import scratch_path
+from petrilake.llm import bpe, decontaminate, licenses, linededup, merkle, ngram_join, ppm, preference, quality, sharding, token_files, url_filter
+from petrilake.llm.common import lower_ascii, scratch_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the ranking of preference pairs of the labelled training rows."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = preference.score(docs, preference.fit(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digests up to the root of the table, and what a tampered fifth of them would give."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*fields)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = docs.withColumn("tampered", F.when(hit, merkle.leaf([lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in fields])))
+    found = merkle.manifest(docs, "doc_id", "source", fields, carry="tampered")
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_token_files": op2_token_files,
@@ -96,6 +116,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
+    "op11_preference": op11_preference,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,6 +126,9 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 _CLASS = lambda cls: f"length(regexp_replace(t, '[^{cls}]+', '', 'g'))"
 _HALVES = "CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END / 2 + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END / 2"
+#: A value of a Merkle leaf, and a node's siblings around what stands between them.
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_SIDES = "array_to_string(ds[1:i % 16], '') {} array_to_string(ds[i % 16 + 2:], '')"
 
 ORACLES: dict[str, str] = {
     "op5_quality": f"""
@@ -149,4 +174,20 @@ hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(r
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op13_merkle": f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_FIELD.format("doc_id")} || {_FIELD.format("source")} || {_FIELD.format("lang")} || {_FIELD.format("n_chars")} AS head, text,
+  coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) % 5 = 0, false) AS hit FROM documents, crc),
+leaves AS (SELECT rid, doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf, CASE WHEN hit THEN sha256(head || {_FIELD.format(_LOWER.format("text"))}) END AS changed FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+up(source, lvl, i, d, n) AS (SELECT source, 0, i, leaf, n FROM ranked UNION ALL SELECT source, lvl + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY source, lvl, i // 16, n),
+runs AS (SELECT source, lvl, i // 16 AS r, list(d ORDER BY i) AS ds FROM up WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+gup(lvl, i, d, n) AS (SELECT 0, i, d, n FROM tops UNION ALL SELECT lvl + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM gup WHERE n > 1 GROUP BY lvl, i // 16, n),
+gruns AS (SELECT lvl, i // 16 AS r, list(d ORDER BY i) AS ds FROM gup WHERE n > 1 GROUP BY ALL),
+walk(rid, source, lvl, i, n, proof, folded) AS (SELECT rid, source, 0, i, n, '', coalesce(changed, leaf) FROM ranked
+  UNION ALL SELECT rid, w.source, w.lvl + 1, i // 16, (n + 15) // 16, proof || {_SIDES.format("||")}, sha256({_SIDES.format("|| folded ||")}) FROM walk w JOIN runs s ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl AND s.r = i // 16 WHERE n > 1),
+gwalk(rid, lvl, i, n, proof, folded) AS (SELECT rid, 0, tops.i, tops.n, proof, folded FROM walk JOIN tops ON walk.source IS NOT DISTINCT FROM tops.source WHERE walk.n = 1
+  UNION ALL SELECT rid, w.lvl + 1, i // 16, (n + 15) // 16, proof || {_SIDES.format("||")}, sha256({_SIDES.format("|| folded ||")}) FROM gwalk w JOIN gruns s ON w.lvl = s.lvl AND s.r = i // 16 WHERE n > 1)
+SELECT doc_id, leaf, tops.d AS subroot, g.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = g.d AS verified FROM gwalk w JOIN ranked ON ranked.rid = w.rid JOIN tops ON tops.source IS NOT DISTINCT FROM ranked.source, gup g WHERE w.n = 1 AND g.n = 1""",
 }
