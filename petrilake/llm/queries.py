@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrilake.llm import bpe, decontaminate, licenses, linededup, merkle, ngram_join, ppm, preference, quality, sharding, token_files, url_filter
+from petrilake.llm import bpe, decontaminate, licenses, linededup, merkle, ngram_join, phrases, ppm, preference, quality, sharding, token_files, url_filter
 from petrilake.llm.common import lower_ascii, scratch_path
 
 
@@ -94,6 +94,11 @@ def op11_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two to four words that hold together best, of each language."""
+    return phrases.mine(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"), 4, 30)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's digests up to the root of the table, and what a tampered fifth of them would give."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -117,6 +122,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
     "op11_preference": op11_preference,
+    "op12_phrases": op12_phrases,
     "op13_merkle": op13_merkle,
 }
 
@@ -174,6 +180,19 @@ hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(r
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op12_phrases": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k))),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+parts AS (SELECT lang, k, g, a, string_split(g, ' ') AS s FROM f WHERE k > 1),
+longer AS (SELECT lang, array_to_string(s[i:i + m - 1], ' ') AS g, max(a) AS b FROM (SELECT lang, s, k, a, m, unnest(range(1, k - m + 2)) AS i FROM parts, (VALUES (2), (3)) x(m) WHERE m < k) GROUP BY ALL),
+cuts AS (SELECT p.lang, p.g, p.a, j, l.a AS l, r.a AS r, 2000000::HUGEINT * p.a // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM parts) p JOIN f l ON l.lang = p.lang AND l.g = array_to_string(s[1:j], ' ') JOIN f r ON r.lang = p.lang AND r.g = array_to_string(s[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g WHERE longer.b IS NULL OR 100 * longer.b < 80 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000""",
     "op13_merkle": f"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_FIELD.format("doc_id")} || {_FIELD.format("source")} || {_FIELD.format("lang")} || {_FIELD.format("n_chars")} AS head, text,
