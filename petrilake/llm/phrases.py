@@ -34,8 +34,8 @@ WORDS = 1 << 20
 PRINTS = 1 << 22
 BLOCK = 1 << 20
 #: Bytes of text, and places, that a task works on at a time.
-BYTES = 4 << 20
-PLACES = 1 << 21
+BYTES = 2 << 20
+PLACES = 1 << 19
 #: Rows of phrases that are broadcast to each other.
 FEW = 200_000
 
@@ -229,9 +229,10 @@ def build(keys: np.ndarray) -> Trie:
     """
     left, right = keys >> 32, keys & 0xFFFFFFFF
     lefts, starts, sizes = np.unique(left, return_index=True, return_counts=True)
-    base = np.zeros((int(lefts[-1]) + 1) if len(lefts) else 1, np.int64)
+    base = np.zeros((int(lefts[-1]) + 1) if len(lefts) else 1, np.int32)
     room = int(2 * len(keys) + (right.max() if len(keys) else 0) + 1024)
-    check, value = np.full(room, -1, np.int64), np.full(room, -1, np.int64)
+    free_cells = lambda n: np.full(n, -1, np.int32)
+    check, value = free_cells(room), free_cells(room)
     hint = 0
     many = np.flatnonzero(sizes > 1)
     for i in many[np.argsort(-sizes[many], kind="stable")]:
@@ -241,7 +242,7 @@ def build(keys: np.ndarray) -> Trie:
             cells = own + own_base
             if cells[-1] >= len(check):
                 grown = max(len(check), int(cells[-1]) + 1 - len(check))
-                check, value = np.concatenate([check, np.full(grown, -1, np.int64)]), np.concatenate([value, np.full(grown, -1, np.int64)])
+                check, value = np.concatenate([check, free_cells(grown)]), np.concatenate([value, free_cells(grown)])
             taken = check[cells] >= 0
             if not taken.any():
                 break
@@ -255,7 +256,7 @@ def build(keys: np.ndarray) -> Trie:
     free = np.flatnonzero(check < 0)[: len(one)]
     if len(free) < len(one):
         extra = np.arange(len(check), len(check) + len(one) - len(free))
-        check, value = np.concatenate([check, np.full(len(extra), -1, np.int64)]), np.concatenate([value, np.full(len(extra), -1, np.int64)])
+        check, value = np.concatenate([check, free_cells(len(extra))]), np.concatenate([value, free_cells(len(extra))])
         free = np.concatenate([free, extra])
     base[lefts[one]] = free - right[starts[one]]
     check[free], value[free] = lefts[one], starts[one]
