@@ -307,7 +307,7 @@ def _numbers(rows: DataFrame, sent: Broadcast, first: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + sent.value.advance(keys >> 32, keys & 0xFFFFFFFF))], ["key", "a", "id"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + sent.value.advance(keys >> 32, keys & 0xFFFFFFFF), pa.int64())], ["key", "a", "id"])
 
     return rows.mapInArrow(work, "key bigint, a bigint, id bigint")
 
