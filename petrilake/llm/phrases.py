@@ -38,6 +38,8 @@ BYTES = 2 << 20
 PLACES = 1 << 19
 #: Rows of phrases that are broadcast to each other.
 FEW = 200_000
+#: Counts that stand in one row between a shard and their sum.
+CHUNK = 1 << 10
 
 _LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 #: Fixed classes of bytes: 1 ends a word, 2 ends a piece too.
@@ -275,10 +277,28 @@ def _counted(states: DataFrame, keys: np.ndarray) -> DataFrame:
         for pairs in _pairs(batches):
             found = trie.advance(pairs >> 32, pairs & 0xFFFFFFFF)
             counts += np.bincount(found[found >= 0], minlength=len(keys))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some])], ["key", "a"])
+        chunks = range(0, len(keys), CHUNK)
+        parts = [pa.array(np.arange(len(chunks)), pa.int64()), pa.array([counts[i : i + CHUNK].tobytes() for i in chunks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(parts, ["chunk", "counts"])
 
-    return states.mapInArrow(work, "key bigint, a bigint").groupBy("key").agg(F.sum("a").alias("a"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, here, total = sent.value[1], None, None
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[here * CHUNK : here * CHUNK + len(total)]), pa.array(total)], ["key", "a"])
+
+        for b in batches:
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if chunk != here:
+                    if here is not None:
+                        yield summed()
+                    here, total = chunk, np.zeros(len(raw) // 8, np.int64)
+                total += np.frombuffer(raw, np.int64)
+        if here is not None:
+            yield summed()
+
+    shards = states.mapInArrow(work, "chunk bigint, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    return shards.mapInArrow(add, "key bigint, a bigint")
 
 
 def _stated(states: DataFrame, sent: Broadcast, first: int, done: bool) -> DataFrame:
