@@ -10,6 +10,9 @@ from petrilake.operators.alignment import costs
 from petrilake.operators.nets import Net, few, runs
 from petrilake.sources.scratch import settled
 
+#: Activities that are spelled as one character each.
+MOST_ACTIVITIES = 1 << 14
+
 
 def subnets(full_runs: DataFrame, most_transitions: int) -> DataFrame:
     """(subnet): the transition sets of full runs and all their unions, of at most so many transitions; waits do not count.
@@ -82,10 +85,13 @@ def near_words(free: DataFrame, taken: DataFrame, most_distance: int) -> DataFra
     """(trace, id) of each trace of free within most_distance edits (Levenshtein) of a trace of taken(trace, id): the smallest id.
 
     Two words so close share one of the words that so many deletions leave of them: those are the key of the join, and pairs that meet
-    are compared. Activities are spelled as one character each, by their rank in both logs' alphabet (an alphabet is broadcast).
+    are compared. Activities are spelled as one character each, by their rank in both logs' alphabet (an alphabet is broadcast); more
+    than MOST_ACTIVITIES are an error.
     """
     letters = free.select("trace").unionByName(taken.select("trace")).select(F.explode("trace").alias("activity")).distinct()
-    found = [r[0] for r in letters.orderBy("activity").limit(1 << 14).collect()]  # an alphabet
+    found = [r[0] for r in letters.where("activity is not null").orderBy("activity").limit(MOST_ACTIVITIES + 1).collect()]  # an alphabet
+    if len(found) > MOST_ACTIVITIES:
+        raise ValueError(f"more than {MOST_ACTIVITIES} activities")
     spelled = F.create_map(*[F.lit(x) for i, a in enumerate(found) for x in (a, chr(0x4E00 + i))]) if found else F.create_map(F.lit(""), F.lit(""))
     word = F.array_join(F.transform("trace", lambda x: F.coalesce(F.element_at(spelled, x), F.lit("?"))), "")
 
@@ -157,6 +163,21 @@ def jaccard_index(rows: DataFrame, first: str, second: str) -> DataFrame:
     return cells.crossJoin(a).crossJoin(b).select(F.round(F.col("n11") / (F.col("a") + F.col("b") - F.col("n11")), 9).alias("jaccard"))  # one row each
 
 
+def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(jaccard) of two clusterings (case_id, cluster_id), over the cases that both have; see `jaccard_index`."""
+    a, b = first.select("case_id", F.col("cluster_id").alias("c1")), second.select("case_id", F.col("cluster_id").alias("c2"))
+    return jaccard_index(a.join(b, "case_id"), "c1", "c2")
+
+
+def subnet_arcs(clusters: DataFrame, net: Net) -> DataFrame:
+    """(cluster_id, src, dst): the arcs of the subnets of clusters(cluster_id, subnet), from places to transitions and from those to places."""
+    table = net.frame(clusters.sparkSession)
+    before = table.select("tid", F.explode("before").alias("src"), F.col("tid").alias("dst"))
+    after = table.select("tid", F.col("tid").alias("src"), F.explode("after").alias("dst"))
+    used = clusters.select("cluster_id", F.explode("subnet").alias("tid"))
+    return used.join(F.broadcast(before.unionByName(after)), "tid").select("cluster_id", "src", "dst")  # a model's arcs
+
+
 def super_instances(log: DataFrame, k: int, parts: int = 5, seed: int = 7) -> DataFrame:
     """(case_id, cluster, is_medoid): k-means over the first principal parts of binary 1- to 3-grams; a medoid is the case nearest its centre."""
     from pyspark.ml import Pipeline

@@ -37,7 +37,7 @@ def head(log: DataFrame, n: int) -> DataFrame:
 
 def sample(log: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n traces, the same ones for the same seed."""
-    return log.orderBy(F.xxhash64("case_id", F.lit(seed)), "case_id").limit(n)
+    return log.orderBy(F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(F.col("case_id").cast("string"), F.lit(""))).cast("binary")), "case_id").limit(n)
 
 
 def known_or_wait(log: DataFrame, labels: list[str]) -> DataFrame:

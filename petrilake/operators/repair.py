@@ -5,11 +5,14 @@ A model and its candidates are small; what grows is the log, which all candidate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrilake.operators.alignment import weighted_cost
 from petrilake.operators.nets import Net
+from petrilake.sources.scratch import settled
 
 RUN = "array<struct<label: string, depth: int>>"
 
@@ -73,22 +76,55 @@ def branches(net: Net) -> list[list[tuple[str, int]]]:
     return out
 
 
+class Costs:
+    """The costs of branches against the variants, each branch scored once: (branch, trace, n_cases, cost) in written tables."""
+
+    def __init__(self, spark: SparkSession, variants: DataFrame, n: int):
+        self.spark, self.variants, self.n = spark, variants, n
+        self.known: dict[tuple, int] = {}
+        self.tables: list[DataFrame] = []
+
+    def add(self, found: list[tuple]) -> None:
+        """Score the branches that are new."""
+        new = [b for b in dict.fromkeys(found) if b not in self.known]
+        if not new:
+            return
+        first = len(self.known)
+        self.known |= {b: first + i for i, b in enumerate(new)}
+        runs = self.spark.createDataFrame([(self.known[b], list(b)) for b in new], f"branch int, run {RUN}")
+        each = self.variants.crossJoin(F.broadcast(runs)).select("branch", "trace", "n_cases", weighted_cost(F.col("run"), F.col("trace"), self.n).alias("cost"))  # the models' new branches
+        self.tables.append(settled(each, "branch_costs"))
+
+    def scores(self, models: list[tuple[str, Net]]) -> DataFrame:
+        """(action, fitness): the summed cost of all cases against each model, each by its cheapest branch; 0 is a perfect fit."""
+        named = [(name, [tuple(b) for b in branches(m)]) for name, m in models]
+        self.add([b for _, found in named for b in found])
+        uses = self.spark.createDataFrame([(name, self.known[b]) for name, found in named for b in found], "action string, branch int")
+        costs = reduce(DataFrame.unionByName, self.tables) if self.tables else self.variants.selectExpr("0 as branch", "trace", "n_cases", "0D as cost").limit(0)
+        each = costs.join(F.broadcast(uses), "branch").groupBy("action", "trace", "n_cases").agg(F.min("cost").alias("cost"))  # the models' branches
+        return each.groupBy("action").agg(F.sum(F.col("cost") * F.col("n_cases")).alias("fitness"))
+
+
 def scores(spark: SparkSession, models: list[tuple[str, Net]], variants: DataFrame, n: int) -> DataFrame:
-    """(action, fitness): the summed cost of all cases against each model; 0 is a perfect fit."""
-    rows = [(name, run) for name, m in models for run in branches(m)]
-    runs = spark.createDataFrame(rows, f"action string, run {RUN}")
-    each = variants.crossJoin(F.broadcast(runs)).groupBy("action", "trace", "n_cases").agg(F.min(weighted_cost(F.col("run"), F.col("trace"), n)).alias("cost"))  # the models' branches
-    return each.groupBy("action").agg(F.sum(F.col("cost") * F.col("n_cases")).alias("fitness"))
+    """(action, fitness) of the models; see `Costs.scores`."""
+    return Costs(spark, variants, n).scores(models)
 
 
-def repair(spark: SparkSession, net: Net, letters: list[str], variants: DataFrame, n: int, most_rounds: int = 10) -> tuple[Net, list[tuple[str, float]]]:
-    """The model after the best action of each round, while the fitness falls; and the actions taken."""
-    best = scores(spark, [("", net)], variants, n).first().fitness
+def repair(spark: SparkSession, net: Net, letters: list[str], variants: DataFrame, n: int, most_rounds: int | None = None) -> tuple[Net, list[tuple[str, float]]]:
+    """The model after the best action of each round, until none lowers the fitness; and the actions taken.
+
+    A round scores only the branches that no model before had. most_rounds ends the search early, if given.
+    """
+    costs = Costs(spark, variants, n)
+    start = costs.scores([("", net)]).first()
     history: list[tuple[str, float]] = []
-    for _ in range(most_rounds):
+    if start is None:  # no variants, or no branch
+        return net, history
+    best = start.fitness
+    while best > 0 and (most_rounds is None or len(history) < most_rounds):
         models = candidates(net, letters)
-        found = scores(spark, models, variants, n).orderBy("fitness", "action").first()
-        if best == 0 or found is None or found.fitness >= best:
+        found = costs.scores(models).orderBy("fitness", "action").first()
+        if found is None or found.fitness >= best:
             break
         net, best = dict(models)[found.action], found.fitness
         history.append((found.action, found.fitness))

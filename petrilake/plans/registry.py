@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
 from petrilake.functions.numbering import families
-from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair
+from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair, wholetrace
 from petrilake.plans import oracle as O
 from petrilake.plans.models import CHAT, SHOP, SHORT, TREE
 from petrilake.session import table
@@ -81,7 +81,7 @@ def head_n_traces(spark, sf_dir):
     return spelled(logs.head(chat_log(spark, sf_dir), 20))
 
 
-@query()
+@query(f"WITH {O.CHATS} SELECT case_id, array_to_string(trace, ' ') AS trace FROM log ORDER BY md5('1 ' || case_id), case_id LIMIT 20")
 def hash_sample_traces(spark, sf_dir):
     return spelled(logs.sample(chat_log(spark, sf_dir), 20, seed=1))
 
@@ -261,6 +261,66 @@ def precision_epsilon(spark, sf_dir):
     return artefacts.epsilon_precision(spark, CHAT, logs.variants(chat_log(spark, sf_dir)), EPSILON, TRIALS)
 
 
+# Whole traces
+
+
+def _whole_sum(name, artefact):
+    def f(spark, sf_dir):
+        return wholetrace.best_sum(logs.variants(events_log(spark, sf_dir)), SHOP, artefact)
+
+    f.__name__ = name
+    return query(O.query(O.EVENTS, O.best_sum(SHOP, artefact == "anti"), select="SELECT run, distance FROM best"))(f)
+
+
+_whole_sum("anti_hamming_sum_whole", "anti")
+_whole_sum("multi_hamming_sum_whole", "multi")
+
+
+def _moves(name, log, model, sql_log):
+    def f(spark, sf_dir):
+        return spelled(alignment.moves(logs.variants(log(spark, sf_dir)), model))
+
+    f.__name__ = name
+    return query(O.query(sql_log, O.variants(None), O.token_arcs(model), O.alignments(model.initial[0], model.sinks), O.MOVES, select=O.MOVE_ROWS))(f)
+
+
+_moves("alignment_moves", chat_log, CHAT, O.CHATS)
+_moves("alignment_moves_whole", events_log, SHOP, O.EVENTS)
+
+
+@query(O.query(O.EVENTS, O.variants(None), O.token_arcs(SHOP), O.alignments(SHOP.initial[0], SHOP.sinks), select=f"SELECT array_to_string(v.trace, ' ') AS trace, n_cases, CAST(s.c // {O.COSTLY} AS INTEGER) AS cost FROM variants v JOIN ids ON ids.trace = v.trace LEFT JOIN best ON best.id = ids.id"))
+def alignment_cost_whole(spark, sf_dir):
+    """The optimal alignment of every user's whole trace with the full journeys of any length."""
+    return spelled(alignment.costs(logs.variants(events_log(spark, sf_dir)), SHOP))
+
+
+#: Instants of a comparison that conversations of 8 turns fill but for two, so that steps and turns have to share them.
+INSTANTS = 10
+
+
+@query(O.query(O.CHATS, O.variants(None), O.differences(CHAT, INSTANTS), select="SELECT array_to_string(trace, ' ') AS trace, n_cases, difference FROM differences"))
+def aligned_difference(spark, sf_dir):
+    """Every variant against the model, instant by instant: either side may wait anywhere."""
+    return spelled(alignment.aligned_difference(logs.variants(chat_log(spark, sf_dir)), CHAT, INSTANTS))
+
+
+@query(O.query(*_CHAT_EDIT, O.best("most", False), select="SELECT CAST(i AS INTEGER) AS instant, label FROM (SELECT unnest(string_split(run, ' ')) AS label, unnest(range(1, len(string_split(run, ' ')) + 1)) AS i FROM best)"))
+def run_with_instants(spark, sf_dir):
+    """The multi-alignment of the conversations, one row an instant."""
+    found = artefacts.best(_pairs(spark, sf_dir, chat_log, CHAT, "edit"), "multi", "min")
+    return found.select(F.posexplode(F.split("run", " ")).alias("i", "label")).select((F.col("i") + 1).alias("instant"), "label")
+
+
+_TREE_EDIT = (O.CHATS, O.runs(TREE, WHOLE), O.variants(WHOLE), O.indel_pairs())
+
+
+@query(O.query(*_TREE_EDIT, O.best("least", True), select="SELECT round(1 - min(p.distance / (len(list_filter(p.run, lambda x: x <> 'w')) + len(trace))), 9) AS precision FROM pairs p JOIN best b ON array_to_string(p.run, ' ') = b.run"))
+def repair_precision(spark, sf_dir):
+    """The precision of the tree that is repaired; distances may be twice the steps."""
+    pairs = artefacts.run_distances(nets.runs(spark, TREE, WHOLE), logs.variants(chat_log(spark, sf_dir)), WHOLE, "edit")
+    return artefacts.anti_precision(pairs, "edit", 2 * WHOLE)
+
+
 # Alignments and clusters
 
 #: A full run within distance 1 of a conversation of 8 turns has 11 steps at most, silent ones included.
@@ -361,6 +421,37 @@ def absorb_variants(spark, sf_dir):
     return spelled(clustering.absorb(_assigned(spark, sf_dir), 1).select("trace", "n_cases", "cluster_id"))
 
 
+@query(O.query(*_PAIRS, select="SELECT cluster_id, subnet, src, tid, dst FROM (SELECT 1 AS cluster_id, s1 AS subnet FROM pair UNION ALL SELECT 2, s2 FROM pair) c, (SELECT tid, p AS src, tid AS dst FROM (SELECT tid, unnest(before) AS p FROM runs_net) UNION ALL SELECT tid, tid, p FROM (SELECT tid, unnest(after) AS p FROM runs_net)) arcs WHERE list_contains(subnet, tid)").replace("cluster_id, subnet, src, tid, dst FROM", "cluster_id, src, dst FROM"))
+def cluster_arcs(spark, sf_dir):
+    """The arcs of the two clusters' subnets, from places to transitions and on."""
+    pair = clustering.best_pair(_covered(spark, sf_dir)[1])
+    chosen = pair.select(F.explode(F.array(F.struct(F.lit(1).alias("cluster_id"), F.col("first").alias("subnet")), F.struct(F.lit(2).alias("cluster_id"), F.col("second").alias("subnet")))).alias("c")).select("c.*")
+    return clustering.subnet_arcs(chosen, CHAT)
+
+
+@query(O.query(*_ASSIGN, select="SELECT l.case_id FROM log l JOIN assigned a ON a.trace = l.trace WHERE a.cluster_id IS NULL"))
+def unclustered_cases(spark, sf_dir):
+    """The cases that no cluster takes."""
+    taken = _assigned(spark, sf_dir).where("cluster_id is not null").select("trace")
+    return chat_log(spark, sf_dir).join(taken, "trace", "left_anti").select("case_id")
+
+
+@query(
+    O.query(
+        *_ASSIGN,
+        "cells AS (SELECT coalesce(a.cluster_id, 0) AS c1, least(len(l.trace), 5) AS c2, count(*) AS n FROM log l JOIN assigned a ON a.trace = l.trace GROUP BY ALL)",
+        "n11 AS (SELECT sum(n * (n - 1) / 2) AS n11 FROM cells), ones AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM cells GROUP BY c1)), twos AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM cells GROUP BY c2))",
+        select="SELECT round(n11 / (a + b - n11), 9) AS jaccard FROM n11, ones, twos",
+    )
+)
+def clusterings_jaccard(spark, sf_dir):
+    """How far two clusterings of the cases agree, that around subnets and that by length, joined by case."""
+    log = chat_log(spark, sf_dir)
+    first = log.join(_assigned(spark, sf_dir).select("trace", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id")), "trace").select("case_id", "cluster_id")
+    second = log.select("case_id", F.least(F.size("trace"), F.lit(5)).alias("cluster_id"))
+    return clustering.agreement(first, second)
+
+
 @query()
 def cluster_rounds(spark, sf_dir):
     """Rounds of clustering a sample of 10 variants around two subnets and absorbing others; null: no cluster."""
@@ -404,6 +495,22 @@ def nets_anti_alignment(spark, sf_dir):
     return netcompare.unmatched(nets.runs(spark, SHORT, STEPS, True), second, 0)
 
 
+#: The net of what follows what as arcs: its places are the roles, the start and the end.
+_FOLLOW_ARCS = f"""arcs AS (SELECT dst AS tid, dst AS label, src AS a, dst AS b, {O.COSTLY} + 1 AS c, true AS visible FROM arrows UNION ALL SELECT role || '|', role, src, '$', {O.COSTLY} + 1, true FROM ends)"""
+
+
+@query(O.query(O.CHATS, O.runs(SHORT, STEPS, True), "first AS (SELECT DISTINCT list_filter(run, lambda x: x <> 'w') AS run FROM runs)", _FOLLOWS, _FOLLOW_ARCS, O.alignments("", ["$"], "SELECT run AS trace FROM first"), select=f"SELECT array_to_string(trace, ' ') AS run, CAST(s.c // {O.COSTLY} AS INTEGER) AS nearest FROM ids LEFT JOIN best ON best.id = ids.id"))
+def nets_nearest(spark, sf_dir):
+    """The distance of each full run of a model from the nearest full run, however long, of the net of what follows what in the log."""
+    return netcompare.nearest(nets.runs(spark, SHORT, STEPS, True), logs.follows_net(chat_log(spark, sf_dir)))
+
+
+@query()
+def nets_counterexamples(spark, sf_dir):
+    """Runs of a model, of any length, that the net of what follows what cannot follow within one step: one for each way to end so."""
+    return netcompare.counterexamples(spark, SHORT, logs.follows_net(chat_log(spark, sf_dir)), 1)
+
+
 # Repair
 
 ROLES = ["assistant", "system", "user"]
@@ -443,5 +550,5 @@ def repair_best_action(spark, sf_dir):
 def repair_model(spark, sf_dir):
     """The actions of the repair of the tree, and the fitness after each."""
     log = logs.variants(chat_log(spark, sf_dir))
-    _, history = repair.repair(spark, TREE, [r[0] for r in logs.alphabet(log).collect()], log, STEPS, 3)  # an alphabet
+    _, history = repair.repair(spark, TREE, [r[0] for r in logs.alphabet(log).collect()], log, STEPS)  # an alphabet
     return spark.createDataFrame([(i, action, float(fitness)) for i, (action, fitness) in enumerate(history, 1)], "round int, action string, fitness double")
