@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,20 +181,81 @@ def subnet_arcs(clusters: DataFrame, net: Net) -> DataFrame:
     return used.join(F.broadcast(before.unionByName(after)), "tid").select("cluster_id", "src", "dst")  # a model's arcs
 
 
+def gram_entries(variants: DataFrame, longest: int = 3) -> DataFrame:
+    """(id, n_cases, gram): the runs of one to `longest` activities that each variant holds, once each; id numbers the variants."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("trace"), F.lit(1))), lambda i: i + k - 1 <= F.size("trace")), lambda i: F.slice("trace", i, k))))
+    return variants.select("id", "n_cases", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def _sums(rows: DataFrame, columns: list) -> np.ndarray:
+    """The sums of all products of two of the columns, as a square matrix; a handful of numbers."""
+    k = len(columns)
+    found = rows.agg(*[F.sum(columns[i] * columns[j]).alias(f"{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    out = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            out[i, j] = out[j, i] = found[f"{i}_{j}"] or 0.0
+    return out
+
+
+def _turned(columns: list, matrix: np.ndarray) -> list:
+    """The columns times a small matrix."""
+    return [reduce(lambda a, b: a + b, [c * float(matrix[i, j]) for i, c in enumerate(columns)]) for j in range(matrix.shape[1])]
+
+
+def principal_parts(entries: DataFrame, parts: int = 5, most_turns: int = 60, still: float = 1e-10) -> tuple[DataFrame, list[float]]:
+    """(id, f array<double>): each variant's coordinates on the first singular vectors of the matrix of entries(id, n_cases, gram), and the singular values.
+
+    A variant is a row of ones for its grams, counted n_cases times; nothing is centred. A block of vectors is multiplied by the matrix and
+    back in two aggregations a turn and made orthonormal by its products, until the values stand still. Grams and variants are joined,
+    never laid out as columns, and neither is capped. Signs are those that make the sum of a part's coordinates positive. Parts
+    beyond the matrix's rank are 0.
+    """
+    entries = settled(entries, "entries")
+    names = [f"v{j}" for j in range(parts)]
+    start = [(F.pmod(F.xxhash64(F.array_join("gram", "\x00"), F.lit(j)), F.lit(1 << 20)) / F.lit(1 << 19) - 1).alias(v) for j, v in enumerate(names)]
+    vectors = entries.select("gram").distinct().select("gram", *start)
+    before, values = None, np.zeros(parts)
+    forth = lambda v: entries.join(v, "gram").groupBy("id").agg(F.first("n_cases").alias("n"), *[F.sum(c).alias(c) for c in names])
+    for _ in range(most_turns):
+        rows = forth(vectors)
+        back = settled(entries.select("id", "gram").join(rows, "id").groupBy("gram").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names]), "vectors")
+        eigen, turn = np.linalg.eigh(_sums(back, [F.col(c) for c in names]))
+        alive = eigen > 1e-13 * max(eigen.max(), 1e-300)
+        turn = turn * np.where(alive, 1 / np.sqrt(np.where(alive, eigen, 1.0)), 0.0)
+        vectors = back.select("gram", *[c.alias(v) for c, v in zip(_turned([F.col(c) for c in names], turn), names, strict=True)])
+        values = np.sort(np.where(alive, eigen, 0.0))[::-1] ** 0.25  # of the matrix times its transpose, twice
+        if before is not None and np.abs(values - before).max() <= still * max(values.max(), 1e-300):
+            break
+        before = values
+    rows = settled(forth(vectors), "parts")
+    weighted = [F.sqrt("n") * F.col(c) for c in names]
+    eigen, turn = np.linalg.eigh(_sums(rows, weighted))
+    turn = turn[:, ::-1]
+    turned = _turned([F.col(c) for c in names], turn)
+    signs = [1.0 if (x or 0) >= 0 else -1.0 for x in rows.agg(*[F.sum(c * F.col("n")).alias(f"s{j}") for j, c in enumerate(turned)]).first()]
+    return rows.select("id", F.array(*[c * s for c, s in zip(turned, signs, strict=True)]).alias("f")), np.sqrt(np.maximum(eigen[::-1], 0)).tolist()
+
+
 def super_instances(log: DataFrame, k: int, parts: int = 5, seed: int = 7) -> DataFrame:
-    """(case_id, cluster, is_medoid): k-means over the first principal parts of binary 1- to 3-grams; a medoid is the case nearest its centre."""
-    from pyspark.ml import Pipeline
+    """(case_id, cluster, is_medoid): k-means over the first principal parts of binary 1- to 3-grams; a medoid is the case nearest its centre.
+
+    Cases of one variant share its cluster; the smallest case id among equals is the medoid. Empty traces stand at 0.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, CountVectorizer, NGram, SQLTransformer, VectorAssembler
-
-    grams = [NGram(n=n, inputCol="trace", outputCol=f"g{n}") for n in (1, 2, 3)]
-    counts = [CountVectorizer(inputCol=f"g{n}", outputCol=f"v{n}", binary=True, vocabSize=4096) for n in (1, 2, 3)]
-    whole = [VectorAssembler(inputCols=["v1", "v2", "v3"], outputCol="all"), PCA(k=parts, inputCol="all", outputCol="features"), SQLTransformer(statement="SELECT case_id, features FROM __THIS__"), KMeans(k=k, seed=seed, maxIter=100)]
-    model = Pipeline(stages=[*grams, *counts, *whole]).fit(log)
-    centres = log.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())], "prediction int, centre array<double>")
-    from pyspark.ml.functions import vector_to_array
-
-    rows = model.transform(log).withColumn("f", vector_to_array("features")).join(F.broadcast(centres), "prediction")  # k rows
-    far = rows.withColumn("d", F.aggregate(F.zip_with("f", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    medoids = far.groupBy("prediction").agg(F.min(F.struct("d", "case_id")).alias("m")).select("prediction", F.col("m.case_id").alias("medoid"))
-    return far.join(F.broadcast(medoids), "prediction").select("case_id", F.col("prediction").alias("cluster"), (F.col("case_id") == F.col("medoid")).alias("is_medoid"))
+    from pyspark.ml.functions import array_to_vector
+
+    variants = settled(log.groupBy("trace").agg(F.count("*").alias("n_cases"), F.min("case_id").alias("case")).withColumn("id", F.monotonically_increasing_id()), "variants")
+    found, _ = principal_parts(gram_entries(variants), parts)
+    rows = variants.join(found, "id", "left").withColumn("f", F.coalesce("f", F.array(*[F.lit(0.0)] * parts)))
+    rows = settled(rows, "instances")
+    if not rows.limit(1).count():
+        return rows.select(F.col("case").alias("case_id"), F.lit(0).alias("cluster"), F.lit(False).alias("is_medoid"))
+    model = KMeans(k=k, seed=seed, maxIter=100, weightCol="n_cases").fit(rows.select(array_to_vector("f").alias("features"), "n_cases"))
+    centres = [F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()]
+    far = lambda c: F.aggregate(F.zip_with("f", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    nearest = F.array_min(F.array(*[F.struct(far(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
+    placed = rows.select("trace", "case", nearest.alias("near")).select("trace", "case", "near.cluster", "near.d")
+    medoids = placed.groupBy("cluster").agg(F.min(F.struct("d", "case")).alias("m")).select("cluster", F.col("m.case").alias("medoid"))
+    named = placed.join(F.broadcast(medoids), "cluster").select("trace", "cluster", "medoid")  # k rows
+    return log.join(named, "trace").select("case_id", "cluster", (F.col("case_id") == F.col("medoid")).alias("is_medoid"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
 from petrilake.functions.numbering import families
-from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair, wholetrace
+from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair, subnets, wholetrace
 from petrilake.plans import oracle as O
 from petrilake.plans.models import CHAT, SHOP, SHORT, TREE
 from petrilake.session import table
@@ -421,6 +421,16 @@ def absorb_variants(spark, sf_dir):
     return spelled(clustering.absorb(_assigned(spark, sf_dir), 1).select("trace", "n_cases", "cluster_id"))
 
 
+_EITHER = "SELECT score FROM scores UNION ALL SELECT 100 * n - 2 * s - len(subnet) FROM alone"
+
+
+@query(O.query(*_PAIRS, select=f"SELECT CAST(max(score) AS BIGINT) AS score FROM ({_EITHER})"))
+def subnets_by_search(spark, sf_dir):
+    """The best score of at most two subnets around the variants of conversations, by branch and bound over sets of transitions."""
+    score, _ = subnets.best_subnets(logs.variants(chat_log(spark, sf_dir)), CHAT, 1, 4, 2)
+    return spark.createDataFrame([(score,)], "score bigint")
+
+
 @query(O.query(*_PAIRS, select="SELECT cluster_id, subnet, src, tid, dst FROM (SELECT 1 AS cluster_id, s1 AS subnet FROM pair UNION ALL SELECT 2, s2 FROM pair) c, (SELECT tid, p AS src, tid AS dst FROM (SELECT tid, unnest(before) AS p FROM runs_net) UNION ALL SELECT tid, tid, p FROM (SELECT tid, unnest(after) AS p FROM runs_net)) arcs WHERE list_contains(subnet, tid)").replace("cluster_id, subnet, src, tid, dst FROM", "cluster_id, src, dst FROM"))
 def cluster_arcs(spark, sf_dir):
     """The arcs of the two clusters' subnets, from places to transitions and on."""
@@ -476,6 +486,17 @@ def super_instances(spark, sf_dir):
     return clustering.super_instances(chat_log(spark, sf_dir), 4)
 
 
+@query()
+def clustering_study(spark, sf_dir):
+    """How far the clusters around subnets and those of the super-instances agree on the cases, with both numbers of clusters."""
+    log = chat_log(spark, sf_dir)
+    found, _ = clustering.sampled_clusters(logs.variants(log), CHAT, 10, WHOLE, 1, 4, 2, 2)
+    first = log.join(found.select("trace", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id")), "trace").select("case_id", "cluster_id")
+    second = clustering.super_instances(log, 4).select("case_id", F.col("cluster").alias("cluster_id"))
+    count = lambda c, name: c.agg(F.countDistinct("cluster_id").alias(name))
+    return clustering.agreement(first, second).crossJoin(count(first, "subnets")).crossJoin(count(second, "instances"))  # one row each
+
+
 _FOLLOWS = f"""turns AS (SELECT role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 arrows AS (SELECT DISTINCT coalesce(before, '') AS src, role AS dst FROM turns),
 ends AS (SELECT DISTINCT coalesce(before, '') AS src, role FROM turns WHERE after IS NULL),

@@ -1,13 +1,15 @@
 """Whole-trace sums, alignment moves, comparison instant by instant, net comparison and repair against plain searches."""
 
 import itertools
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_model2 import MODEL, SMALL, TRACES, log_of
 
 from petrilake.functions import distances as D
-from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair, wholetrace
+from petrilake.operators import alignment, artefacts, clustering, logs, netcompare, nets, repair, subnets, wholetrace
 from petrilake.operators.nets import Net
 from petrilake.plans.models import CHAT, SHORT, TREE
 
@@ -203,3 +205,82 @@ def test_sample_is_stable(spark):
     ids = lambda seed: [r.case_id for r in logs.sample(log.repartition(7), 10, seed).collect()]
     assert ids(1) == ids(1) != ids(2) and len(set(ids(1))) == 10
     assert D.WAIT == "w"
+
+
+def test_principal_parts_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [("".join(rng.choice(list("abcde"), rng.integers(0, 9))), int(rng.integers(1, 5))) for _ in range(25)]
+    rows = sorted(dict(rows).items())
+    table = spark.createDataFrame([(i, list(w), n) for i, (w, n) in enumerate(rows)], "id long, trace array<string>, n_cases long")
+    grams = [sorted({w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)}) for w, _ in rows]
+    names = sorted({g for own in grams for g in own})
+    matrix = np.array([[g in own for g in names] for own in grams], float)
+    weights = np.array([n for _, n in rows], float)
+    _, values, right = np.linalg.svd(matrix * np.sqrt(weights)[:, None], full_matrices=False)
+    found, got = clustering.principal_parts(clustering.gram_entries(table), 3)
+    assert got == pytest.approx(values[:3].tolist(), rel=1e-6)
+    want = matrix @ right[:3].T
+    coordinates = {r.id: r.f for r in found.collect()}
+    for j in range(3):
+        sign = 1 if (want[:, j] * weights).sum() >= 0 else -1
+        for i, (w, _) in enumerate(rows):
+            assert coordinates.get(i, [0.0] * 3)[j] == pytest.approx(sign * want[i, j], abs=1e-4)
+    one = table.where("id = 1")
+    assert clustering.principal_parts(clustering.gram_entries(one), 4)[1][1:] == pytest.approx([0, 0, 0], abs=1e-6)  # of rank one
+
+
+def test_super_instances(spark):
+    words = ["abab", "abab", "abba", "", "xyz", "xyzz", "xyz", "xyz"]
+    log = spark.createDataFrame([(10 + i, list(w)) for i, w in enumerate(words)], "case_id long, trace array<string>")
+    rows = clustering.super_instances(log, 2, parts=2).collect()
+    cluster = {r.case_id: r.cluster for r in rows}
+    assert len(rows) == 8 and len({cluster[i] for i in (14, 15, 16, 17)}) == 1 and len({cluster[i] for i in (10, 11, 12)}) == 1 and cluster[10] != cluster[14]
+    assert sum(r.is_medoid for r in rows) == 2 and 14 in {r.case_id for r in rows if r.is_medoid}
+    assert clustering.super_instances(log.limit(0), 2).count() == 0
+
+
+@pytest.mark.parametrize(("most", "transitions", "distance"), [(2, 5, 0), (2, 5, 2), (3, 5, 0), (3, 4, 1), (1, 8, 1)])
+def test_subnets_by_search(spark, log, most, transitions, distance):
+    full = nets.runs(spark, MODEL, 10, True)
+    covered = clustering.coverage(log, full, clustering.subnets(full, transitions), distance)
+    want = clustering.best_subnets(covered, most)
+    score = lambda sets: sum(max([0, *(100 - 2 * r.cost for r in rows.get(w, ()) if r.subnet in sets)]) for w in TRACES) - sum(map(len, sets)) - 2 * sum(len(set(a) & set(b)) for a, b in itertools.combinations(sets, 2))
+    rows = {}
+    for r in covered.collect():
+        rows.setdefault("".join(r.trace), []).append(r)
+    got, found = subnets.best_subnets(log, MODEL, distance, transitions, most)
+    assert got == score(want) and len(found) <= most and all(len(s) <= transitions for s in found)
+
+
+def large_net(blocks):
+    """Blocks in a row, each a choice of two concurrent pairs and a silent way around: 9 transitions a block."""
+    out = []
+    for i in range(blocks):
+        s, e = f"s{i}", f"s{i + 1}"
+        for side in "ab":
+            a = f"{side}{i}"
+            out.append((f"{a}split", "tau", True, (s,), (f"{a}l", f"{a}r")))
+            out += [(f"{a}{w}", f"{a}{w}".upper(), False, (f"{a}{w}",), (f"{a}{w}done",)) for w in "lr"]
+            out.append((f"{a}join", "tau", True, (f"{a}ldone", f"{a}rdone"), (e,)))
+        out.append((f"skip{i}", "tau", True, (s,), (e,)))
+    return Net(tuple(out), ("s0",), (f"s{blocks}",))
+
+
+def test_subnets_of_a_large_net(spark):
+    net = large_net(10)  # 90 transitions
+    traces = []
+    for way in ("a" * 10, "b" * 10, "ab" * 5):
+        for turned in (False, True):
+            traces.append([x for i, side in enumerate(way) if not (turned and i == 4) for x in ((f"{side}{i}r".upper(), f"{side}{i}l".upper()) if turned else (f"{side}{i}l".upper(), f"{side}{i}r".upper()))])
+    traces.append(traces[0][:7] + ["NOISE"] + traces[0][7:])
+    table = spark.createDataFrame([(t, 2 + i) for i, t in enumerate(traces)], "trace array<string>, n_cases long")
+    began = time.monotonic()
+    score, found = subnets.best_subnets(table, net, 1, 41, 3)
+    assert time.monotonic() - began < 60
+    assert len(found) == 3 and sorted(len(s) for s in found) == [41, 41, 41]
+    cases = sum(2 + i for i in range(7))
+    shared = sum(len(set(a) & set(b)) for a, b in itertools.combinations(found, 2))
+    assert score == 100 * cases - 2 * 8 - sum(map(len, found)) - 2 * shared
+    with pytest.raises(ValueError, match="sample"):
+        subnets.best_subnets(spark.createDataFrame([([str(i)], 1) for i in range(65)], "trace array<string>, n_cases long"), net, 1, 41, 3)
+    assert subnets.best_subnets(table.limit(0), net, 1, 41, 3) == (0, [])
