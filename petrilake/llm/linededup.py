@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
                 lines = (t or "").split("\n")
                 if drop:
                     gone = set(drop)
-                    stay = [x for x, h in zip(lines, _hashes(t, min_chars), strict=True) if h not in gone]
+                    stay = [x for x, h in zip(lines, _hashes(t or "", min_chars), strict=True) if h not in gone]
                 else:
                     stay = lines
                 texts.append("\n".join(stay))

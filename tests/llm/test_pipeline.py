@@ -6,6 +6,7 @@ import sys
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import plain
@@ -50,3 +51,35 @@ def test_pipeline(spark):
 def test_stages_keep_columns(spark, k):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, docs, DATA).columns == docs.columns
+
+
+EXTRA = {"_id": 1, "classes": "x", "n_words": 2.5, "spans": None, "n_lines": "y", "kept": True, "component_id": 3, "_drop": "z", "a.b": "dot"}
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_of_odd_rows(spark, k):
+    """Nulls, empty and long texts, repeated rows, ties and clashing columns; extra columns come through unchanged."""
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
+    words = [f"word{i * 7919 % 1009}" for i in range(400)]
+    prose = "\n".join(" ".join(words[i : i + 10]) for i in range(0, 400, 10))
+    rows = [(1, prose), (2, prose), (2, prose), (3, None), (4, ""), (None, prose), (None, None), (5, "x" * 200_000 + "\n" + prose), (6, f"{' '.join(words[::-1])}\n{benchmark}"), (7, " ".join(words[200:] + words[:100]))]
+    table = spark.createDataFrame([(i, t, None, "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = table.select("*", *[F.lit(v).cast("string" if v is None else type(v).__name__.replace("str", "string").replace("float", "double").replace("bool", "boolean")).alias(c) for c, v in EXTRA.items()])
+    out = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    for r in got:
+        assert [r[5 + i] for i in range(len(EXTRA))] == list(EXTRA.values())
+    ids = sorted((r.doc_id for r in got), key=str)
+    if k == 0:
+        assert None in ids and {1, 2, 5, 7} <= set(ids) and not {3, 4} & set(ids)
+    elif k == 1:
+        assert len(got) == len(rows) and [r.text for r in got if r.doc_id == 2] == [r.text for r in got if r.doc_id == 2][:1] * 2
+        texts = {r.doc_id: r.text for r in got}
+        assert texts[1] == "" and texts[2] == "" and texts[5].endswith(prose)  # the largest id keeps the lines
+        assert texts[3] == texts[4] == ""
+    elif k == 2:
+        assert ids.count(1) == 1 and not {2, 5} & set(ids) and {3, 4, 6, 7} <= set(ids) and None in ids
+    else:
+        assert len(got) == len(rows) and all(benchmark not in (r.text or "") for r in got)
+        assert [r.text for r in got if r.doc_id == 1] == [prose] and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
