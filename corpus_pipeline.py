@@ -1,10 +1,16 @@
 """From raw documents to token ids in five stages, each written as Parquet and read again by the next.
 
 Every stage works on all that its predecessor kept and returns the columns of documents, but the last, which returns the ids.
+
+Columns that documents do not have of their own, whatever their names, pass through the first four stages unread and unchanged.
+Repeated rows are judged alike; line dedup and near duplicates take rows of one id as one document. A null id is an id like any other, but linked with
+nothing. Null texts are empty to the rules (and fail them), one empty line to line dedup, without words to the others. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +19,21 @@ from petrilake.llm import bpe, decontaminate, linededup, ngram_join, quality
 from petrilake.llm.common import written
 
 
+#: The columns that the stages know; others are carried under names that no operator uses.
+OWN = {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def _carrying(stage):
+    """The stage, with all other columns of its documents handed on under their own names."""
+
+    @wraps(stage)
+    def f(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"__carried_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return f
+
+
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars of the new text."""
     if "n_chars" in columns:
@@ -20,16 +41,19 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+@_carrying
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose histograms are far from their language's, go."""
     return quality.judge(docs, refs=written(quality.references(docs), "references")).where("kept").select(*docs.columns)
 
 
+@_carrying
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents hold stay in the one of the largest id."""
     return _counted(linededup.dedup_lines(docs, 20, 3), docs.columns)
 
 
+@_carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that similarity 0.8 links, the one of the smallest id stays.
 
@@ -39,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_carrying
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The benchmark's passages are cut out of the texts."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
