@@ -439,10 +439,10 @@ def cluster_arcs(spark, sf_dir):
     return clustering.subnet_arcs(chosen, CHAT)
 
 
-@query(O.query(*_ASSIGN, select="SELECT l.case_id FROM log l JOIN assigned a ON a.trace = l.trace WHERE a.cluster_id IS NULL"))
+@query(O.query(*_ASSIGN, select="SELECT l.case_id FROM log l JOIN assigned a ON a.trace = l.trace WHERE a.cluster_id IS NULL OR a.cost > 0"))
 def unclustered_cases(spark, sf_dir):
-    """The cases that no cluster takes."""
-    taken = _assigned(spark, sf_dir).where("cluster_id is not null").select("trace")
+    """The cases that no cluster takes without a difference."""
+    taken = _assigned(spark, sf_dir).where("cluster_id is not null and cost = 0").select("trace")
     return chat_log(spark, sf_dir).join(taken, "trace", "left_anti").select("case_id")
 
 
@@ -528,8 +528,8 @@ def nets_nearest(spark, sf_dir):
 
 @query()
 def nets_counterexamples(spark, sf_dir):
-    """Runs of a model, of any length, that the net of what follows what cannot follow within one step: one for each way to end so."""
-    return netcompare.counterexamples(spark, SHORT, logs.follows_net(chat_log(spark, sf_dir)), 1)
+    """Runs of a model, of any length, that the net of what follows what cannot follow: one for each way to end so."""
+    return netcompare.counterexamples(spark, SHORT, logs.follows_net(chat_log(spark, sf_dir)), 0)
 
 
 # Repair
