@@ -61,6 +61,8 @@ PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the",
 APART, VOID, COMMENT, ENDS = "[^a-z0-9.\\-]+", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
 #: Lines or sentences of a paragraph that are read together at most.
 RUN = 5
+#: A licence that is taken only where nothing else matches: its phrase stands above most other notices.
+LAST_RESORT = "LicenseRef-proprietary"
 #: A directory with more than this share of all files is handed its licence by broadcast.
 HOT = 1e-4
 
@@ -132,7 +134,8 @@ def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
 def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, run: int = RUN) -> DataFrame:
     """(id, licence, score, opens) of the files(id, text) with a piece close enough to a template.
 
-    A match of the whole text counts before one of the header, and that before a run's; then the best score, the first place and the last name.
+    LAST_RESORT counts after all others. A match of the whole text counts before one of the header, and that before a run's; then the best
+    score, the first place and the last name.
     ``opens``: the piece begins the text.
     """
     weights = written(template_weights(files.sparkSession, templates), "templates")
@@ -150,7 +153,7 @@ def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str,
     per = dots.groupBy(*piece).agg(norm, F.collect_list(F.when(F.col("template") >= 0, F.struct("template", F.col("x").alias("dot")))).alias("dots"))
     scored = per.select(*piece, "norm", F.inline("dots")).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold).join(F.broadcast(names), "template")
     opens = ((F.col("kind") > 0) | ((F.col("block") == 0) & (F.col("first") == 0))).alias("opens")
-    best = F.max_by(F.struct("licence", "score", opens), F.struct("kind", "score", -F.col("block"), -F.col("first"), "licence", F.col("length")))
+    best = F.max_by(F.struct("licence", "score", opens), F.struct((F.col("licence") != LAST_RESORT).alias("first_choice"), "kind", "score", -F.col("block"), -F.col("first"), "licence", F.col("length")))
     return scored.groupBy("id").agg(best.alias("b")).select("id", "b.licence", "b.score", "b.opens")
 
 

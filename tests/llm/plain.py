@@ -184,5 +184,5 @@ def own_licence(text, templates, threshold=0.8, run=5):
             for name, w in known:
                 score = round(sum(x * w.get(t, 0) for t, x in v.items()), 9)
                 if score >= threshold:
-                    best = max(best or (), (kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: x[:5])
+                    best = max(best or (), (kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: (x[4:5] != ("LicenseRef-proprietary",), *x[:5]))
     return best and (best[4], best[1], best[5])

@@ -459,6 +459,14 @@ def licence_texts():
     ]
 
 
+def test_rights_reserved_above_a_licence(spark):
+    bsd, mit = licenses.TEMPLATES["BSD-2-Clause"][-1], licenses.TEMPLATES["MIT"][-1]
+    above = "Copyright (c) 2021 Some Person\nAll rights reserved.\n\n"
+    rows = [(1, above + bsd + "\n\nfirst words of other prose\nand more of it\n" * 3), (2, above + bsd.replace("the copyright holder", "Some Person") + "\n"), (3, above + mit), (4, above + "nothing else stands here")]
+    got = {r.id: r.licence for r in licenses.own_licences(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {1: "BSD-2-Clause", 2: "BSD-2-Clause", 3: "MIT", 4: "LicenseRef-proprietary"}
+
+
 def test_licences_against_all_cosines(spark):
     texts = licence_texts()
     rows = [(i, t) for i, (_, t) in enumerate(texts)]
