@@ -1,12 +1,14 @@
 """License scans: sparse TF-IDF cosine of notices, headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
 A file gives several pieces, each a vector of TF-IDF weights over its terms: the whole text, its header (the comment lines that it opens with),
-every paragraph, and every run of up to ``RUN`` neighbouring lines or sentences of a paragraph, so that wrapped notices and those with
-more sentences beside them are seen. Each piece is compared with each template by cosine. Weights come from the templates alone: a term
+every paragraph, and runs of neighbouring lines or sentences of a paragraph, so that wrapped notices and those with more sentences beside
+them are seen. From each line or sentence on, the runs that meet a template are the shortest ones with ``LENGTHS`` times as many terms as the
+template, however many lines that takes. Pieces are compared with templates by cosine. Weights come from the templates alone: a term
 in none of them has the largest weight, so that words beside a notice lower its cosine. A term's frequency is 1 + ln of its count.
 
-Pieces that cannot reach the threshold are left out by a bound that loses none: the rarest terms of each template that hold more than
-1 - threshold^2 of its squared weight are telling, and without one of them a piece's cosine is below the threshold.
+Bounds that lose none leave out what cannot reach the threshold, template by template: a text, a paragraph and a run must hold more than
+threshold^2 of the template's squared weight, and so one of its telling terms (the rarest ones that hold more than 1 - threshold^2 of it);
+and a whole text or paragraph must not hold too many different terms that no template has. Only runs that are left are exploded to terms.
 
 A licence file's licence holds for its directory. Each distinct directory meets its ancestors in a join on the path, takes the deepest
 one's licence, and hands it to the files without one of their own. Only DataFrame functions are used.
@@ -14,6 +16,8 @@ one's licence, and hands it to the files without one of their own. Only DataFram
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +63,8 @@ TEMPLATES = {
 PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by", "for", "on", "be", "from", "that", "at", "may", "not", "but", "as", "an", "was", "do", "no", "if", "its", "so", "such", "one", "other", "out", "nor", "either", "must", "way", "whom", "whether", "used", "your", "has", "have", "been", "even", "1", "2", "3"]
 #: What separates terms, lines without a term, how comment lines begin, where lines and sentences end.
 APART, VOID, COMMENT, ENDS = "[^a-z0-9.\\-]+", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
-#: Lines or sentences of a paragraph that are read together at most.
-RUN = 5
+#: How many terms the runs of lines or sentences hold, as shares of the template's.
+LENGTHS = (0.65, 0.8, 1.0, 1.25)
 #: A licence that is taken only where nothing else matches: its phrase stands above most other notices.
 LAST_RESORT = "LicenseRef-proprietary"
 #: A directory with more than this share of all files is handed its licence by broadcast.
@@ -73,24 +77,24 @@ def terms_of(text: Column) -> Column:
 
 
 def template_weights(spark, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(template, licence, term, weight, idf): unit vectors; as many rows as the templates have terms."""
+    """(template, licence, term, weight, idf, n, size): unit vectors, terms' counts, squared lengths before; as many rows as the templates have terms."""
     rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, ts in templates.items() for t in ts)]
-    terms = spark.createDataFrame(rows, "template int, licence string, text string").select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg((F.log(F.count("*")) + 1).alias("tf"))
+    terms = spark.createDataFrame(rows, "template int, licence string, text string").select("template", "licence", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("n"))
     df = terms.groupBy("term").agg(F.countDistinct("template").alias("df"))
-    weighted = terms.join(F.broadcast(df), "term").withColumn("idf", F.log((1.0 + len(rows)) / (1.0 + F.col("df"))) + 1).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(F.broadcast(norm), "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    weighted = terms.join(F.broadcast(df), "term").withColumn("idf", F.log((1.0 + len(rows)) / (1.0 + F.col("df"))) + 1).withColumn("w", (F.log("n") + 1) * F.col("idf"))
+    size = weighted.groupBy("template").agg(F.sum(F.col("w") * F.col("w")).alias("size"))
+    return weighted.join(F.broadcast(size), "template").select("template", "licence", "term", (F.col("w") / F.sqrt("size")).alias("weight"), "idf", "n", "size")
 
 
-def telling_terms(weights: DataFrame, threshold: float) -> list[str]:
-    """Terms without which no text's cosine with any template reaches the threshold; the weights are those of the templates, a fixed number."""
-    telling, held = set(), {}
-    for r in sorted(weights.collect(), key=lambda r: (r.template, r.term in PLAIN, -r.idf, -r.weight, r.term)):
+def telling_terms(weights: list, threshold: float) -> dict[int, list[str]]:
+    """Of each template the terms without which no text's cosine with it reaches the threshold; the rows of template_weights, a fixed number."""
+    telling, held = {}, {}
+    for r in sorted(weights, key=lambda r: (r.template, r.term in PLAIN, -r.idf, -r.weight, r.term)):
         # the rest's squared weight is below threshold^2 once more than this is held
         if held.get(r.template, 0.0) <= 1 - threshold * threshold + 1e-6:
-            telling.add(r.term)
+            telling.setdefault(r.template, []).append(r.term)
             held[r.template] = held.get(r.template, 0.0) + r.weight * r.weight
-    return sorted(telling)
+    return telling
 
 
 def holds(text: Column, telling: list[str]) -> Column:
@@ -103,13 +107,63 @@ def once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
-    """(id, text_hash, kind, block, first, length, terms): the pieces of files(id, text) that hold a telling term.
+def described(weights: list, telling: dict[int, list[str]]) -> Column:
+    """The templates as one constant: number, count of terms, different terms with their squared weights, telling terms."""
+    found = [{"template": t, "n": sum(r.n for r in rows), "terms": [{"name": r.term, "square": r.weight * r.weight} for r in rows], "telling": telling[t]} for t in sorted(telling) if (rows := [r for r in weights if r.template == t])]
+    return F.from_json(F.lit(json.dumps(found)), "array<struct<template:int,n:int,terms:array<struct<name:string,square:double>>,telling:array<string>>>")
+
+
+def runs_of(units: Column, t: Column) -> Column:
+    """The runs (first from 1, length) of units, arrays of terms, that hold a telling term of the template t and LENGTHS times as many terms as it."""
+    reach = F.ceil(t["n"] * max(LENGTHS)).cast("int")  # every unit has a term
+
+    def length(sizes: Column, least: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("terms"), F.lit(0).alias("units"))
+        return F.aggregate(sizes, begin, lambda a, x: F.when(a["terms"] >= least, a).otherwise(F.struct((a["terms"] + x).alias("terms"), (a["units"] + 1).alias("units"))))["units"]
+
+    def spans(told: Column, sizes: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.array_contains(F.slice(told, i, reach), True))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.array_distinct(F.array(*[length(F.slice(sizes, i, reach), t["n"] * x) for x in LENGTHS])), lambda n: F.struct(i.alias("first"), n.alias("length")))))
+
+    return once(F.transform(units, lambda u: F.arrays_overlap(u, t["telling"])), lambda told: once(F.transform(units, F.size), lambda sizes: spans(told, sizes)))
+
+
+def pieces(files: DataFrame, weights: list, threshold: float) -> DataFrame:
+    """(id, text_hash, kind, block, first, length, template, terms): the pieces of files(id, text) that may reach the threshold with a template.
 
     kind: 2 the whole text, 1 its header, 0 a run within a paragraph (its number is ``block``; a length of 0: all of it).
-    Equal rows give their pieces once. The texts are dealt by id and hash, so that what follows groups pieces where they are.
+    Equal rows give their pieces once.
     """
-    docs = files.where("id is not null").where(holds(F.col("text"), telling)).groupBy("id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    per = telling_terms(weights, threshold)
+    telling, vocabulary = sorted({x for xs in per.values() for x in xs}), F.array(*map(F.lit, sorted({r.term for r in weights})))
+    known, least = described(weights, per), threshold * threshold - 1e-9
+
+    def enough(present: Column, t: Column) -> Column:
+        """Whether the terms hold so much of the template's weight that the cosine may reach the threshold."""
+        held = F.aggregate(t["terms"], F.lit(0.0), lambda s, x: s + F.when(F.array_contains(present, x["name"]), x["square"]).otherwise(0.0))
+        return F.when(F.arrays_overlap(present, t["telling"]), held >= least).otherwise(False)
+
+    def compact(terms: Column, present: Column, t: Column) -> Column:
+        """Whether the whole is not ruled out by its different terms that no template has: each has the largest weight, the template's terms together at most as much as when all are equally frequent."""
+        d = F.size(t["terms"])
+        top = F.pow(F.log(F.greatest(F.size(terms) / d, F.lit(1.0))) + 1, F.lit(2.0)) * d
+        return F.size(F.array_distinct(terms)) - F.size(present) <= top * (1 / (threshold * threshold) - 1) + 1e-6
+
+    def possible(text: Column, of: Column) -> Column:
+        """Of the templates numbered in ``of`` (places in known): those that the text may match in a run, and whether it may as a whole."""
+        def judged(terms: Column, present: Column) -> Column:
+            near = F.filter(of, lambda m: enough(present, F.element_at(known, m)))
+            return F.transform(near, lambda m: F.struct(m.alias("m"), compact(terms, present, F.element_at(known, m)).alias("whole")))
+
+        return once(terms_of(text), lambda terms: once(F.array_intersect(vocabulary, terms), lambda present: judged(terms, present)))
+
+    def kept(found: Column, then) -> Column:
+        """then(found) in an array, empty where nothing is found; taken as a generator's input, so that it is computed once."""
+        return F.transform(F.filter(F.array(found), lambda x: F.size(x) > 0), then)
+
+    every = F.sequence(F.lit(1), F.size(known))
+    docs = files.where("id is not null").where(holds(F.col("text"), telling))
+    docs = docs.select("id", "text", F.explode(kept(possible(F.col("text"), every), lambda x: x)).alias("near"))
     lines = F.split("text", "\n")
     stop = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False).cast("int")
     header = F.array_join(F.slice(lines, 1, F.greatest(stop - 1, F.lit(0))), "\n")
@@ -118,42 +172,43 @@ def pieces(files: DataFrame, telling: list[str], run: int = RUN) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), block.alias("block"), text.alias("text"))
 
     blocks = F.transform(F.split(F.ltrim(F.regexp_replace("text", VOID, ""), F.lit("\n")), "\n\n+"), lambda x, i: part(0, i, x))
-    parts = docs.select("id", "text_hash", F.inline(F.concat(F.array(part(2, F.lit(0), F.col("text")), part(1, F.lit(0), header)), blocks))).where(holds(F.col("text"), telling))
-    lone = F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length")))
-    parts = parts.withColumn("parts", F.when(F.col("kind") > 0, F.array("text")).otherwise(F.split("text", ENDS)))
-    count = F.size("parts")
-    around = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(run), count - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("length")))))
-    tells = F.transform("parts", lambda x: holds(x, telling))
-    spans = once(tells, lambda told: F.filter(around, lambda s: F.array_contains(F.slice(told, s["first"], s["length"]), True)))
-    spans = F.when(F.col("kind") > 0, lone).when(count > run, F.concat(spans, lone)).otherwise(spans)
-    taken = F.when(F.col("s.length") > 0, F.array_join(F.slice("parts", F.col("s.first"), F.col("s.length")), " ")).otherwise(F.col("text"))
-    span = parts.select("id", "text_hash", "kind", "block", "text", "parts", F.explode(spans).alias("s")).select("id", "text_hash", "kind", "block", (F.col("s.first") - 1).alias("first"), F.col("s.length").alias("length"), taken.alias("text"))
-    return span.withColumn("terms", terms_of(F.col("text"))).drop("text")
-
-
-def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, run: int = RUN) -> DataFrame:
+    parts = docs.select("id", F.xxhash64("text").alias("text_hash"), F.transform("near", lambda x: x["m"]).alias("of"), F.inline(F.concat(F.array(part(2, F.lit(0), F.col("text")), part(1, F.lit(0), header)), blocks)))
+    units = F.filter(F.transform(F.when(F.col("kind") > 0, F.array("text")).otherwise(F.split("text", ENDS)), terms_of), lambda u: F.size(u) > 0)
+    parts = parts.select("id", "text_hash", "kind", "block", F.inline(kept(possible(F.col("text"), F.col("of")), lambda x: F.struct(x.alias("near"), units.alias("units")))))
+    parts = parts.select("id", "text_hash", "kind", "block", "units", F.inline("near"))
+    t = F.element_at(known, F.col("m"))
+    all_of_it = F.when(F.col("whole"), F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("length")))).otherwise(F.array().cast("array<struct<first:int,length:int>>"))
+    spans = F.when(F.col("kind") > 0, all_of_it).otherwise(F.concat(runs_of(F.col("units"), t), all_of_it))
+
+    def run(s: Column) -> Column:
+        terms = F.flatten(F.when(s["length"] > 0, F.slice("units", s["first"], s["length"])).otherwise(F.col("units")))
+        return F.struct((s["first"] - 1).alias("first"), s["length"].alias("length"), terms.alias("terms"))
+
+    runs = F.filter(F.transform(spans, run), lambda r: enough(r["terms"], t))
+    key = ["id", "text_hash", "kind", "block", "first", "length", "template"]
+    return parts.select("id", "text_hash", "kind", "block", t["template"].alias("template"), F.inline(runs)).dropDuplicates(key).select(*key, "terms")
+
+
+def own_licences(files: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(id, licence, score, opens) of the files(id, text) with a piece close enough to a template.
 
-    LAST_RESORT counts after all others. A match of the whole text counts before one of the header, and that before a run's; then the best
-    score, the first place and the last name.
+    LAST_RESORT counts after all others. Then the match counts that has most of a template: the template's squared length times
+    what the squared cosine is above the squared threshold. Of equal ones a whole text's counts before a header's, and that before a run's;
+    then the best score, the first place and the last name.
     ``opens``: the piece begins the text.
     """
-    weights = written(template_weights(files.sparkSession, templates), "templates")
-    index = weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "weight")).alias("in"))
-    names = weights.select("template", "licence").distinct()
+    table = written(template_weights(files.sparkSession, templates), "templates")
+    weights = table.collect()  # templates' terms, a fixed number, as in the broadcasts
     unseen = F.log(F.lit(1.0 + sum(len(t) for t in templates.values()))) + 1
-    piece = ["id", "text_hash", "kind", "block", "first", "length"]
-    near = pieces(files, telling_terms(weights, threshold), run)
-    tf = near.select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg((F.log(F.count("*")) + 1).alias("tf"))
-    vectors = tf.join(F.broadcast(index), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))  # templates' terms, a fixed number
-    # a piece's squared length goes with its products as template -1
-    shares = F.concat(F.array(F.struct(F.lit(-1).alias("template"), (F.col("w") * F.col("w")).alias("x"))), F.coalesce(F.transform("in", lambda t: F.struct(t["template"].alias("template"), (F.col("w") * t["weight"]).alias("x"))), F.array().cast("array<struct<template:int,x:double>>")))
-    dots = vectors.select(*piece, F.inline(shares)).groupBy(*piece, "template").agg(F.sum("x").alias("x"))
-    norm = F.max(F.when(F.col("template") < 0, F.sqrt("x"))).alias("norm")
-    per = dots.groupBy(*piece).agg(norm, F.collect_list(F.when(F.col("template") >= 0, F.struct("template", F.col("x").alias("dot")))).alias("dots"))
-    scored = per.select(*piece, "norm", F.inline("dots")).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold).join(F.broadcast(names), "template")
+    piece = ["id", "text_hash", "kind", "block", "first", "length", "template"]
+    tf = pieces(files, weights, threshold).select(*piece, F.explode("terms").alias("term")).groupBy(*piece, "term").agg((F.log(F.count("*")) + 1).alias("tf"))
+    vectors = tf.join(F.broadcast(table.select("term", "idf").distinct()), "term", "left").join(F.broadcast(table.select("template", "term", "weight")), ["template", "term"], "left")
+    w = F.col("tf") * F.coalesce("idf", unseen)
+    dots = vectors.groupBy(*piece).agg((F.sum(w * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(w * w))).alias("cosine"))
+    scored = dots.withColumn("score", F.round("cosine", 9)).where(F.col("score") >= threshold).join(F.broadcast(table.select("template", "licence", "size").distinct()), "template")
     opens = ((F.col("kind") > 0) | ((F.col("block") == 0) & (F.col("first") == 0))).alias("opens")
-    best = F.max_by(F.struct("licence", "score", opens), F.struct((F.col("licence") != LAST_RESORT).alias("first_choice"), "kind", "score", -F.col("block"), -F.col("first"), "licence", F.col("length")))
+    most = F.round(F.col("size") * (F.col("score") * F.col("score") - threshold * threshold), 4)
+    best = F.max_by(F.struct("licence", "score", opens), F.struct((F.col("licence") != LAST_RESORT).alias("first_choice"), most.alias("most"), "kind", "score", -F.col("block"), -F.col("first"), "licence", F.col("length")))
     return scored.groupBy("id").agg(best.alias("b")).select("id", "b.licence", "b.score", "b.opens")
 
 

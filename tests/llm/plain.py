@@ -148,7 +148,7 @@ def spread_verdicts(edges, allowed, blocked, pages, threshold=1.0, evidence=0.5)
     return out
 
 
-def own_licence(text, templates, threshold=0.8, run=5):
+def own_licence(text, templates, threshold=0.8, lengths=(0.65, 0.8, 1.0, 1.25)):
     """(licence, score, opens) of a text's best piece by all cosines with all templates, or None."""
     def terms(x):
         return [t for t in (t.rstrip(".") for t in re.split(r"[^a-z0-9.\-]+", x.lower())) if t]
@@ -158,15 +158,15 @@ def own_licence(text, templates, threshold=0.8, run=5):
 
     def vector(c):
         v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+        size = sum(x * x for x in v.values())
+        return {t: x / math.sqrt(size) for t, x in v.items()}, size
 
-    known = [(name, vector(c)) for name, c in rows]
+    known = [(name, *vector(c), sum(c.values())) for name, c in rows]
     lines = text.split("\n")
-    found = [(2, 0, 0, 0, text)]
+    found = [(2, 0, 0, 0, text, None)]
     stop = next((i for i, x in enumerate(lines) if not re.search(r'^[ \t]*(#|//|/\*|\*|--|;|<!--|%|"|$)', x)), 0)
     if stop:
-        found.append((1, 0, 0, 0, "\n".join(lines[:stop])))
+        found.append((1, 0, 0, 0, "\n".join(lines[:stop]), None))
     blocks = [[]]
     for line in lines:
         if re.search("[A-Za-z0-9]", line):
@@ -174,15 +174,26 @@ def own_licence(text, templates, threshold=0.8, run=5):
         elif blocks[-1]:
             blocks.append([])
     for b, block in enumerate(blocks):
-        parts = re.split("\n|(?<=[.;]) +", "\n".join(block))
-        spans = [(i, n) for i in range(len(parts)) for n in range(1, min(run, len(parts) - i) + 1)] + [(0, len(parts))]
-        found += [(0, b, i, n, " ".join(parts[i : i + n])) for i, n in spans]
+        parts = [x for x in re.split("\n|(?<=[.;]) +", "\n".join(block)) if terms(x)]
+        counts = [len(terms(x)) for x in parts]
+        spans = {(0, len(parts)): None}  # of the template's number of terms that the run is for
+        for i in range(len(parts)):
+            for size in {n for *_, n in known}:
+                for share in lengths:
+                    end, held = i, 0
+                    while end < len(parts) and held < size * share:
+                        held += counts[end]
+                        end += 1
+                    if spans.get((i, end - i), ()) is not None:
+                        spans.setdefault((i, end - i), set()).add(size)
+        found += [(0, b, i, n, " ".join(parts[i : i + n]), sizes) for (i, n), sizes in spans.items()]
     best = None
-    for kind, b, i, n, piece in found:
+    for kind, b, i, n, piece, sizes in found:
         if c := Counter(terms(piece)):
-            v = vector(c)
-            for name, w in known:
+            v, _ = vector(c)
+            for name, w, size, count in known:
                 score = round(sum(x * w.get(t, 0) for t, x in v.items()), 9)
-                if score >= threshold:
-                    best = max(best or (), (kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: (x[4:5] != ("LicenseRef-proprietary",), *x[:5]))
-    return best and (best[4], best[1], best[5])
+                if score >= threshold and (sizes is None or count in sizes):
+                    most = round(size * (score * score - threshold * threshold), 4)
+                    best = max(best or (), (most, kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: (x[5:6] != ("LicenseRef-proprietary",), *x[:6]))
+    return best and (best[5], best[2], best[6])

@@ -455,6 +455,9 @@ def licence_texts():
         ("GPL-3.0", "/*\n" + gnu + "\n *\n * It comes without a warranty of any kind.\n */\ncode"), ("GPL-2.0", gnu.replace("version 3", "version 2") + "\ncode"), ("LGPL-3.0", wrap(t["LGPL-3.0"][0], 50, "# ") + "\n#\n\ncode"),
         ("GPL-3.0", "This work is licensed under the GNU General Public\nLicense, version 3. See LICENSE for the full text of it."), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + prose(300)),
         ("Apache-2.0", prose(40) + "\n\n\n" + wrap(t["Apache-2.0"][3], 40) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"), (None, prose(50) + " license " + prose(50)), (None, "The software works as is. " * 50), (None, "\n" * 5000 + "x"), (None, "- \n" * 3000), (None, "漢" * 5000 + "a"),
+        # wrapped over many lines within one paragraph of other lines, with another holder's name, and with blank lines around
+        ("BSD-2-Clause", "first words of prose\nCopyright (c) 2021 Some Person\nAll rights reserved.\n" + wrap(bsd2, 60) + "\nand other\nlines follow here"), ("BSD-2-Clause", "Copyright (c) 2021\nAll rights reserved.\n" + wrap(bsd2.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "SOME PERSON"), 60) + "\nother lines\n" * 3),
+        ("MIT", "this part reads a file\n" * 7 + wrap(t["MIT"][3], 40) + "\nand this one writes it\n" * 7), ("BSD-3-Clause", "some words before it\n" * 5 + wrap(bsd3, 60) + "\nsome words after it" * 5), ("MIT", "other prose\n\n" + wrap(t["MIT"][3], 50) + "\n\nother prose"),
         ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.\n" + prose(3000)), ("CC-BY-4.0", "\n\n \nLicensed under CC BY 4.0."), (None, ""), (None, None),
     ]
 
