@@ -3,7 +3,7 @@
 A file gives several pieces, each a vector of TF-IDF weights over its terms: the whole text, its header (the comment lines that it opens with),
 every paragraph, and runs of neighbouring lines or sentences of a paragraph, so that wrapped notices and those with more sentences beside
 them are seen. From each line or sentence on, the runs that meet a template are the shortest ones with ``LENGTHS`` times as many terms as the
-template, however many lines that takes. Pieces are compared with templates by cosine. Weights come from the templates alone: a term
+template, however many lines that takes. Pieces with two or more different terms of a template are compared with it by cosine. Weights come from the templates alone: a term
 in none of them has the largest weight, so that words beside a notice lower its cosine. A term's frequency is 1 + ln of its count.
 
 Bounds that lose none leave out what cannot reach the threshold, template by template: a text, a paragraph and a run must hold more than
@@ -62,9 +62,11 @@ TEMPLATES = {
 #: Fixed value: template words that other texts use just as well, taken as telling last.
 PLAIN = ["a", "and", "are", "can", "in", "into", "is", "it", "of", "or", "the", "this", "to", "under", "use", "with", "without", "you", "any", "all", "free", "work", "copy", "form", "person", "source", "by", "for", "on", "be", "from", "that", "at", "may", "not", "but", "as", "an", "was", "do", "no", "if", "its", "so", "such", "one", "other", "out", "nor", "either", "must", "way", "whom", "whether", "used", "your", "has", "have", "been", "even", "1", "2", "3"]
 #: What separates terms, lines without a term, how comment lines begin, where lines and sentences end.
-APART, VOID, COMMENT, ENDS = "[^a-z0-9.\\-]+", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
+APART, VOID, COMMENT, ENDS = "\\.*(?:[^a-z0-9.\\-]+|$)", "(?md)^[^A-Za-z0-9\n]+$", "^[ \\t]*(#|//|/\\*|\\*|--|;|<!--|%|\"|$)", "\n|(?<=[.;]) +"
 #: How many terms the runs of lines or sentences hold, as shares of the template's.
 LENGTHS = (0.65, 0.8, 1.0, 1.25)
+#: Different terms of a template that a piece holds at least (or all of them): a lone word, such as a German sentence's "Mit.", is no notice.
+TOGETHER = 2
 #: A licence that is taken only where nothing else matches: its phrase stands above most other notices.
 LAST_RESORT = "LicenseRef-proprietary"
 #: A directory with more than this share of all files is handed its licence by broadcast.
@@ -73,7 +75,7 @@ HOT = 1e-4
 
 def terms_of(text: Column) -> Column:
     """The runs of letters, digits, dots and hyphens, lower-cased, without a dot at the end."""
-    return F.filter(F.transform(F.split(F.lower(text), APART), lambda t: F.rtrim(t, F.lit("."))), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), APART), "")
 
 
 def template_weights(spark, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -99,7 +101,7 @@ def telling_terms(weights: list, threshold: float) -> dict[int, list[str]]:
 
 def holds(text: Column, telling: list[str]) -> Column:
     """Whether one of the telling terms is a term of the text."""
-    return F.exists(F.split(F.lower(text), APART), lambda t: F.rtrim(t, F.lit(".")).isin(telling))
+    return F.arrays_overlap(F.split(F.lower(text), APART), F.array(*map(F.lit, telling)))
 
 
 def once(value: Column, then) -> Column:
@@ -139,9 +141,10 @@ def pieces(files: DataFrame, weights: list, threshold: float) -> DataFrame:
     known, least = described(weights, per), threshold * threshold - 1e-9
 
     def enough(present: Column, t: Column) -> Column:
-        """Whether the terms hold so much of the template's weight that the cosine may reach the threshold."""
+        """Whether the terms hold enough of the template's, and so much of its weight that the cosine may reach the threshold."""
         held = F.aggregate(t["terms"], F.lit(0.0), lambda s, x: s + F.when(F.array_contains(present, x["name"]), x["square"]).otherwise(0.0))
-        return F.when(F.arrays_overlap(present, t["telling"]), held >= least).otherwise(False)
+        several = F.size(F.array_intersect(F.transform(t["terms"], lambda x: x["name"]), present)) >= F.least(F.size(t["terms"]), F.lit(TOGETHER))
+        return F.when(F.arrays_overlap(present, t["telling"]), F.when(several, held >= least).otherwise(False)).otherwise(False)
 
     def compact(terms: Column, present: Column, t: Column) -> Column:
         """Whether the whole is not ruled out by its different terms that no template has: each has the largest weight, the template's terms together at most as much as when all are equally frequent."""

@@ -193,7 +193,7 @@ def own_licence(text, templates, threshold=0.8, lengths=(0.65, 0.8, 1.0, 1.25)):
             v, _ = vector(c)
             for name, w, size, count in known:
                 score = round(sum(x * w.get(t, 0) for t, x in v.items()), 9)
-                if score >= threshold and (sizes is None or count in sizes):
+                if score >= threshold and (sizes is None or count in sizes) and len(v.keys() & w.keys()) >= min(2, len(w)):
                     most = round(size * (score * score - threshold * threshold), 4)
                     best = max(best or (), (most, kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: (x[5:6] != ("LicenseRef-proprietary",), *x[:6]))
     return best and (best[5], best[2], best[6])

@@ -458,6 +458,7 @@ def licence_texts():
         # wrapped over many lines within one paragraph of other lines, with another holder's name, and with blank lines around
         ("BSD-2-Clause", "first words of prose\nCopyright (c) 2021 Some Person\nAll rights reserved.\n" + wrap(bsd2, 60) + "\nand other\nlines follow here"), ("BSD-2-Clause", "Copyright (c) 2021\nAll rights reserved.\n" + wrap(bsd2.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "SOME PERSON"), 60) + "\nother lines\n" * 3),
         ("MIT", "this part reads a file\n" * 7 + wrap(t["MIT"][3], 40) + "\nand this one writes it\n" * 7), ("BSD-3-Clause", "some words before it\n" * 5 + wrap(bsd3, 60) + "\nsome words after it" * 5), ("MIT", "other prose\n\n" + wrap(t["MIT"][3], 50) + "\n\nother prose"),
+        (None, "Nicht, berenzu mit. Mit.\nMit mit einß."), (None, "... . .. mit... -- ..."),
         ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.\n" + prose(3000)), ("CC-BY-4.0", "\n\n \nLicensed under CC BY 4.0."), (None, ""), (None, None),
     ]
 
