@@ -1,5 +1,6 @@
 """Plain versions of the operators' rules, to compare with."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -197,3 +198,40 @@ def own_licence(text, templates, threshold=0.8, lengths=(0.65, 0.8, 1.0, 1.25)):
                     most = round(size * (score * score - threshold * threshold), 4)
                     best = max(best or (), (most, kind, score, -b, -i, name, kind > 0 or (b == 0 and i == 0)), key=lambda x: (x[5:6] != ("LicenseRef-proprietary",), *x[:6]))
     return best and (best[5], best[2], best[6])
+
+
+def ring(rows, shards, vnodes, capacity):
+    """{row: (shard, slot)} of different (key, tie) rows on a ring, walked one row at a time.
+
+    First each row in ring order goes to the shard of the next point, while that has room; then, in the same order, each row left
+    goes on from point to point to the first shard with room.
+    """
+    def at(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    points = sorted((at(f"shard {s} point {v}"), s) for s in range(shards) for v in range(vnodes))
+
+    def arc(pos):
+        return next((i for i, (p, _) in enumerate(points) if p >= pos), 0)
+
+    spots = []
+    for key, tie in rows:
+        pos = at("null" if key is None else str(key))
+        spots.append((arc(pos), pos, (key is not None, key or 0), tie, (key, tie)))
+    spots.sort()
+    out, held, left = {}, Counter(), []
+
+    def put(row, shard):
+        out[row] = (shard, held[shard])
+        held[shard] += 1
+
+    for a, *_, row in spots:
+        if held[points[a][1]] < capacity[points[a][1]]:
+            put(row, points[a][1])
+        else:
+            left.append((a, row))
+    for a, row in left:
+        while held[points[a][1]] >= capacity[points[a][1]]:
+            a = (a + 1) % len(points)
+        put(row, points[a][1])
+    return out

@@ -277,6 +277,26 @@ def test_shards(spark, none):
     assert sharding.shard(none.select("doc_id"), "doc_id", 24).count() == 0
 
 
+def test_sharding_against_a_ring_walked_by_rows(spark):
+    keys = [*range(-40, 900), *(k * 7919 for k in range(200)), *[None] * 30, *[5] * 200]  # a null key and a key of many rows
+    rows = [(k, i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, tie long").repartition(7)
+    for shards, vnodes, factor in ((24, 64, None), (25, 64, None), (24, 64, 1.25), (3, 2, None), (1, 1, 1.0), (5, 1, 1.1)):
+        got = {(r.doc_id, r.tie): (r.shard, r.slot) for r in sharding.shard(df, "doc_id", shards, vnodes, factor, order=["doc_id", "tie"]).collect()}
+        n = len(rows)
+        capacity = [n // shards + (s < n % shards) for s in range(shards)] if factor is None else [-int(-factor * n // shards)] * shards
+        assert got == plain.ring(rows, shards, vnodes, capacity)
+
+
+def test_sharding_by_exact_quotas_moves_few_rows(spark):
+    ids = spark.range(40000).withColumnRenamed("id", "doc_id")
+    old, new = ({r.doc_id: r.shard for r in sharding.shard(ids, "doc_id", n).collect()} for n in (24, 25))
+    assert max(Counter(new.values()).values()) - min(Counter(new.values()).values()) <= 1
+    moved = [i for i in old if old[i] != new[i]]
+    assert len(moved) < 0.09 * len(old)  # at least 0.04 go to the new shard
+    assert sum(new[i] != 24 for i in moved) < 0.05 * len(old)
+
+
 def test_ppm(docs, none):
     got = {r.doc_id: r for r in ppm.score(docs.withColumn("score", F.lit("mine"))).collect()}
     tokens = lambda t: [*plain.words(plain.low(t or "")), None]
