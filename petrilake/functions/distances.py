@@ -52,6 +52,13 @@ def indel(run: Column, trace: Column) -> Column:
     return F.size(s) + F.size(t) - 2 * common_subsequence(s, t)
 
 
+def indel_row(row: Column, trace: Column, x: Column) -> Column:
+    """The insertions and deletions from a word and x to each prefix of a visible trace, where row holds those from the word alone."""
+    down = F.get(row, F.lit(0)) + 1
+    cell = lambda new, j: F.concat(new, F.array(F.least(F.get(new, j - 1) + 1, F.get(row, j) + 1, F.when(F.get(trace, j - 1) == x, F.get(row, j - 1)))))
+    return F.when(F.size(trace) == 0, F.array(down)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(trace), F.lit(1))), F.array(down), cell))
+
+
 def edit(a: Column, b: Column) -> Column:
     """Levenshtein distance with substitution of symbol sequences; both must be encoded as one character a symbol."""
     return F.levenshtein(a, b)

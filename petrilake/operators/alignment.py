@@ -37,13 +37,12 @@ def graph(spark: SparkSession, net: Net, most: int | None = None) -> tuple[list[
     return markings, sorted((at[tuple(r[0])], at[tuple(r[1])], r[2], r[3], r[4]) for r in rows)
 
 
-def _matrices(net: Net, variants: DataFrame) -> tuple[list[int], list[int], dict[str | None, list[list[int]]]] | None:
+def matrices(spark: SparkSession, net: Net) -> tuple[list[int], list[int], dict[str | None, list[list[int]]]] | None:
     """The costs at the start, those from each marking to the final one (0 or FAR), and for each letter (None: any other) the costs to
     come from each marking (inner) to each (outer) with one letter of the trace; None if the net has too many markings.
 
     What is made here is the size of the model, not of the log.
     """
-    spark = variants.sparkSession
     found = graph(spark, net, MATRIX_MARKINGS)
     if found is None:
         return None
@@ -69,7 +68,7 @@ def _matrices(net: Net, variants: DataFrame) -> tuple[list[int], list[int], dict
 
 def costs(variants: DataFrame, net: Net) -> DataFrame:
     """variants(trace, ...) with `cost`: that of the optimal alignment with the net's full runs of any length; null if there is none."""
-    found = _matrices(net, variants)
+    found = matrices(variants.sparkSession, net)
     if found is None:
         return variants.join(costs_by_search(variants, net, written=settled), "trace", "left")
     first, last, then = found

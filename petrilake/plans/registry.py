@@ -16,6 +16,7 @@ from petrilake.operators import alignment, artefacts, clustering, logs, netcompa
 from petrilake.plans import oracle as O
 from petrilake.plans.models import CHAT, SHOP, SHORT, TREE
 from petrilake.session import table
+from petrilake.streaming import conformance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -340,6 +341,12 @@ def alignment_cost(spark, sf_dir):
     return spelled(alignment.costs(logs.variants(chat_log(spark, sf_dir)), CHAT))
 
 
+@query(O.query(O.CHATS, O.variants(None), _SEARCH, select=f"SELECT case_id, CAST(len(l.trace) AS BIGINT) AS n_events, CAST(min(cost) FILTER (WHERE list_has_all(marking, {O.items(CHAT.sinks)})) AS INTEGER) AS cost, CAST(min(cost) AS INTEGER) AS prefix_cost, CAST(0 AS BIGINT) AS late FROM log l JOIN costs c ON c.trace = l.trace WHERE pos = len(l.trace) GROUP BY case_id, l.trace"))
+def online_conformance(spark, sf_dir):
+    """Every conversation's cost against the model after its last turn, read as a stream that keeps a cost a marking."""
+    return conformance.conformance(spark, f"{sf_dir}/conversations.parquet", CHAT, "conv_id", "role", "turn")
+
+
 _POWER = f"pow(2.0, len(t) + {STEPS} - ({{i}}))"
 _FITNESS = f"""p AS (SELECT row_number() OVER () AS id, trace AS t, n_cases, s, list_transform(range(0, len(trace) + 1), lambda j: coalesce(list_sum(list_transform(range(0, j), lambda k: pow(2.0, len(trace) + {STEPS} - k))), 0.0)) AS w
   FROM variants, (VALUES (['system', 'user', 'assistant']), (['user', 'assistant'])) r(s)),
