@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrilake.functions import distances as D
@@ -84,19 +84,26 @@ def best_subnets(covered: DataFrame, most: int) -> list[list[str]]:
     return [list(s) for s in found.subnets] if found else []
 
 
-def near_words(free: DataFrame, taken: DataFrame, most_distance: int) -> DataFrame:
-    """(trace, id) of each trace of free within most_distance edits (Levenshtein) of a trace of taken(trace, id): the smallest id.
+def spelling(traces: DataFrame) -> Column:
+    """The column `trace` as a word of one character an activity, by its rank in the alphabet of traces; a null activity, or one that is not there, is `?`.
 
-    Two words so close share one of the words that so many deletions leave of them: those are the key of the join, and pairs that meet
-    are compared. Activities are spelled as one character each, by their rank in both logs' alphabet (an alphabet is broadcast); more
-    than MOST_ACTIVITIES are an error.
+    More than MOST_ACTIVITIES are an error.
     """
-    letters = free.select("trace").unionByName(taken.select("trace")).select(F.explode("trace").alias("activity")).distinct()
+    letters = traces.select(F.explode("trace").alias("activity")).distinct()
     found = [r[0] for r in letters.where("activity is not null").orderBy("activity").limit(MOST_ACTIVITIES + 1).collect()]  # an alphabet
     if len(found) > MOST_ACTIVITIES:
         raise ValueError(f"more than {MOST_ACTIVITIES} activities")
     spelled = F.create_map(*[F.lit(x) for i, a in enumerate(found) for x in (a, chr(0x4E00 + i))]) if found else F.create_map(F.lit(""), F.lit(""))
-    word = F.array_join(F.transform("trace", lambda x: F.coalesce(F.element_at(spelled, x), F.lit("?"))), "")
+    return F.array_join(F.transform("trace", lambda x: F.coalesce(F.element_at(spelled, x), F.lit("?"))), "")
+
+
+def near_words(free: DataFrame, taken: DataFrame, most_distance: int) -> DataFrame:
+    """(trace, id) of each trace of free within most_distance edits (Levenshtein) of a trace of taken(trace, id): the smallest id.
+
+    Two words so close share one of the words that so many deletions leave of them: those are the key of the join, and pairs that meet
+    are compared. Activities are spelled as in `spelling`.
+    """
+    word = spelling(free.select("trace").unionByName(taken.select("trace")))
 
     def keyed(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("key", F.array("word"))

@@ -180,12 +180,19 @@ def indel_run_trace(spark, sf_dir):
 _WORD = "array_to_string(list_transform(trace, lambda x: x[1]), '')"
 
 
-@query(f"WITH {O.CHATS}, {O.variants(None)}, w AS (SELECT {_WORD} AS word, n_cases FROM variants), c AS (SELECT word AS common FROM w ORDER BY n_cases DESC, word LIMIT 1) SELECT word, CAST(levenshtein(word, common) AS INTEGER) AS distance FROM w, c")
+_LETTERS = """ranks AS (SELECT role, chr(CAST(96 + row_number() OVER (ORDER BY role) AS INTEGER)) AS letter FROM (SELECT DISTINCT role FROM conversations)),
+letters AS (SELECT map(list(role ORDER BY role), list(letter ORDER BY role)) AS m FROM ranks),
+w AS (SELECT trace, n_cases, array_to_string(list_transform(trace, lambda x: map_extract(m, x)[1]), '') AS word FROM variants, letters),
+c AS (SELECT word AS common FROM w ORDER BY n_cases DESC, word LIMIT 1)"""
+
+
+@query(f"WITH {O.CHATS}, {O.variants(None)}, {_LETTERS} SELECT array_to_string(trace, ' ') AS trace, CAST(levenshtein(word, common) AS INTEGER) AS distance FROM w, c")
 def levenshtein_variants(spark, sf_dir):
     """Each variant's edit distance from the most frequent one, one letter a role."""
-    words = logs.variants(chat_log(spark, sf_dir)).select(F.array_join(F.transform("trace", lambda x: F.substring(x, 1, 1)), "").alias("word"), "n_cases")
+    log = logs.variants(chat_log(spark, sf_dir))
+    words = log.withColumn("word", clustering.spelling(log))
     common = words.orderBy(F.desc("n_cases"), "word").limit(1).select(F.col("word").alias("common"))
-    return words.crossJoin(F.broadcast(common)).select("word", D.edit(F.col("word"), F.col("common")).alias("distance"))  # one row
+    return spelled(words.crossJoin(F.broadcast(common)).select("trace", D.edit(F.col("word"), F.col("common")).alias("distance")))  # one row
 
 
 # Artefacts and measures
