@@ -1,12 +1,13 @@
 """Quality by pairwise ranking: a Bradley-Terry model of preference pairs.
 
 A document's strength is a weighted sum of figures of its text; a document of label 1 is preferred to one of label 0 with the
-probability that the logistic function gives for the difference of their strengths. `fit` learns the weights from pairs by logistic loss
-on differences of figures (Newton steps, each one summed where the pairs are), and sets the threshold at the quantile of the strengths that
-is the share of label 0. `score` is then one pass over all texts, without a shuffle.
+probability that the logistic function gives for the difference of their strengths. `fit` learns the weights from all pairs of all labelled
+rows by logistic loss, and sets the threshold where as many strengths are below it as labels are 0. `score` is then one pass over all texts,
+without a shuffle.
 
-The fit sees at most about `LABELLED` labelled rows, drawn by a hash of their ids, and about `PAIRS` pairs of them; both are parameters. Texts
-are scored whole and all of them.
+The pairs are as many as the product of both labels' rows, but are never made: a row's pull is a function of its strength alone, the sum of the
+logistic function over all rows of the other label. Those are counted in narrow bins of strength with their moments, from which
+the function follows as a polynomial a bin. So a Newton step is two passes over the labelled rows' figures.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,12 @@ from pyspark.sql import functions as F
 
 from petrilake.llm.common import python_workers, written
 
-#: Labelled rows and preference pairs that a fit sees, about.
-LABELLED = 50_000
-PAIRS = 60_000
 #: The score of a document whose strength is the threshold's.
 CUT = 0.3
 #: Weight of the squared weights in the loss of all pairs, the Newton steps at most, and the change that ends them.
 RIDGE, STEPS, STILL = 1e-2, 25, 1e-4
+#: Width of the bins of strength, and the highest moment in them: the pull of a row is right to about (WIDTH / pi) ** (MOMENTS + 1).
+WIDTH, MOMENTS = 1 / 16, 5
 #: Characters that are cut into words at a time.
 BLOCK = 1 << 20
 
@@ -124,16 +124,23 @@ class Ranking:
     weights: tuple[float, ...]
     threshold: float
 
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return ((x - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; CUT at the threshold."""
-        s = ((x - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights) - self.threshold + math.log(CUT / (1 - CUT))
+        s = self.strengths(x) - self.threshold + math.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
 
 
+def label_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of all labelled ids; an id with several labels has the largest, null labels are none."""
+    return labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def sampled(labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, label) of about `most` labelled ids, drawn by a hash of the id; an id with several labels has the largest, null labels are none."""
-    one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    one = written(one, "labels")
+    """`label_rows` of about `most` ids, drawn by a hash of the id: for a fit that is asked to be a bounded one."""
+    one = written(label_rows(labels), "labels")
     share = most / max(one.count(), 1)
     return one if share >= 1 else one.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
@@ -183,26 +190,166 @@ def _newton(z: DataFrame, scale: np.ndarray, n: int) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, most_pairs: int = PAIRS) -> Ranking | None:
+def _derivatives(z: np.ndarray) -> np.ndarray:
+    """The logistic function at z and its derivatives up to MOMENTS, each one over its order's factorial."""
+    p, of = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.polynomial.Polynomial([0, 1])
+    out = []
+    for m in range(MOMENTS + 1):
+        out.append(of(p) / math.factorial(m))
+        of = of.deriv() * np.polynomial.Polynomial([0, 1, -1])
+    return np.stack(out)
+
+
+def _pulls(at: np.ndarray, centres: np.ndarray, moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sum of the logistic function of t - s over all t in bins: its coefficients in s's distance from each place of `at`, and
+    the sum of the function's slopes between centres, which is a weight that leaves the second derivatives' sum positive."""
+    coefficients, slopes = np.zeros((len(at), MOMENTS + 1)), np.zeros(len(at))
+    for i in range(0, len(at), 256):
+        d = _derivatives(centres[None, :] - at[i : i + 256, None])
+        slopes[i : i + 256] = d[1] @ moments[:, 0]
+        for k in range(MOMENTS + 1):
+            coefficients[i : i + 256, k] = (-1) ** k * sum(math.comb(m, k) * (d[m] @ moments[:, m - k]) for m in range(k, MOMENTS + 1))
+    return coefficients, slopes
+
+
+def _summed(rows: DataFrame, work, keys: str) -> pa.Table:
+    """Sums of v, which a task hands on once a key."""
+    names = [k.split()[0] for k in keys.split(",")]
+    return rows.mapInArrow(work, f"{keys}, v double").groupBy(*names).agg(F.sum("v").alias("v")).toArrow()
+
+
+def _newton_all(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The weights (of scaled figures) that minimise the mean logistic loss of all pairs of rows(label, x) of label 1 and 0, and RIDGE times
+    half the squared weights. The driver holds the bins of strength: about as many as the strengths' range has, whatever the rows."""
+    d = len(scale)
+    w = np.zeros(d)
+    rows = rows.select(F.col("label").cast("int"), "x")
+
+    def batch(b: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = (b.column(1).flatten().to_numpy().reshape(-1, d) - mean) / scale
+        return b.column(0).to_numpy(), x, x @ w
+
+    def binned(w: np.ndarray):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                label, x, s = batch(b, w)
+                at = np.floor(s / WIDTH)
+                e = s - (at + 0.5) * WIDTH
+                values = np.concatenate([e[:, None] ** np.arange(MOMENTS + 1), x], axis=1)
+                kinds, which = np.unique(np.stack([label, at.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+                sums = np.zeros((len(kinds), values.shape[1]))
+                np.add.at(sums, which.ravel(), values)
+                for kind, v in zip(map(tuple, kinds.tolist()), sums, strict=True):
+                    total[kind] = total[kind] + v if kind in total else v
+            if total:
+                kinds, n = np.array(list(total)), MOMENTS + 1 + d
+                i = np.tile(np.arange(n, dtype=np.int32), len(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(kinds[:, 0], n).astype(np.int32)), pa.array(np.repeat(kinds[:, 1], n)), pa.array(i), pa.array(np.concatenate(list(total.values())))], ["label", "bin", "i", "v"])
+
+        return work
+
+    def pulled(w: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], good: float):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(d + d * d)
+            for b in batches:
+                label, x, s = batch(b, w)
+                for side, (centres, coefficients, slopes) in enumerate(sides):
+                    on = label == side
+                    at = np.searchsorted((centres[1:] + centres[:-1]) / 2, s[on])  # the nearest centre
+                    p = ((s[on] - centres[at])[:, None] ** np.arange(MOMENTS + 1) * coefficients[at]).sum(1)
+                    total[:d] += (-p if side else good - p) @ x[on]
+                    total[d:] += (x[on].T @ (x[on] * slopes[at][:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+        return work
+
+    for _ in range(STEPS):
+        found = _summed(rows, binned(w), "label int, bin long, i int")
+        label, bins, i, v = (c.to_numpy() for c in found.columns)
+        centres, sums = [], []
+        for side in (0, 1):
+            kinds, which = np.unique(bins[label == side], return_inverse=True)
+            centres.append((kinds + 0.5) * WIDTH)
+            sums.append(np.zeros((len(kinds), MOMENTS + 1 + d)))
+            sums[-1][which, i[label == side]] = v[label == side]
+        moments, first = [x[:, : MOMENTS + 1] for x in sums], [x[:, MOMENTS + 1 :] for x in sums]
+        bad, good = (m[:, 0].sum() for m in moments)
+        sides = [(centres[k], *_pulls(centres[k], centres[1 - k], moments[1 - k])) for k in (0, 1)]
+        both = np.zeros((d, d))
+        for k in range(0, len(centres[1]), 256):
+            both += first[1][k : k + 256].T @ (_derivatives(centres[0][None, :] - centres[1][k : k + 256, None])[1] @ first[0])
+        found = _summed(rows, pulled(w, sides, good), "i int")
+        total = np.zeros(d + d * d)
+        total[found.column("i").to_numpy()] = found.column("v").to_numpy()
+        n = good * bad
+        gradient, hessian = total[:d] / n + RIDGE * w, (total[d:].reshape(d, d) - both - both.T) / n + RIDGE * np.eye(d)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < STILL:
+            break
+    return w
+
+
+def ranked_value(values: DataFrame, rank: int) -> float:
+    """The value that `rank` of values(v double) are before in ascending order, exactly: its bits are found 16 at a time by counts."""
+    low, low_rank = 0, rank
+
+    def counted(bits: int, prefix: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << 16, np.int64)
+            for b in batches:
+                k = (b.column(0).to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+                k = np.where(k < 0, ~k, k ^ np.int64(-(1 << 63))).view(np.uint64)  # in the order of the values
+                if bits < 48:
+                    k = k[k >> np.uint64(bits + 16) == np.uint64(prefix)]
+                total += np.bincount((k >> np.uint64(bits) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
+
+        return work
+
+    for bits in (48, 32, 16, 0):
+        found = values.mapInArrow(counted(bits, low), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().sort_by("i")
+        after = np.cumsum(found.column("n").to_numpy())
+        at = int(np.searchsorted(after, low_rank, "right"))
+        low_rank -= int(after[at - 1]) if at else 0
+        low = low << 16 | found.column("i")[at].as_py()
+    k = np.array([low], np.uint64).view(np.int64)
+    return float(np.where(k < 0, k ^ np.int64(-(1 << 63)), ~k).view(np.float64)[0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int | None = None, most_pairs: int | None = None) -> Ranking | None:
     """Learn from docs(doc_id, text) and labels(doc_id, label of 0 or 1). None where the labels leave no pair.
 
-    Labels of unknown documents are left out; a document that stands in several rows counts with each.
+    All labelled rows and all their pairs count; only who gives `labelled` or `most_pairs` has about so many drawn by hashes. Labels of
+    unknown documents are left out; a document that stands in several rows counts with each.
     """
-    some = sampled(labels, labelled)
-    rows = written(figure_rows(docs.join(F.broadcast(some), "doc_id"), "doc_id", "text", ["doc_id", "label"]), "figures")  # about `labelled` ids
-    z = written(pairs(rows, most_pairs), "pairs")
-    if not (n := z.count()):
+    some = (label_rows(labels) if labelled is None else sampled(labels, labelled)).where("label in (0, 1)")
+    rows = written(figure_rows(docs.where("doc_id is not null"), "doc_id", "text", ["doc_id"]).join(some, "doc_id").select("doc_id", "label", "x"), "figures")
+    count = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not count.get(0) or not count.get(1):
         return None
     d = 2 * len(NAMES)
     each = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()  # the figures
     mean, scale = np.zeros(d), np.ones(d)
     for i, m, s in each:
         mean[i], scale[i] = m, s if s > 1e-9 else 1.0
-    w = _newton(z, scale, n)
-    strength = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w / scale]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - float(mean / scale @ w)
-    bad = rows.agg(F.avg(1 - F.col("label"))).first()[0]
-    threshold = rows.agg(F.percentile_approx(strength, F.lit(float(bad)), 10_000)).first()[0]
-    return Ranking(tuple(mean), tuple(scale), tuple(w), float(threshold))
+    if most_pairs is None:
+        w = _newton_all(rows, mean, scale)
+    else:
+        z = written(pairs(rows, most_pairs), "pairs")
+        if not (n := z.count()):
+            return None
+        w = _newton(z, scale, n)
+    found = Ranking(tuple(mean), tuple(scale), tuple(w), 0.0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(found.strengths(b.column(0).flatten().to_numpy().reshape(-1, d)))], ["v"])
+
+    strengths = written(rows.select("x").mapInArrow(work, "v double"), "strengths")
+    return replace(found, threshold=ranked_value(strengths, count[0]))
 
 
 def score(docs: DataFrame, ranking: Ranking | None) -> DataFrame:

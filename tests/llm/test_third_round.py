@@ -74,6 +74,41 @@ def test_labels_are_bounded(spark):
     assert 1500 < preference.pairs(rows, 2000).count() < 2700
 
 
+def test_ranking_learns_from_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(700):
+        bad = int(rng.random() < 0.3)
+        words = ["".join(rng.choice(list("abcdefg"), rng.integers(2, 9))) for _ in range(rng.integers(5, 40))]
+        rows.append((i, " ".join(w.upper() if rng.random() < 0.2 + 0.3 * bad else w for w in words), 1 - bad))
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    ranking = preference.fit(table.select("doc_id", "text"), table.select("doc_id", "label"))
+    x = preference._with_bends(np.stack([preference.figures(t) for _, t, _ in rows]))
+    label, w = np.array([r[2] for r in rows]), np.array(ranking.weights)
+    z = (x - np.array(ranking.mean)) / np.array(ranking.scale)
+    pair = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])  # over 100,000
+    slope = preference.RIDGE * w - (pair / (1 + np.exp(pair @ w))[:, None]).mean(0)
+    assert np.abs(slope).max() < 1e-5  # the least loss of all pairs
+    assert ranking.threshold == pytest.approx(np.sort(z @ w)[(label == 0).sum()], abs=1e-9)
+
+
+def test_pulls_of_bins():
+    rng = np.random.default_rng(7)
+    t, s = rng.normal(size=300) * 5, rng.normal(size=200) * 5
+    at = np.floor(t / preference.WIDTH)
+    centres = (np.unique(at) + 0.5) * preference.WIDTH
+    moments = np.stack([((t[at == k] - c)[:, None] ** np.arange(preference.MOMENTS + 1)).sum(0) for k, c in zip(np.unique(at), centres, strict=True)])
+    places = (np.floor(s / preference.WIDTH) + 0.5) * preference.WIDTH
+    got = ((s - places)[:, None] ** np.arange(preference.MOMENTS + 1) * preference._pulls(places, centres, moments)[0]).sum(1)
+    assert np.abs(got - (1 / (1 + np.exp(s[:, None] - t[None]))).sum(1)).max() < 1e-7
+
+
+def test_ranked_value(spark):
+    v = [3.5, -1e300, 0.0, -0.0, 2.0, 2.0, 2.0000000000000004, -7.25, 1e-320, -1e-320, 5e8]
+    values = spark.createDataFrame([(x,) for x in v], "v double")
+    assert [preference.ranked_value(values, i) for i in range(len(v))] == sorted(v)
+
+
 def test_held_out_quality(spark):
     larger = DATA.replace("sf0.001", "sf0.01")  # 80 held-out labels
     found = queries.op11_preference(spark, larger)
