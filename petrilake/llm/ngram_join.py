@@ -20,7 +20,9 @@ so any count gives the exact result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ ORDERS = 16
 #: Buckets of the parity sketches, a power of two.
 BUCKETS = 1024
 HALF = BUCKETS // 128
-#: Words whose hashes a task remembers.
-WORDS = 200_000
+#: Bytes of texts that are cut into words at a time.
+TEXTS = 1 << 16
 #: Shingles that a task counts at a time.
 BLOCK = 1_000_000
 #: Rows up to which a list of ids is broadcast.
@@ -50,32 +52,78 @@ BROADCAST_IDS = 1 << 20
 _FACTORS = [int.from_bytes(xxhash.xxh3_64_digest(f"word {i}".encode()), "big") | 1 for i in range(64)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: A random number for each byte at each of a word's first places.
+_PLACES = 32
+_LETTERS = np.frombuffer(hashlib.shake_128(b"letters").digest(_PLACES * 256 * 8), np.uint64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the text begins, and its 64-bit hash: the sum of its bytes' random numbers, and xxhash's where it is longer than _PLACES."""
+    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        to = len(text)
+        if at + TEXTS < to and (found := _SPACE.search(text, at + TEXTS)):
+            to = found.end()
+        raw = np.frombuffer(text, np.uint8, to - at, at)
+        inside = (raw != 32) & ((raw < 9) | (raw > 13))
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, length = edges[::2], edges[1::2] - edges[::2]
+        if len(start):
+            first = np.cumsum(length) - length
+            place = np.minimum(np.arange(first[-1] + length[-1]) - np.repeat(first, length), _PLACES - 1)
+            h = np.add.reduceat(_LETTERS[(place << 8) | raw[inside]], first)
+            for i in np.flatnonzero(length > _PLACES):
+                h[i] = xxhash.xxh3_64_intdigest(text[at + start[i] : at + start[i] + length[i]])
+            starts.append(start + at)
+            hashes.append(h)
+        at = to
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of `size` words, in their order."""
+    out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
+    for i in range(size):
+        out += h[i : len(out) + i] * np.uint64(_FACTORS[i % 64])
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by the plain sort, which is faster."""
+    x = np.sort(x)
+    on = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=on[1:])
+    return x[on]
+
 
+def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
+    """Each text's distinct k-word shingles as sorted 64-bit hashes; of fewer words the whole sequence; of none nothing."""
 
-_words = _WordHashes()
+    def cut(held: list[bytes]) -> Iterator[np.ndarray]:
+        start, h = word_hashes(b" ".join(held).translate(LOWER_BYTES))
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in held])).tolist()
+        runs = _shingles(h, k)
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            yield _distinct(runs[lo : hi - k + 1]) if hi - lo >= k else _shingles(h[lo:hi], hi - lo) if hi > lo else np.empty(0, np.uint64)
+
+    held, size = [], 0
+    for t in texts:
+        held.append((t or "").encode())
+        size += len(held[-1])
+        if size > TEXTS:
+            yield from cut(held)
+            held, size = [], 0
+    if held:
+        yield from cut(held)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct k-word shingles as sorted 64-bit hashes; of fewer words the whole sequence; of none nothing."""
-    words = (text or "").encode().translate(LOWER_BYTES).split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if len(_words) > WORDS:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    size = min(k, n)
-    out = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        out += h[i : n - size + 1 + i] * np.uint64(_FACTORS[i % 64])
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    """`shingle_sets` of one text."""
+    return next(shingle_sets([text], k))
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -105,15 +153,19 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         held, behind, size = [], [], 0
 
         def counted() -> pa.RecordBatch:
-            first = np.concatenate(held)
-            s, at, n = np.unique(np.concatenate([first, *behind]), return_index=True, return_counts=True)
-            on = (n > 1) | (at < len(first))
+            first = np.sort(np.concatenate(held))
+            s = np.sort(np.concatenate([first, *behind]))
+            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+            s, n = s[at], np.diff(at, append=len(s))
+            on = n > 1
+            if len(first):
+                once = s[~on]
+                on[~on] = first[np.minimum(np.searchsorted(first, once), len(first) - 1)] == once
             s, n = s[on], n[on]
             return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
         for b in batches:
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, k)
+            for s in shingle_sets(b.column(1).to_pylist(), k):
                 held.append(s[: len(s) * 3 // 10 + 1])
                 behind.append(s[len(s) * 3 // 10 + 1 :])
                 size += len(s)
@@ -145,12 +197,16 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, power = shared.value
+
+        def levels(s: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+            return np.where(often[at] == s, power[at], 0)
+
         seen: set[tuple[int, int]] = set()  # spares repeated copies; forgetting some is harmless
         for batch in batches:
             sizes, sigs, sketches = [], [], []
             shingles, cells, owner, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, k)
+            for s in shingle_sets(batch.column(1).to_pylist(), k):
                 sig = _signature(s)
                 sizes.append(len(s))
                 sigs.append(sig)
@@ -163,8 +219,9 @@ def placed(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np
                 p = prefix_length(len(s), percent)
                 cell = np.zeros(p, np.int64)
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    level = np.where(often[at] == s, power[at], 0)
+                    level = levels(s[: 2 * p])
+                    if np.count_nonzero(level == 0) < p:  # else the first p of them are the first of all
+                        level = levels(s)
                     first = np.argsort(level, kind="stable")[:p]  # s is sorted: by level, then by hash
                     s, level = s[first], level[first].astype(np.int64)
                     if level[-1] > cell_bits:
@@ -233,7 +290,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                sets = [shingle_set(t, k).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
 
     return written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(work, "doc long, set array<long>"), "sets")

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -79,6 +80,29 @@ def test_jaccard(docs, none, spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.join_components(again).collect()) == [(0, 0), (0, 3), (3, 3), (3, 3), (4, 4)]
 
 
+def test_shingles_of_many_texts(monkeypatch):
+    def plain_set(text: str | None) -> set[tuple[str, ...]]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    rnd = random.Random(6)
+    long_ = [rnd.choice("abc") * rnd.randrange(1, 50) for _ in range(3000)]  # words longer and shorter than the table of places
+    texts = [*TEXTS, None, "", " \t\x0b", "One", "x" * 5000 + " y", "x" * 4999 + "z y", "ab\0 ab \x0c c d É é", " ".join(long_)]
+    for block in (1 << 16, 64):  # together, and in pieces
+        monkeypatch.setattr(ngram_join, "TEXTS", block)
+        got = list(ngram_join.shingle_sets(texts, 5))
+        assert [len(s) for s in got] == [len(plain_set(t)) for t in texts]
+        assert len(set(np.concatenate(got).tolist())) == len(set.union(*map(plain_set, texts)))  # one hash a shingle, in whichever text
+        assert all((ngram_join.shingle_set(t, 5) == s).all() for t, s in zip(texts, got, strict=True))
+
+
+def test_frequent_shingles(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    s, power = ngram_join.frequent_shingles(docs.coalesce(1), 5)
+    counts = Counter(x for t in TEXTS for x in ngram_join.shingle_set(t, 5).tolist())
+    assert dict(zip(s.tolist(), power.tolist(), strict=True)) == {x: n.bit_length() - 1 for x, n in counts.items() if n > 1}
+
+
 def test_jaccard_cells(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", 4)  # every region of the copies is dealt into cells
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
