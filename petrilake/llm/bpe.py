@@ -6,6 +6,8 @@ as many steps as the tree is high. Short pieces are merged side by side, one num
 their own, so that a piece of n bytes takes n log n steps whatever its content.
 
 Words repeat, so each task keeps what it has encoded in a bounded cache, which has no influence on the result.
+Spark hands tasks to idle workers in turn, so that each worker that ever ran beside others comes to hold a full cache: a task
+takes few workers for that reason, and `encode` can check its ids itself.
 """
 
 from __future__ import annotations
@@ -209,27 +211,33 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, block
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, columns: list[str] | None = None, round_trip: bool = False) -> DataFrame:
     """docs with `ids` (little-endian unsigned 32-bit integers) and `n_tokens` of each whole text.
 
     vocabulary: the path of a .tiktoken file that every worker can open. A null text is an empty one: no ids. Other columns
-    stay; `ids` and `n_tokens` of docs are replaced.
+    (or those named, in their order) stay; `ids` and `n_tokens` of docs are replaced. With round_trip, so is `round_trip`:
+    whether the ids decode to the text, found by the worker that encodes it, without a second one for the task.
     """
     python_workers(docs.sparkSession, 500)
-    docs = docs.drop("ids", "n_tokens")
-    names = docs.columns
-    at = names.index("text")
+    made = {"ids": F.lit(b""), "n_tokens": F.lit(0).cast("long")} | ({"round_trip": F.lit(True)} if round_trip else {})
+    docs = docs.drop(*made)
+    names = docs.columns if columns is None else columns
+    header, kept = [*names, *made], len(names)
+    if columns is not None:
+        docs = docs.select(*dict.fromkeys([*columns, "text"]))
+    at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary, pattern)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for start, block in _blocks(texts):
+            for start, block in _blocks(b.column(at).to_pylist()):
                 ids = bpe.encode(block)
-                part = b.slice(start, len(block))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*names, "ids", "n_tokens"])
+                out = [*b.slice(start, len(block)).columns[:kept], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if round_trip:
+                    out.append(pa.array([bpe.decode(x) == t.encode() for x, t in zip(ids, block, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, header)
 
-    return docs.mapInArrow(work, docs.withColumn("ids", F.lit(b"")).withColumn("n_tokens", F.lit(0).cast("long")).schema)
+    return docs.mapInArrow(work, (docs if "text" in names else docs.drop("text")).withColumns(made).schema)
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

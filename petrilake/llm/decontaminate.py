@@ -10,7 +10,7 @@ Nothing is shuffled: a shard needs the documents of one task only, so a document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -214,8 +214,12 @@ def benchmark_blocks(benchmark: DataFrame, size: int) -> Iterator[Windows]:
         yield Windows(items, size)
 
 
-def _search(docs: DataFrame, windows: Windows) -> DataFrame:
-    """docs, which has n_words, spans and items, with what this block of the benchmark adds."""
+#: A pass over a task's batches.
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _search(docs: DataFrame, windows: Windows) -> Pass:
+    """Adds to the columns n_words, spans and items of docs what this block of the benchmark has."""
     names = docs.columns
     text, n_words, old_spans, old_items = (names.index(c) for c in ("text", "n_words", "spans", "items"))
     shared = docs.sparkSession.sparkContext.broadcast(windows)
@@ -247,7 +251,28 @@ def _search(docs: DataFrame, windows: Windows) -> DataFrame:
         if held:
             yield from searched(held)
 
-    return docs.mapInArrow(work, docs.schema)
+    return work
+
+
+def _in_turn(passes: list[Pass]) -> Pass:
+    """All passes by the same worker, so that a task takes one however many there are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in passes:
+            batches = f(batches)
+        return batches
+
+    return work
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[Pass]]:
+    """docs with empty results, and the passes that fill them."""
+    python_workers(docs.sparkSession)
+    docs = docs.drop("n_words", "spans", "items")
+    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), "array<struct<first: int, last: int>>"), "items": F.array().cast("array<bigint>")})
+    out = out.select(*docs.columns, "n_words", "spans", "items")
+    passes = [_search(out, windows) for windows in benchmark_blocks(benchmark, window)]
+    return out, passes or [_search(out, Windows([], window))]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -257,14 +282,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     words; items without an id or without words are left out; items that repeat an id count as one. An empty benchmark finds nothing.
     Each row of docs is searched for itself. Columns of docs named like the results are replaced.
     """
-    python_workers(docs.sparkSession)
-    docs = docs.drop("n_words", "spans", "items")
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.from_json(F.lit("[]"), "array<struct<first: int, last: int>>"), "items": F.array().cast("array<bigint>")})
-    out = out.select(*docs.columns, "n_words", "spans", "items")
-    searched = False
-    for windows in benchmark_blocks(benchmark, window):
-        out, searched = _search(out, windows), True
-    return out if searched else _search(out, Windows([], window))
+    out, passes = _searches(docs, benchmark, window)
+    return out.mapInArrow(_in_turn(passes), out.schema)
 
 
 def cut_spans(text: str | None, spans: list) -> str | None:
@@ -293,15 +312,14 @@ def cut_spans(text: str | None, spans: list) -> str | None:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs with the benchmark's spans cut out of their texts; clean documents stay as they are."""
-    found = find_contamination(docs, benchmark, window).select(*docs.columns, "spans")
-    names = found.columns
-    text, spans = names.index("text"), names.index("spans")
+    found, passes = _searches(docs, benchmark, window)
+    names, text, spans = docs.columns, found.columns.index("text"), found.columns.index("spans")
+    places = [found.columns.index(c) for c in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [cut_spans(t, s) for t, s in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), strict=True)]
             columns = list(b.columns)
-            columns[text] = pa.array(cut, pa.string())
-            yield pa.RecordBatch.from_arrays(columns[:spans] + columns[spans + 1 :], names[:spans] + names[spans + 1 :])
+            columns[text] = pa.array([cut_spans(t, s) for t, s in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([columns[i] for i in places], names)
 
-    return found.mapInArrow(work, docs.schema)
+    return found.mapInArrow(_in_turn([*passes, work]), docs.schema)

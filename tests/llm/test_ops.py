@@ -1,5 +1,6 @@
 """The ten operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import math
 import os
 import random
@@ -225,6 +226,19 @@ def test_bpe(docs, none):
     assert bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_round_trip(docs, none, spark, tmp_path):
+    coded = bpe.encode(docs.withColumn("round_trip", F.lit(1)).withColumn("x", F.lit("x")), PATH, public_tokenizers.PATTERN, ["x", "doc_id"], round_trip=True)
+    assert coded.columns == ["x", "doc_id", "ids", "n_tokens", "round_trip"]
+    want = {(r.doc_id, bytes(r.ids), r.n_tokens, r.decoded == (r.text or "").encode()) for r in bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()}
+    got = coded.collect()
+    assert {(r.doc_id, bytes(r.ids), r.n_tokens, r.round_trip) for r in got} == want and {r.x for r in got} == {"x"}
+    assert bpe.encode(none, PATH, public_tokenizers.PATTERN, ["doc_id"], round_trip=True).count() == 0
+    broken = tmp_path / "broken.tiktoken"  # a and b have one rank, which decodes to b
+    broken.write_text("".join(f"{base64.b64encode(bytes([x])).decode()} {98 if x == 97 else x}\n" for x in range(256)) + f"{base64.b64encode(b'yz').decode()} 256\n")
+    rows = spark.createDataFrame([(1, "b c"), (2, "a b"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in bpe.encode(rows, str(broken), public_tokenizers.PATTERN, ["doc_id"], round_trip=True).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_bpe_odd_texts():
     import tiktoken
 

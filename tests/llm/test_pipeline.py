@@ -53,6 +53,14 @@ def test_stages_keep_columns(spark, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs, DATA).columns == docs.columns
 
 
+@pytest.mark.parametrize("k", [3, 4])
+def test_one_worker_a_task(spark, k):
+    """Workers that a task runs side by side are kept, and each comes to hold a full cache."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = corpus_pipeline.STAGES[k][1](spark, docs, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 EXTRA = {"_id": 1, "classes": "x", "n_words": 2.5, "spans": None, "n_lines": "y", "kept": True, "component_id": 3, "_drop": "z", "a.b": "dot"}
 
 
